@@ -52,7 +52,9 @@ def poisson_cdf(rate: float) -> list[float]:
 def poisson(u: Column, rate: float) -> Column:
     """Inverse CDF: the number of CDF steps that ``u`` has passed."""
     steps = F.array(*[F.lit(p) for p in poisson_cdf(rate)])
-    return F.size(F.filter(steps, lambda p: p <= u)).cast("bigint")
+    # Bound as a lambda argument, so that u (a digest) is computed once and not once per step.
+    passed = F.transform(F.array(u), lambda bound: F.size(F.filter(steps, lambda p: p <= bound)))
+    return F.get(passed, 0).cast("bigint")
 
 
 def beta_2_3(uniforms: list[Column]) -> Column:

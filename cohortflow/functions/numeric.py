@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Plain decimal numbers, optionally signed and with an exponent; anything else is missing.
 NUMBER_PATTERN = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
@@ -18,6 +19,15 @@ def nan_to_null(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def nulls_for_nan(df: DataFrame) -> DataFrame:
+    """NaN becomes null in every floating-point column.
+
+    Sources apply it, because Spark takes NaN as the greatest number where the operators mean "missing".
+    """
+    floats = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({name: nan_to_null(F.col(name)) for name in floats}) if floats else df
+
+
 def safe_ratio(numerator: Column, denominator: Column) -> Column:
     """Ratio as double, 0 where the denominator is 0."""
     return F.coalesce(F.try_divide(numerator.cast("double"), denominator.cast("double")), F.lit(0.0))

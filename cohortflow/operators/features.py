@@ -6,19 +6,24 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortflow.functions.behaviour import age_group, raw_engagement, session_efficiency, spend_per_purchase, spending_tier
 from cohortflow.functions.numeric import min_max
 from cohortflow.operators.ordering import exact_quantile, running_totals
 from cohortflow.schemas import CATEGORICAL_FEATURES, DERIVED_RATIOS, FEATURES, LABEL, NUMERIC_INPUTS
-from cohortflow.session import BROADCAST_MAX_ROWS, bounded_rows, lookup_side
+from cohortflow.session import BROADCAST_MAX_ROWS, bounded_rows, local_table
 
 # Quantiles above which a user counts as high value, and the text of a missing category.
 ENGAGEMENT_QUANTILE, SPEND_QUANTILE = 0.7, 0.6
 MISSING_CATEGORY = "nan"
 
-VOCABULARY_SCHEMA = "feature string, value string, idx bigint"
-SCALER_SCHEMA = "feature string, mean double, std double"
+VOCABULARY = T.StructType(
+    [T.StructField("feature", T.StringType()), T.StructField("value", T.StringType()), T.StructField("idx", T.LongType())]
+)
+SCALER = T.StructType(
+    [T.StructField("feature", T.StringType()), T.StructField("mean", T.DoubleType()), T.StructField("std", T.DoubleType())]
+)
 
 
 def with_engagement(users: DataFrame, bounds: tuple[float, float] | None = None) -> DataFrame:
@@ -98,7 +103,7 @@ def fit_vocabulary(
             idx = idx + 1 if feature == last else 0
             last = feature
             numbered.append((feature, value, idx))
-        return spark.createDataFrame(numbered, VOCABULARY_SCHEMA)
+        return local_table(spark, numbered, VOCABULARY)
     # Too many values for one place: number them in a global order and count from each feature's first.
     placed = running_totals(distinct, ["feature", "value"], {"place": F.lit(1).cast("bigint")})
     first = placed.groupBy("feature").agg(F.min("place").alias("first"))
@@ -108,14 +113,22 @@ def fit_vocabulary(
 def encode(
     derived: DataFrame, vocabulary: DataFrame, names: list[str] | None = None, max_rows: int = BROADCAST_MAX_ROWS
 ) -> DataFrame:
-    """Add ``<name>_encoded``; a value that was not fitted gets index 0, the alphabetically first class."""
+    """Add ``<name>_encoded``; a value that was not fitted gets index 0, the alphabetically first class.
+
+    A vocabulary within ``max_rows`` entries is sent to the rows; a larger one is joined by shuffle.
+    """
+    rows = bounded_rows(vocabulary, max_rows)
+    if rows is not None:
+        vocabulary = local_table(derived.sparkSession, rows, VOCABULARY)
     encoded = derived
     for name in names or CATEGORICAL_FEATURES:
         entries = vocabulary.where(F.col("feature") == name).select(
             F.col("value").alias("_value"), F.col("idx").alias("_idx")
         )
+        if rows is not None:
+            entries = F.broadcast(entries)
         encoded = (
-            encoded.join(lookup_side(entries, max_rows), category(name) == F.col("_value"), "left")
+            encoded.join(entries, category(name) == F.col("_value"), "left")
             .withColumn(f"{name}_encoded", F.coalesce(F.col("_idx"), F.lit(0)))
             .drop("_value", "_idx")
         )
@@ -167,13 +180,13 @@ class FeatureState:
         spark = self.vocabulary.sparkSession
         self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
         rows = [(name, mean, std) for name, (mean, std) in self.scaler.items()]
-        spark.createDataFrame(rows, SCALER_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/scaler")
+        local_table(spark, rows, SCALER).coalesce(1).write.mode("overwrite").parquet(f"{path}/scaler")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> FeatureState:
-        scaler = spark.read.schema(SCALER_SCHEMA).parquet(f"{path}/scaler").collect()
+        scaler = spark.read.schema(SCALER).parquet(f"{path}/scaler").collect()
         return FeatureState(
-            spark.read.schema(VOCABULARY_SCHEMA).parquet(f"{path}/vocabulary"),
+            spark.read.schema(VOCABULARY).parquet(f"{path}/vocabulary"),
             {row["feature"]: (row["mean"], row["std"]) for row in scaler},
         )
 

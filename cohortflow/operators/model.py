@@ -13,9 +13,11 @@ from pyspark.ml.classification import (
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortflow.operators.features import FeatureState, fit_features
 from cohortflow.schemas import FEATURES, RAW_INPUTS, TARGET
+from cohortflow.session import local_table, scratch_path
 from cohortflow.sources.zones import write_document
 
 # Model names and default hyperparameters.
@@ -23,6 +25,8 @@ RANDOM_FOREST, LOGISTIC_REGRESSION = "random_forest", "logistic_regression"
 N_ESTIMATORS, MAX_DEPTH, RANDOM_STATE, MAX_ITER = 100, 10, 42, 1000
 TOP_FEATURES = 5
 
+IMPORTANCE = T.StructType([T.StructField("feature", T.StringType()), T.StructField("importance", T.DoubleType())])
+
 _LOADERS = {RANDOM_FOREST: RandomForestClassificationModel, LOGISTIC_REGRESSION: LogisticRegressionModel}
 
 
@@ -50,7 +54,9 @@ class CohortModel:
         self.classifier.write().overwrite().save(f"{path}/classifier")
         if self.features is not None:
             self.features.save(f"{path}/features")
-        about = spark.createDataFrame([(self.kind, self.features is not None)], "kind string, has_features boolean")
+        about = spark.range(1).select(
+            F.lit(self.kind).alias("kind"), F.lit(self.features is not None).alias("has_features")
+        )
         write_document(about, f"{path}/about")
 
     @staticmethod
@@ -90,21 +96,26 @@ def train(
     vectors = _with_vector(rows, features).select("_features", F.col(target).cast("double").alias("_label"))
     columns = {"featuresCol": "_features", "labelCol": "_label"}
     if kind == RANDOM_FOREST:
-        estimator = RandomForestClassifier(numTrees=n_estimators, maxDepth=max_depth, seed=random_state, **columns)
+        # More histogram memory than the default, so that deep forests need fewer passes over the data.
+        estimator = RandomForestClassifier(
+            numTrees=n_estimators, maxDepth=max_depth, seed=random_state, maxMemoryInMB=512, **columns
+        )
     else:
         estimator = LogisticRegression(
             maxIter=MAX_ITER, regParam=1.0 / rows.count(), elasticNetParam=0.0, standardization=False, **columns
         )
-    return CohortModel(kind, features, estimator.fit(vectors))
+    # Stored and read back: a fresh model carries a training summary that refers to the session, and
+    # tasks cannot be sent such a model once the session has observed a metric.
+    path = scratch_path(rows.sparkSession, "classifier")
+    estimator.fit(vectors).write().save(path)
+    return CohortModel(kind, features, _LOADERS[kind].load(path))
 
 
 def feature_importance(model: CohortModel) -> DataFrame:
     """(feature, importance) of a forest; empty for a model without importances."""
     spark = SparkSession.active()
     values = model.classifier.featureImportances.toArray() if model.kind == RANDOM_FOREST else []
-    return spark.createDataFrame(
-        [(name, float(value)) for name, value in zip(FEATURES, values)], "feature string, importance double"
-    )
+    return local_table(spark, [(name, float(value)) for name, value in zip(FEATURES, values)], IMPORTANCE)
 
 
 def top_features(importance: DataFrame, n: int = TOP_FEATURES) -> DataFrame:

@@ -50,15 +50,25 @@ def window_statistics(points: DataFrame, period: str = DEFAULT_PERIOD, dims: lis
     )
 
 
-def dense_periods(windows: DataFrame, period: str, dims: list[str] = DIMENSIONS) -> DataFrame:
-    """Every period between a dimension's first and last one; periods without data have null statistics."""
+def dense_periods(
+    windows: DataFrame, period: str, dims: list[str] = DIMENSIONS, until: str | None = None
+) -> DataFrame:
+    """Every period between a dimension's first and last one; periods without data have null statistics.
+
+    With ``until`` the periods that end by that time are included too.
+    """
     step = F.expr(f"INTERVAL {period}")
-    spine = windows.groupBy(*dims).agg(F.min("period_start").alias("first"), F.max("period_start").alias("last"))
+    last = F.max("period_start")
+    if until is not None:
+        last = F.greatest(last, F.lit(until).cast(windows.schema["period_start"].dataType) - step)
+    spine = windows.groupBy(*dims).agg(F.min("period_start").alias("first"), last.alias("last"))
     spine = spine.select(*dims, F.explode(F.sequence("first", "last", step)).alias("period_start"))
     return spine.join(windows, [*dims, "period_start"], "left")
 
 
-def evaluate_alarm(windows: DataFrame, alarm: Alarm, period: str, dims: list[str] = DIMENSIONS) -> DataFrame:
+def evaluate_alarm(
+    windows: DataFrame, alarm: Alarm, period: str, dims: list[str] = DIMENSIONS, until: str | None = None
+) -> DataFrame:
     """State per period: ALARM, OK, or INSUFFICIENT_DATA until ``periods`` periods have passed.
 
     Works on one row per period and dimension, not on the events behind them.
@@ -71,6 +81,6 @@ def evaluate_alarm(windows: DataFrame, alarm: Alarm, period: str, dims: list[str
         .when(breaches == alarm.periods, "ALARM")
         .otherwise("OK")
     )
-    return dense_periods(windows, period, dims).select(
+    return dense_periods(windows, period, dims, until).select(
         "period_start", *dims, value.alias("value"), state.alias("state")
     )

@@ -91,9 +91,12 @@ def exact_quantile(df: DataFrame, column: str, q: float, bracket_rows: int = BRA
         return None
     position = (count - 1) * q
     lower_rank = math.floor(position)
-    lower = order_statistic(df, column, lower_rank, bracket_rows)
-    if position == lower_rank:
-        return lower
-    upto, following = df.agg(F.count_if(value <= lower), F.min(F.when(value > lower, value))).first()
-    upper = lower if upto > lower_rank + 1 else following
+    if count <= bracket_rows:
+        # Few enough rows to take both neighbours from one sort.
+        pair = [row[0] for row in df.where(value.isNotNull()).select(value).orderBy(value).offset(lower_rank).limit(2).collect()]
+        lower, upper = pair[0], pair[-1]
+    else:
+        lower = order_statistic(df, column, lower_rank, bracket_rows)
+        upto, following = df.agg(F.count_if(value <= lower), F.min(F.when(value > lower, value))).first()
+        upper = lower if upto > lower_rank + 1 or following is None else following
     return lower + (upper - lower) * (position - lower_rank)

@@ -427,6 +427,8 @@ ORACLES: dict[str, str] = {
         WHERE gender NOT IN ({", ".join(f"'{v}'" for v in GENDER_VALUES)}) GROUP BY gender""",
     "json_requests": f"""WITH {FAULTY} SELECT user_id, cast(age AS double) AS age, cast(session_count AS double) AS session_count,
         gender, round(engagement_score, 6) AS engagement_score FROM req_v WHERE c_custkey % 53 <> 0""",
+    "json_quarantine": "SELECT concat('user_', lpad(cast(c_custkey AS varchar), 6, '0')) AS user_id FROM customer WHERE c_custkey % 53 = 0",
+    "raw_zone_report": "SELECT count(*) AS n_read, count(*) AS n_reported FROM customer",
     "fixed_score": f"WITH {FIXED} SELECT user_id, p1, predicted, y FROM fix_v",
     "assign_experiment": f"WITH {ASSIGNED} SELECT user_id, {ASSIGNED_COLUMNS} FROM asg_v",
     "assignment_balance": f"WITH {ASSIGNED} SELECT experiment_type, variant, count(*) AS n_users FROM asg_v GROUP BY 1, 2",

@@ -21,9 +21,9 @@ from cohortflow.operators.model import (
 )
 from cohortflow.operators.split import split_sizes, stratified_split
 from cohortflow.plans import jobs
-from cohortflow.schemas import CATEGORICAL_FEATURES, FEATURES, LABEL, RAW_INPUTS, TARGET
+from cohortflow.schemas import CATEGORICAL_FEATURES, CORRUPT, FEATURES, LABEL, RAW_INPUTS, TARGET
 from cohortflow.session import materialize, scratch_path
-from cohortflow.sources import capture, requests, reviews, selector, snapshots, synthetic, tables, zones
+from cohortflow.sources import capture, registry, requests, reviews, selector, snapshots, synthetic, tables, zones
 from cohortflow.streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -317,8 +317,7 @@ def unknown_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.unknown_values(tables.faulty_requests(_engaged(spark, sf_dir)))
 
 
-@query
-def json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.faulty_requests(_engaged(spark, sf_dir))
     path = scratch_path(spark, "requests")
     text = F.to_json(F.struct("user_id", *RAW_INPUTS))
@@ -327,7 +326,19 @@ def json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.select(text.alias("value")).write.text(path)
     parsed = requests.read_requests(spark, path)
     validation.require_columns(parsed)
-    return requests.accepted(parsed).select("user_id", "age", "session_count", "gender", *_rounded(["engagement_score"]))
+    return parsed
+
+
+@query
+def json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = requests.accepted(_json_requests(spark, sf_dir))
+    return rows.select("user_id", "age", "session_count", "gender", *_rounded(["engagement_score"]))
+
+
+@query
+def json_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = requests.quarantined(_json_requests(spark, sf_dir))
+    return kept.select(F.get_json_object(CORRUPT, "$.user_id").alias("user_id"))
 
 
 # Scoring and assignment
@@ -420,8 +431,9 @@ def approval_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = evaluation.approval(evaluation.all_metrics(_outcomes(spark, sf_dir)))
     path = scratch_path(spark, "approval")
     zones.write_document(record, path)
+    flag = registry.read_approval(spark, path).select(F.col("approve_model").cast("int"))
     return record.select(
-        F.col("approve_model").cast("int").alias("approve_model"),
+        flag.scalar().alias("approve_model"),
         *[F.col(f"approval_criteria.{n}_pass").cast("int").alias(f"{n}_pass") for n in evaluation.THRESHOLDS],
         "recommendation_reason",
     )
@@ -472,6 +484,13 @@ def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("user_id", "age", "gender", "location", "session_count", *_rounded(["engagement_score", "total_spent"]))
 
 
+@query
+def raw_zone_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = snapshots.write_raw(_engaged(spark, sf_dir).select("user_id", *RAW_INPUTS), scratch_path(spark, "raw-zone"), fmt="parquet")
+    stored = spark.read.parquet(report["location"]).agg(F.count("*").alias("n_read"))
+    return stored.select("n_read", F.lit(report["rows"]).cast("bigint").alias("n_reported"))
+
+
 def _review_file(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_path(spark, "reviews")
     reviews.write_reviews(tables.review_rows(spark, sf_dir), path)

@@ -9,8 +9,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -67,6 +70,17 @@ def bounded_rows(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> list | No
     return rows if len(rows) <= max_rows else None
 
 
+def local_table(spark: SparkSession, rows: list, schema: StructType) -> DataFrame:
+    """A table of a few rows held in the plan itself (Arrow, so that no Python worker is started)."""
+    names = schema.names
+    records = [dict(zip(names, (_plain(value) for value in row))) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(records, to_arrow_schema(schema)), schema)
+
+
+def _plain(value):
+    return {k: _plain(v) for k, v in value.asDict().items()} if isinstance(value, Row) else value
+
+
 def lookup_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``df`` ready to be the small side of an equi-join.
 
@@ -76,4 +90,4 @@ def lookup_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     rows = bounded_rows(df, max_rows)
     if rows is None:
         return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return F.broadcast(local_table(df.sparkSession, rows, df.schema))

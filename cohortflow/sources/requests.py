@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from cohortflow.functions.numeric import nulls_for_nan
 from cohortflow.schemas import CORRUPT, REQUEST
 from cohortflow.session import materialize
 
@@ -21,7 +22,7 @@ def _parsed_lines(lines: DataFrame, schema: StructType) -> DataFrame:
     # from_json with options parses every field even if few are selected later, so that a bad value
     # in an unselected field is still seen; the JSON file reader would skip that field.
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    return lines.select(F.from_json("value", _schema(schema), options).alias("r")).select("r.*")
+    return nulls_for_nan(lines.select(F.from_json("value", _schema(schema), options).alias("r")).select("r.*"))
 
 
 def read_requests(
@@ -43,7 +44,7 @@ def read_requests(
         return _parsed_lines(spark.read.text(path), schema)
     parsed = spark.read.schema(_schema(schema)).options(multiLine=True, columnNameOfCorruptRecord=CORRUPT).json(path)
     # Stored so that later column choices cannot change which rows count as corrupt.
-    return materialize(parsed, "requests")
+    return nulls_for_nan(materialize(parsed, "requests"))
 
 
 def stream_requests(spark: SparkSession, path: str, max_files: int = 1000, schema: StructType = REQUEST) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,7 +70,7 @@ def load_users(
         if path is None:
             raise ValueError("a review source needs a path")
         return users_from_reviews(spark, path, seed=seed, **options)
-    except (PySparkException, ValueError) as error:
+    except (PySparkException, Py4JJavaError, ValueError) as error:
         if on_error == "raise":
             raise
         log.warning("%s cannot be read, using synthetic users: %s", kind, error)

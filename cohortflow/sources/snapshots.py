@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cohortflow.functions.numeric import nulls_for_nan
 from cohortflow.schemas import FULL_USER
 
 # Time stamp format and folder of user files.
@@ -40,7 +41,7 @@ def latest_run(spark: SparkSession, zone: str, schema: StructType = FULL_USER, f
     newest = _listing(spark, root, "part-*").agg(F.max("ingest_ts")).first()[0]
     if newest is None:
         raise ValueError(f"no runs below {root}")
-    return _reader(spark, schema, fmt).load(f"{root}/ingest_ts={newest}")
+    return _load(spark, schema, fmt, f"{root}/ingest_ts={newest}")
 
 
 def latest_file(spark: SparkSession, folder: str, schema: StructType = FULL_USER) -> DataFrame:
@@ -49,9 +50,11 @@ def latest_file(spark: SparkSession, folder: str, schema: StructType = FULL_USER
     newest = files.agg(F.max(F.struct(F.element_at(F.split("path", "/"), -1).alias("name"), "path"))).first()[0]
     if newest is None:
         raise ValueError(f"no CSV files in {folder}")
-    return _reader(spark, schema, "csv").load(newest["path"])
+    return _load(spark, schema, "csv", newest["path"])
 
 
-def _reader(spark: SparkSession, schema: StructType, fmt: str):
+def _load(spark: SparkSession, schema: StructType, fmt: str, path: str) -> DataFrame:
     reader = spark.read.format(fmt).schema(schema)
-    return reader.options(header=True, enforceSchema=False) if fmt == "csv" else reader
+    if fmt == "csv":
+        reader = reader.options(header=True, enforceSchema=False)
+    return nulls_for_nan(reader.load(path))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortflow.functions.numeric import nulls_for_nan
 from cohortflow.schemas import CATEGORICAL_INPUTS, FEATURES, RAW_INPUTS, TARGET
 
 SPLITS = ["train", "validation", "test"]
@@ -35,7 +36,7 @@ def read_split(spark: SparkSession, path: str, split: str, form: str = "raw", fm
     reader = spark.read.schema(T.StructType(fields)).format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True)
-    rows = reader.load(path).where(F.col("split") == split)
+    rows = nulls_for_nan(reader.load(path).where(F.col("split") == split))
     if form == "raw":
         return rows.select(*RAW_INPUTS, TARGET)
     if form == "scaled":

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from cohortflow.functions.numeric import nulls_for_nan
 from cohortflow.operators.assignment import assign_experiments
 from cohortflow.operators.model import CohortModel
 from cohortflow.operators.monitoring import DEFAULT_PERIOD, DIMENSIONS, Alarm, evaluate_alarm, window_statistics
@@ -31,7 +32,7 @@ def _start(stream: DataFrame, out: str, checkpoint: str, partition_by: list[str]
 
 def drop_folder(spark: SparkSession, folder: str, schema: StructType = FULL_USER, max_files: int = 1000) -> DataFrame:
     """New user CSV files of a folder as a stream."""
-    return spark.readStream.schema(schema).options(header=True, maxFilesPerTrigger=max_files).csv(folder)
+    return nulls_for_nan(spark.readStream.schema(schema).options(header=True, maxFilesPerTrigger=max_files).csv(folder))
 
 
 def ingest(stream: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -96,8 +97,23 @@ def late_rows(query: StreamingQuery) -> int:
     )
 
 
+def watermark(query: StreamingQuery) -> str | None:
+    """The query's last reported watermark."""
+    progress = query.lastProgress
+    return progress["eventTime"].get("watermark") if progress else None
+
+
 def alarm_states(
-    spark: SparkSession, windows_path: str, alarm: Alarm, period: str = DEFAULT_PERIOD, dims: list[str] = DIMENSIONS
+    spark: SparkSession,
+    windows_path: str,
+    alarm: Alarm,
+    period: str = DEFAULT_PERIOD,
+    dims: list[str] = DIMENSIONS,
+    until: str | None = None,
 ) -> DataFrame:
-    """Alarm states over all windows closed so far, periods without data included."""
-    return evaluate_alarm(spark.read.parquet(windows_path), alarm, period, dims)
+    """Alarm states over all windows closed so far, periods without data included.
+
+    ``until`` (see ``watermark``) adds the silent periods between the last window and that time. A
+    stream without any events has no watermark progress; feed it a heartbeat to see silence.
+    """
+    return evaluate_alarm(spark.read.parquet(windows_path), alarm, period, dims, until)
