@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortflow.functions.draws import hash60
+from cohortflow.functions.numeric import safe_ratio
 from cohortflow.session import lookup_side
 
 # Share of all rows for test, share of the remainder for validation, seed.
@@ -17,7 +18,7 @@ HASH_BITS, BUCKET_BITS = 60, 16
 def _shares(strata: DataFrame, size: str, total: str, quota: str) -> DataFrame:
     """Divide ``total`` rows over the strata in proportion to ``size`` by largest remainder."""
     everyone = Window.partitionBy()
-    exact = F.col(size).cast("double") * F.col(total) / F.sum(size).over(everyone)
+    exact = safe_ratio(F.col(size) * F.col(total), F.sum(size).over(everyone))
     by_remainder = Window.orderBy(F.col("_remainder").desc(), "_label")
     return (
         strata.withColumn("_floor", F.floor(exact))
