@@ -26,10 +26,17 @@ SCALER = T.StructType(
 )
 
 
+def engagement_bounds(users: DataFrame) -> tuple[float, float]:
+    """Least and greatest raw engagement."""
+    low, high = users.select(raw_engagement().alias("_raw")).agg(F.min("_raw"), F.max("_raw")).first()
+    return low, high
+
+
 def with_engagement(users: DataFrame, bounds: tuple[float, float] | None = None) -> DataFrame:
     """Add ``engagement_score``: raw engagement min-max scaled over all users.
 
-    Without ``bounds`` the extremes are a scalar subquery of the same plan. A stream must pass the
+    Without ``bounds`` the extremes are a scalar subquery of the same plan, which computes ``users``
+    a second time; users that are costly to compute should be stored first. A stream must pass the
     bounds of a fitted batch, since a micro-batch has extremes of its own.
     """
     raw = users.withColumn("_raw", raw_engagement())

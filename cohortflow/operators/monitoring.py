@@ -55,15 +55,23 @@ def dense_periods(
 ) -> DataFrame:
     """Every period between a dimension's first and last one; periods without data have null statistics.
 
-    With ``until`` the periods that end by that time are included too.
+    Each row adds the silent periods up to the next row, so the windows (and the events behind them)
+    are computed once. With ``until`` the last row adds the periods that end by that time.
     """
+    start = F.col("period_start")
     step = F.expr(f"INTERVAL {period}")
-    last = F.max("period_start")
+    last = start
     if until is not None:
-        last = F.greatest(last, F.lit(until).cast(windows.schema["period_start"].dataType) - step)
-    spine = windows.groupBy(*dims).agg(F.min("period_start").alias("first"), last.alias("last"))
-    spine = spine.select(*dims, F.explode(F.sequence("first", "last", step)).alias("period_start"))
-    return spine.join(windows, [*dims, "period_start"], "left")
+        last = F.greatest(start, F.lit(until).cast(windows.schema["period_start"].dataType) - step)
+    following = F.lead("period_start").over(Window.partitionBy(*dims).orderBy("period_start"))
+    statistics = [c for c in windows.columns if c not in ["period_start", *dims]]
+    reach = windows.withColumn("_following", following).withColumn("_last", F.coalesce(F.col("_following") - step, last))
+    spread = reach.withColumn("_period", F.explode(F.sequence(start, F.col("_last"), step)))
+    return spread.select(
+        F.col("_period").alias("period_start"),
+        *dims,
+        *[F.when(F.col("_period") == start, F.col(c)).alias(c) for c in statistics],
+    )
 
 
 def evaluate_alarm(

@@ -9,7 +9,6 @@ from cohortflow.functions.behaviour import review_engagement
 from cohortflow.functions.draws import beta_2_3, choice, exponential, normal, poisson, uniform
 from cohortflow.functions.numeric import at_least, clip, parse_number, safe_ratio, text_length, truncate
 from cohortflow.schemas import FULL_USER
-from cohortflow.session import BROADCAST_MAX_ROWS
 
 # Caps, user id prefix and the numbers behind the derived columns.
 ROW_CAP, CUSTOMER_CAP = 10_000, 5_000
@@ -40,31 +39,32 @@ def first_seen_customers(reviews: DataFrame, order_by: list[str], cap: int = CUS
     return seen.orderBy("first_seen").limit(cap)
 
 
-def cap_customers(reviews: DataFrame, order_by: list[str], cap: int = CUSTOMER_CAP) -> DataFrame:
-    """Reviews of the first ``cap`` customers."""
-    kept = first_seen_customers(reviews, order_by, cap).select(F.col("customer_id").alias("_kept"))
-    if cap <= BROADCAST_MAX_ROWS:
-        kept = F.broadcast(kept)
-    return reviews.join(kept, F.col("customer_id").eqNullSafe(F.col("_kept")), "left_semi")
-
-
-def review_totals(reviews: DataFrame) -> DataFrame:
+def review_totals(reviews: DataFrame, order_by: list[str] | None = None, cap: int | None = None) -> DataFrame:
     """One row per customer with a usable id: counts, rating, votes, length and verified share.
 
-    A single hash aggregate; a customer with very many reviews is reduced before the shuffle.
+    A single hash aggregate; a customer with very many reviews is reduced before the shuffle. With
+    ``cap`` only the first ``cap`` customers by first appearance are kept; the aggregate carries each
+    customer's first row, so the reviews are not read again. A missing or empty id counts toward the
+    cap and is dropped after it.
     """
-    return (
-        reviews.where(F.col("customer_id").isNotNull() & (F.col("customer_id") != ""))
-        .groupBy("customer_id")
-        .agg(
-            F.count("*").alias("review_count"),
-            F.avg(parse_number(F.col("star_rating"))).alias("avg_rating"),
-            F.coalesce(F.sum(parse_number(F.col("helpful_votes"))), F.lit(0.0)).alias("helpful_votes"),
-            F.coalesce(F.sum(parse_number(F.col("total_votes"))), F.lit(0.0)).alias("total_votes"),
-            F.avg(text_length(F.col("review_body"))).alias("avg_review_length"),
-            F.count_if(F.col("verified_purchase") == "Y").alias("verified_purchases"),
-        )
-        .withColumn("verified_ratio", safe_ratio(F.col("verified_purchases"), F.col("review_count")))
+    aggregates = [
+        F.count("*").alias("review_count"),
+        F.avg(parse_number(F.col("star_rating"))).alias("avg_rating"),
+        F.coalesce(F.sum(parse_number(F.col("helpful_votes"))), F.lit(0.0)).alias("helpful_votes"),
+        F.coalesce(F.sum(parse_number(F.col("total_votes"))), F.lit(0.0)).alias("total_votes"),
+        F.avg(text_length(F.col("review_body"))).alias("avg_review_length"),
+        F.count_if(F.col("verified_purchase") == "Y").alias("verified_purchases"),
+    ]
+    grouped = reviews.groupBy("customer_id")
+    if cap is None:
+        totals = grouped.agg(*aggregates)
+    else:
+        if not order_by:
+            raise ValueError("a cap needs the columns that give the file order")
+        seen = grouped.agg(*aggregates, F.min(F.struct(*order_by)).alias("_first_seen"))
+        totals = seen.orderBy("_first_seen").limit(cap).drop("_first_seen")
+    return totals.where(F.col("customer_id").isNotNull() & (F.col("customer_id") != "")).withColumn(
+        "verified_ratio", safe_ratio(F.col("verified_purchases"), F.col("review_count"))
     )
 
 
@@ -138,9 +138,8 @@ def review_profiles(
     created_at: Column | None = None,
 ) -> DataFrame:
     """User rows from reviews. With ``order_by`` only the first ``cap`` customers are kept."""
-    if order_by is not None and cap is not None:
-        reviews = cap_customers(reviews, order_by, cap)
-    return profiles_from_totals(review_totals(reviews), noise, seed, created_at)
+    totals = review_totals(reviews, order_by, cap if order_by else None)
+    return profiles_from_totals(totals, noise, seed, created_at)
 
 
 def top_up(users: DataFrame, filler, floor: int = TOP_UP_FLOOR, target: int = TOP_UP_TARGET) -> DataFrame:

@@ -20,26 +20,25 @@ def _shares(strata: DataFrame, size: str, total: str, quota: str) -> DataFrame:
     everyone = Window.partitionBy()
     exact = safe_ratio(F.col(size) * F.col(total), F.sum(size).over(everyone))
     by_remainder = Window.orderBy(F.col("_remainder").desc(), "_label")
-    return (
-        strata.withColumn("_floor", F.floor(exact))
-        # Rounded so that equal remainders stay equal and the lower label wins.
-        .withColumn("_remainder", F.round(exact - F.col("_floor"), 9))
-        .withColumn("_left", F.col(total) - F.sum("_floor").over(everyone))
-        .withColumn("_rank", F.row_number().over(by_remainder))
-        .withColumn(quota, (F.col("_floor") + F.when(F.col("_rank") <= F.col("_left"), 1).otherwise(0)).cast("bigint"))
-        .drop("_floor", "_remainder", "_left", "_rank")
-    )
+    # Rounded so that equal remainders stay equal and the lower label wins.
+    parts = strata.select("*", F.floor(exact).alias("_floor"), F.round(exact - F.floor(exact), 9).alias("_remainder"))
+    extra = F.row_number().over(by_remainder) <= F.col(total) - F.sum("_floor").over(everyone)
+    return parts.select(*strata.columns, (F.col("_floor") + extra.cast("int")).cast("bigint").alias(quota))
 
 
 def quotas(label_counts: DataFrame, test_share: float = TEST_SHARE, validation_share: float = VALIDATION_SHARE) -> DataFrame:
     """(label, n, test rows, validation rows) per label from (label, n); one row per label throughout."""
     everyone = Window.partitionBy()
-    sized = label_counts.withColumn("_total", F.ceil(F.round(F.sum("n").over(everyone) * test_share, 9)).cast("bigint"))
-    tested = _shares(sized, "n", "_total", "n_test").withColumn("_rest", F.col("n") - F.col("n_test"))
-    resized = tested.withColumn(
-        "_total", F.ceil(F.round(F.sum("_rest").over(everyone) * validation_share, 9)).cast("bigint")
+
+    def part(size: Column, share: float) -> Column:
+        return F.ceil(F.round(F.sum(size).over(everyone) * share, 9)).cast("bigint")
+
+    sized = label_counts.select("_label", "n", part(F.col("n"), test_share).alias("_total"))
+    rest = F.col("n") - F.col("n_test")
+    tested = _shares(sized, "n", "_total", "n_test").select(
+        "_label", "n", "n_test", rest.alias("_rest"), part(rest, validation_share).alias("_total")
     )
-    return _shares(resized, "_rest", "_total", "n_validation").select("_label", "n", "n_test", "n_validation")
+    return _shares(tested, "_rest", "_total", "n_validation").select("_label", "n", "n_test", "n_validation")
 
 
 def _cuts(keyed: DataFrame, test_share: float, validation_share: float) -> DataFrame:

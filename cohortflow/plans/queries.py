@@ -51,15 +51,13 @@ def _stamp_text(name: str):
 
 
 def _engaged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.with_engagement(tables.user_rows(spark, sf_dir))
-
-
-def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(_engaged(spark, sf_dir), "users")
+    # Stored first: the fact tables are read once, all further passes read the user table.
+    users = materialize(tables.user_rows(spark, sf_dir), "users")
+    return features.with_engagement(users, features.engagement_bounds(users))
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.label_high_value(_stored(spark, sf_dir))
+    return features.label_high_value(_engaged(spark, sf_dir))
 
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +119,7 @@ def vocab_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def encode_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = _stored(spark, sf_dir)
+    users = _engaged(spark, sf_dir)
     vocabulary = features.fit_vocabulary(features.derive(users))
     encoded = features.encode(features.derive(tables.faulty_requests(users)), vocabulary)
     return encoded.select("user_id", *[f"{n}_encoded" for n in CATEGORICAL_FEATURES])
@@ -129,7 +127,7 @@ def encode_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def scaler_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    derived = features.derive(_stored(spark, sf_dir))
+    derived = features.derive(_engaged(spark, sf_dir))
     encoded = features.encode(derived, features.fit_vocabulary(derived))
     return features.fit_scaler(encoded).select("feature", *_rounded(["mean", "std"]))
 
@@ -213,8 +211,7 @@ def review_users_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def customer_cap_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     bulk = tables.order_line_reviews(spark, sf_dir)
-    kept = profiles.cap_customers(bulk, ["order_key", "line_number"], CUSTOMER_CAP)
-    return _totals_output(profiles.review_totals(kept))
+    return _totals_output(profiles.review_totals(bulk, ["order_key", "line_number"], CUSTOMER_CAP))
 
 
 @query
