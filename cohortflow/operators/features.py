@@ -12,7 +12,7 @@ from cohortflow.functions.behaviour import age_group, raw_engagement, session_ef
 from cohortflow.functions.numeric import min_max
 from cohortflow.operators.ordering import exact_quantile, running_totals
 from cohortflow.schemas import CATEGORICAL_FEATURES, DERIVED_RATIOS, FEATURES, LABEL, NUMERIC_INPUTS
-from cohortflow.session import BROADCAST_MAX_ROWS, bounded_rows, local_table
+from cohortflow.session import BROADCAST_MAX_ROWS, bounded_rows, local_table, materialize
 
 # Quantiles above which a user counts as high value, and the text of a missing category.
 ENGAGEMENT_QUANTILE, SPEND_QUANTILE = 0.7, 0.6
@@ -113,8 +113,11 @@ def fit_vocabulary(
         return local_table(spark, numbered, VOCABULARY)
     # Too many values for one place: number them in a global order and count from each feature's first.
     placed = running_totals(distinct, ["feature", "value"], {"place": F.lit(1).cast("bigint")})
-    first = placed.groupBy("feature").agg(F.min("place").alias("first"))
-    return placed.join(first, "feature").select("feature", "value", (F.col("place") - F.col("first")).alias("idx"))
+    first = placed.groupBy("feature").agg(F.min("place").alias("first"))  # one row per feature name
+    numbered = placed.join(F.broadcast(first), "feature").select(
+        "feature", "value", (F.col("place") - F.col("first")).alias("idx")
+    )
+    return materialize(numbered, "vocabulary")
 
 
 def encode(

@@ -402,6 +402,14 @@ ORACLES: dict[str, str] = {
         kept_v AS (SELECT customer_id FROM first_v ORDER BY seen LIMIT 1000),
         capped_v AS (SELECT * FROM reviews_v WHERE customer_id IN (SELECT customer_id FROM kept_v)),
         {totals('capped_v')} {TOTALS_OUTPUT}""",
+    "customers_first_seen": f"""WITH {REVIEWS} SELECT customer_id, min(row_key) AS row_key FROM reviews_v GROUP BY 1
+        ORDER BY row_key LIMIT 5000""",
+    "event_stamps": """SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS compact,
+        CASE WHEN date_trunc('second', ts) = ts THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS iso
+        FROM events""",
+    "model_metadata": f"""WITH {SPLIT} SELECT 'logistic_regression' AS model_type,
+        count(*) FILTER (split = 'train') AS training_samples, count(*) FILTER (split = 'validation') AS validation_samples,
+        14 AS n_features, count(DISTINCT high_value_user) FILTER (split = 'train') AS n_classes, 42 AS random_state FROM spl_v""",
     "review_profile_bulk": f"WITH {BULK}, {totals()} {TOTALS_OUTPUT}",
     "top_up_union": f"""WITH {REVIEWS}, {totals()}, {profile_rows(False)},
         few_v AS (SELECT count(*) AS n FROM prof_v),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortflow.functions import stamps
 from cohortflow.functions.history import HISTORY_TYPE, conversion_rate, format_history, parse_history
 from cohortflow.operators import evaluation, features, monitoring, profiles, validation
 from cohortflow.operators.assignment import as_json, assign_experiments, with_user_index
@@ -15,10 +16,10 @@ from cohortflow.operators.model import (
     CohortModel,
     feature_importance,
     logistic_score,
-    model_metadata,
     top_features,
     train,
 )
+from cohortflow.operators.model import model_metadata as describe_model
 from cohortflow.operators.split import split_sizes, stratified_split
 from cohortflow.plans import jobs
 from cohortflow.schemas import CATEGORICAL_FEATURES, CORRUPT, FEATURES, LABEL, RAW_INPUTS, TARGET
@@ -208,6 +209,12 @@ def review_users_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _profile_output(profiles.review_profiles(bulk, noise=True))
 
 
+@query
+def customers_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = profiles.first_seen_customers(tables.review_rows(spark, sf_dir), ["row_key"])
+    return seen.select("customer_id", F.col("first_seen.row_key").alias("row_key"))
+
+
 @query
 def customer_cap_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     bulk = tables.order_line_reviews(spark, sf_dir)
@@ -467,6 +474,14 @@ def alarm_low_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _alarm(spark, sf_dir, monitoring.LOW_INVOCATION, "5 minutes")
 
 
+@query
+def event_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts = F.col("ts").cast("timestamp")
+    return tables.table(spark, sf_dir, "events").select(
+        "event_id", stamps.compact_stamp(ts).alias("compact"), stamps.iso_text(ts).alias("iso")
+    )
+
+
 # Files
 
 
@@ -555,13 +570,19 @@ def model_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def model_metadata_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+def model_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = _training_sets(spark, sf_dir)
     training, held_out = _part(split, "train"), _part(split, "validation")
     path = scratch_path(spark, "model")
     train(training, LOGISTIC_REGRESSION).save(path)
-    record = model_metadata(CohortModel.load(spark, path), training, held_out)
-    return record.select("model_type", "target_classes", "training_samples", "validation_samples", F.size("feature_names").alias("n_features"))
+    return describe_model(CohortModel.load(spark, path), training, held_out).select(
+        "model_type",
+        "training_samples",
+        "validation_samples",
+        F.size("feature_names").alias("n_features"),
+        F.size("target_classes").alias("n_classes"),
+        F.col("hyperparameters.random_state").alias("random_state"),
+    )
 
 
 @query

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortflow.operators.profiles import CUSTOMER_CAP, ROW_CAP, cap_rows, review_profiles, top_up
+from cohortflow.session import materialize
 from cohortflow.sources.reviews import FILE_ORDER, MalformedFile, overlong_rows, read_reviews
 from cohortflow.sources.synthetic import DEFAULT_USERS, synthetic_cohort
 
@@ -30,16 +31,21 @@ def users_from_reviews(
     customer_cap: int | None = CUSTOMER_CAP,
     noise: bool = True,
     seed: int = 42,
+    check_rows: bool = True,
 ) -> DataFrame:
-    """Profiles of a review file, filled up with synthetic users when there are few; None lifts a cap."""
+    """Profiles of a review file, filled up with synthetic users when there are few; None lifts a cap.
+
+    ``check_rows`` reads the text once more to refuse files with rows longer than their header.
+    """
     reviews = read_reviews(spark, path)
-    too_long = overlong_rows(spark, path, len(reviews.columns) - len(FILE_ORDER))
+    too_long = overlong_rows(spark, path, len(reviews.columns) - len(FILE_ORDER)) if check_rows else 0
     if too_long:
         raise MalformedFile(f"{too_long} rows are longer than the header")
     if row_cap is not None:
         reviews = cap_rows(reviews, FILE_ORDER, row_cap)
     profiles = review_profiles(reviews, FILE_ORDER, customer_cap, noise, seed).withColumn("data_source", F.lit(REVIEWS))
-    return top_up(profiles, lambda n: synthetic_cohort(spark, n, seed).withColumn("data_source", F.lit(SYNTHETIC)))
+    # Stored, so that counting the users does not read the reviews again.
+    return top_up(materialize(profiles, "profiles"), lambda n: synthetic_cohort(spark, n, seed).withColumn("data_source", F.lit(SYNTHETIC)))
 
 
 def load_users(

@@ -11,10 +11,8 @@ from pyspark.sql.types import StructType
 from cohortflow.functions.numeric import nulls_for_nan
 from cohortflow.schemas import FULL_USER
 
-# Time stamp format and folder of user files.
+# Time stamp format of a run and folder of user files.
 STAMP_FORMAT = "%Y%m%d_%H%M%S"
-SPARK_STAMP_FORMAT = "yyyyMMdd_HHmmss"
-FILE_PREFIX = "user-bucketing-data-"
 RAW_FOLDER = "experiment-data"
 
 
