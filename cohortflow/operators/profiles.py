@@ -35,8 +35,13 @@ def cap_rows(reviews: DataFrame, order_by: list[str], cap: int = ROW_CAP) -> Dat
 
 def first_seen_customers(reviews: DataFrame, order_by: list[str], cap: int = CUSTOMER_CAP) -> DataFrame:
     """The first ``cap`` distinct customers by first appearance; a missing or empty id counts as one."""
-    seen = reviews.groupBy("customer_id").agg(F.min(F.struct(*order_by)).alias("first_seen"))
-    return seen.orderBy("first_seen").limit(cap)
+    return reviews.groupBy("customer_id").agg(_first_seen(order_by)).orderBy("_first_seen").limit(cap)
+
+
+def _first_seen(order_by: list[str]) -> Column:
+    # A single numeric key keeps the hash aggregate; a struct makes Spark aggregate by sorting.
+    key = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
+    return F.min(key).alias("_first_seen")
 
 
 def review_totals(reviews: DataFrame, order_by: list[str] | None = None, cap: int | None = None) -> DataFrame:
@@ -61,7 +66,7 @@ def review_totals(reviews: DataFrame, order_by: list[str] | None = None, cap: in
     else:
         if not order_by:
             raise ValueError("a cap needs the columns that give the file order")
-        seen = grouped.agg(*aggregates, F.min(F.struct(*order_by)).alias("_first_seen"))
+        seen = grouped.agg(*aggregates, _first_seen(order_by))
         totals = seen.orderBy("_first_seen").limit(cap).drop("_first_seen")
     return totals.where(F.col("customer_id").isNotNull() & (F.col("customer_id") != "")).withColumn(
         "verified_ratio", safe_ratio(F.col("verified_purchases"), F.col("review_count"))

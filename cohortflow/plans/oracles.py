@@ -223,7 +223,7 @@ reviews_v AS (
 
 BULK = """
 reviews_v AS (
-  SELECT l_orderkey AS order_key, l_linenumber AS line_number, cast(o_custkey AS varchar) AS customer_id,
+  SELECT l_orderkey * 1000 + l_linenumber AS row_key, cast(o_custkey AS varchar) AS customer_id,
     cast(1 + l_linenumber % 5 AS varchar) AS star_rating, cast(l_suppkey % 11 AS varchar) AS helpful_votes,
     cast(l_suppkey % 17 AS varchar) AS total_votes, l_returnflag || l_linestatus AS review_body,
     CASE WHEN l_returnflag = 'R' THEN 'N' ELSE 'Y' END AS verified_purchase
@@ -391,14 +391,14 @@ ORACLES: dict[str, str] = {
     "scaler_fit": f"""WITH {ENGAGED}, {derived('eng_v')}, {vocabulary('der_v')}, {encoded('der_v')}, {scaler('enc_v')}
         SELECT feature, round(mean, 6) AS mean, round(std, 6) AS std FROM scl_v""",
     "feature_matrix": f"WITH {FIT_ON_TRAIN} SELECT user_id, split, high_value_user AS target, {_SCALED} FROM enc_v",
-    "review_row_cap": f"""WITH {BULK} SELECT order_key, line_number, customer_id, star_rating FROM reviews_v
-        ORDER BY order_key, line_number LIMIT 10000""",
+    "review_row_cap": f"""WITH {BULK} SELECT row_key, customer_id, star_rating FROM reviews_v
+        ORDER BY row_key LIMIT 10000""",
     "review_profile": f"WITH {REVIEWS}, {totals()} {TOTALS_OUTPUT}",
     "review_rejected": f"WITH {REVIEWS}, {totals()} SELECT customer_id, review_count FROM tot_v WHERE avg_rating IS NULL",
     "review_engagement": f"WITH {REVIEWS}, {totals()}, {profile_rows(False)} SELECT * FROM prof_v",
     "review_users_drawn": f"WITH {BULK}, {totals()}, {profile_rows(True)} SELECT * FROM prof_v",
     "customer_cap_first_seen": f"""WITH {BULK},
-        first_v AS (SELECT customer_id, min((order_key, line_number)) AS seen FROM reviews_v GROUP BY 1),
+        first_v AS (SELECT customer_id, min(row_key) AS seen FROM reviews_v GROUP BY 1),
         kept_v AS (SELECT customer_id FROM first_v ORDER BY seen LIMIT 1000),
         capped_v AS (SELECT * FROM reviews_v WHERE customer_id IN (SELECT customer_id FROM kept_v)),
         {totals('capped_v')} {TOTALS_OUTPUT}""",

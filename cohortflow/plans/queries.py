@@ -147,9 +147,7 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def review_row_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     bulk = tables.order_line_reviews(spark, sf_dir)
-    return profiles.cap_rows(bulk, ["order_key", "line_number"]).select(
-        "order_key", "line_number", "customer_id", "star_rating"
-    )
+    return profiles.cap_rows(bulk, ["row_key"]).select("row_key", "customer_id", "star_rating")
 
 
 @query
@@ -212,13 +210,13 @@ def review_users_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def customers_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = profiles.first_seen_customers(tables.review_rows(spark, sf_dir), ["row_key"])
-    return seen.select("customer_id", F.col("first_seen.row_key").alias("row_key"))
+    return seen.select("customer_id", F.col("_first_seen").alias("row_key"))
 
 
 @query
 def customer_cap_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     bulk = tables.order_line_reviews(spark, sf_dir)
-    return _totals_output(profiles.review_totals(bulk, ["order_key", "line_number"], CUSTOMER_CAP))
+    return _totals_output(profiles.review_totals(bulk, ["row_key"], CUSTOMER_CAP))
 
 
 @query

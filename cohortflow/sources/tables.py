@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from cohortflow.functions.numeric import nan_to_null
 
 
+# More than any order has lines.
+LINES_PER_ORDER = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -75,14 +79,13 @@ def review_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_line_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One review per order line: the bulk form. (order_key, line_number) is the file order."""
+    """One review per order line: the bulk form. ``row_key``, the order and line number in one, is the file order."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus"
     )
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("l_orderkey").alias("order_key"),
-        F.col("l_linenumber").alias("line_number"),
+        (F.col("l_orderkey") * LINES_PER_ORDER + F.col("l_linenumber")).alias("row_key"),
         F.col("o_custkey").cast("string").alias("customer_id"),
         (1 + F.col("l_linenumber") % 5).cast("string").alias("star_rating"),
         (F.col("l_suppkey") % 11).cast("string").alias("helpful_votes"),
