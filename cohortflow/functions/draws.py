@@ -23,6 +23,12 @@ def uniform(key: Column, seed: int | str, draw: int) -> Column:
     return word.cast("double") / float(2**32)
 
 
+def stable_key(key: Column, content: list[str]) -> Column:
+    """``key``, or where it is missing a digest of the given columns, so that equal rows still draw alike."""
+    parts = [F.coalesce(F.col(name).cast("string"), F.lit("")) for name in content]
+    return F.coalesce(key.cast("string"), F.md5(F.concat_ws("|", *parts)))
+
+
 def hash60(key: Column, seed: int | str) -> Column:
     """Non-negative 60-bit hash as bigint."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))

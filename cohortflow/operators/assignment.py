@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.functions.draws import uniform
+from cohortflow.functions.draws import stable_key, uniform
 from cohortflow.operators.ordering import global_index
-from cohortflow.schemas import SCORED_COLUMNS
+from cohortflow.schemas import RAW_INPUTS, SCORED_COLUMNS
 
 # Probability limits (strict), experiment names, priorities, bucket names, version.
 PREMIUM_ABOVE, POTENTIAL_ABOVE = 0.8, 0.3
@@ -44,8 +44,12 @@ def assign_experiments(
     key: str = "user_id",
     salt: str = DEFAULT_SALT,
 ) -> DataFrame:
-    """Add bucket, confidence, both probabilities, the assignment and the model version."""
+    """Add bucket, confidence, both probabilities, the assignment and the model version.
+
+    A request without a key gets its variant from its inputs.
+    """
     p1 = F.col(probability)
+    identity = stable_key(F.col(key), [name for name in RAW_INPUTS if name in scored.columns])
     p0 = 1.0 - p1
     high = F.col(prediction) == 1
     return scored.withColumns(
@@ -54,7 +58,7 @@ def assign_experiments(
             "confidence": F.when(high, p1).otherwise(p0),
             "high_value_probability": p1,
             "standard_probability": p0,
-            "experiment_assignment": experiment(F.col(prediction), p1, F.col(key), salt),
+            "experiment_assignment": experiment(F.col(prediction), p1, identity, salt),
             "model_version": F.lit(MODEL_VERSION),
         }
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.functions.draws import uniform
+from cohortflow.functions.draws import stable_key, uniform
 from cohortflow.schemas import RAW_INPUTS
 
 # Fixed value: everything is captured by default.
@@ -21,7 +21,8 @@ def capture_rows(assigned: DataFrame, share: float = CAPTURE_SHARE, key: str = "
     """Input and output structs of the captured requests, with the capture date."""
     outputs = ["predicted_bucket", "confidence", "high_value_probability", "standard_probability"]
     outputs += ["experiment_assignment", "model_version"]
-    return assigned.where(captured(F.col(key), share)).select(
+    identity = stable_key(F.col(key), RAW_INPUTS)
+    return assigned.where(captured(identity, share)).select(
         F.col(key),
         F.struct(*RAW_INPUTS).alias("input"),
         F.struct(*outputs).alias("output"),

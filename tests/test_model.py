@@ -89,6 +89,15 @@ def test_sample_request(spark, forest, tmp_path):
     assert captured["input"]["age"] == 35.0 and captured["output"]["predicted_bucket"] == row["predicted_bucket"]
 
 
+def test_requests_without_an_id(spark, forest, users, tmp_path):
+    nameless = users.select(F.lit(None).cast("string").alias("user_id"), *RAW_INPUTS)
+    path = str(tmp_path / "capture")
+    assigned = jobs.score_requests(nameless, forest.model, mode="quarantine", capture_path=path)
+    share = assigned.where("experiment_assignment.variant = 'A'").count() / 3000
+    assert share == pytest.approx(0.5, abs=0.05)
+    assert spark.read.parquet(path).count() == 3000
+
+
 def test_label_scope(users):
     train_only = jobs.label_and_split(users.select("user_id", *RAW_INPUTS), label_scope="train")
     assert train_only.groupBy("split").count().count() == 3
