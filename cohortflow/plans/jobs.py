@@ -30,9 +30,11 @@ from cohortflow.sources.snapshots import write_raw
 from cohortflow.sources.zones import write_document
 
 
-def ingest(spark: SparkSession, zone: str, kind: str = SYNTHETIC, path: str | None = None, **options) -> dict:
-    """Load users and append them to the raw zone; returns location and row count."""
-    return write_raw(load_users(spark, kind, path, **options), zone)
+def ingest(
+    spark: SparkSession, zone: str, kind: str = SYNTHETIC, path: str | None = None, fmt: str = "csv", **options
+) -> dict:
+    """Load users and append them to the raw zone; returns location and row count. Large zones want parquet."""
+    return write_raw(load_users(spark, kind, path, **options), zone, fmt=fmt)
 
 
 def label_and_split(users: DataFrame, key: str = "user_id", label_scope: str = "all") -> DataFrame:

@@ -473,6 +473,7 @@ ORACLES: dict[str, str] = {
     "metric_windows": f"WITH {windows('5 minutes')} {WINDOW_OUTPUT.format('win_v')}",
     "alarm_latency": alarm("1 hour", "avg_latency", "coalesce(value > 5000, false)", 2),
     "alarm_errors": alarm("1 hour", "errors", "coalesce(value > 4, false)", 2),
+    "alarm_error_rate": alarm("1 hour", "errors", "coalesce(value > 10, false)", 2),
     "alarm_low_traffic": alarm("5 minutes", "invocations", "coalesce(value < 1, true)", 6),
     "latest_snapshot": f"""WITH {ENGAGED} SELECT user_id, age, gender, location, session_count,
         round(engagement_score, 6) AS engagement_score, round(total_spent, 6) AS total_spent FROM eng_v""",

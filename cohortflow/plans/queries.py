@@ -467,6 +467,11 @@ def alarm_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _alarm(spark, sf_dir, TEST_ERROR_ALARM, "1 hour")
 
 
+@query
+def alarm_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _alarm(spark, sf_dir, monitoring.HIGH_ERROR_RATE, "1 hour")
+
+
 @query
 def alarm_low_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _alarm(spark, sf_dir, monitoring.LOW_INVOCATION, "5 minutes")

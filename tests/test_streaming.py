@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortflow.operators import monitoring
-from cohortflow.operators.model import LOGISTIC_REGRESSION
 from cohortflow.operators.assignment import assign_experiments
+from cohortflow.operators.model import LOGISTIC_REGRESSION
 from cohortflow.plans import jobs
-from cohortflow.schemas import NUMERIC_INPUTS, RAW_INPUTS, USER
+from cohortflow.schemas import NUMERIC_INPUTS, USER
 from cohortflow.session import materialize
 from cohortflow.sources import requests, synthetic
 from cohortflow.sources.tables import metric_points
