@@ -14,6 +14,7 @@ from cohortflow.session import build_session  # noqa: E402
 def spark():
     session = build_session("tests", 8)
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()
 
