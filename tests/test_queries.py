@@ -7,7 +7,9 @@ import io
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from cohortflow.plans.oracles import ORACLES
+from cohortflow.plans.queries import QUERIES
 from tests.oracle_check import compare, connect
 
 # Plan nodes that multiply inputs or leave the JVM.
@@ -26,12 +28,12 @@ def plan_of(df) -> str:
     return text.getvalue()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, connection, name):
-    df = queries()[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir)
     plan = plan_of(df)
     assert not [node for node in FORBIDDEN if node in plan]
-    sql = oracle_sql().get(name)
+    sql = ORACLES.get(name)
     if sql is None:
         assert df.count() > 0
     else:
@@ -39,7 +41,7 @@ def test_query(spark, sf_dir, connection, name):
 
 
 def test_every_oracle_has_a_query():
-    assert set(oracle_sql()) <= set(queries())
+    assert set(ORACLES) <= set(QUERIES)
 
 
 def test_entry(spark):
@@ -55,6 +57,6 @@ def test_entry(spark):
     ],
 )
 def test_scan_reads_only_needed_columns(spark, sf_dir, name, columns):
-    plan = plan_of(queries()[name](spark, sf_dir))
+    plan = plan_of(QUERIES[name](spark, sf_dir))
     schemas = [line.split("struct<")[1].rstrip(">") for line in plan.splitlines() if line.startswith("ReadSchema")]
     assert any(sorted(part.split(":")[0] for part in schema.split(",")) == sorted(columns) for schema in schemas)
