@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortflow.llm import fair_mix
+from cohortflow.llm import fair_mix, secret_scan
 from cohortflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +56,18 @@ SELECT doc_id, size, source_size, target,
          + cast(cast(reached + source_size AS double) / target <= last AS bigint)
          + cast(cast(reached + 2 * source_size AS double) / target <= last AS bigint)) ELSE 0 END AS taken
 FROM reached, cut"""
+
+
+@query
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: counts per pattern, a digest of the pattern spans, and all spans."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(secret_scan.digest_text(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.digest_text(F.array_sort(F.concat("base", "extra"))).alias("spans"),
+    )
