@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import fair_mix, secret_scan
-from cohortflow.llm.common import table
+from cohortflow.llm import fair_mix, language_id, secret_scan
+from cohortflow.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secret_scan.digest_text(F.col("base")), 256).alias("base_sha256"),
         secret_scan.digest_text(F.array_sort(F.concat("base", "extra"))).alias("spans"),
     )
+
+
+@query
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of the labelled rows."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False))
+    languages = language_id.learn(docs.where(~held_out).select("text", "lang"))
+    named = language_id.identify(docs.select("doc_id", "text"), languages)
+    return named.select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score").withColumn("held_out", held_out)
