@@ -130,3 +130,21 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         return span_hash(running_hash(self.data), self.starts, self.stops)
+
+
+def row_type(docs: DataFrame) -> str:
+    """The DDL type of a struct that holds a whole row of ``docs``."""
+    return "struct<%s>" % ", ".join(f"`{f.name.replace('`', '``')}`: {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+
+class Groups:
+    """Runs of equal (owner, value) pairs in sorted order: where each begins, how long it is, whom it belongs to."""
+
+    def __init__(self, owner: np.ndarray, values: np.ndarray):
+        self.order = np.lexsort((values, owner))
+        who, what = owner[self.order], values[self.order]
+        new = np.ones(len(who), bool)
+        new[1:] = (what[1:] != what[:-1]) | (who[1:] != who[:-1])
+        self.first = np.flatnonzero(new)
+        self.sizes = np.diff(np.append(self.first, len(who)))
+        self.owner, self.values = who[self.first], what[self.first]

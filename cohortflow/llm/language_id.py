@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import text_steps
+from cohortflow.llm.common import row_type, text_steps
 
 UNKNOWN = "und"
 #: Bound of the labelled sample: rows per language, bytes that one row gives, bytes of one language's reference.
@@ -169,9 +169,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Langua
 def identify(docs: DataFrame, languages: Languages, text: str = "text") -> DataFrame:
     """``docs`` as struct ``row`` with lang_pred and score, the share by which the winner beats the runner-up."""
     shared = docs.sparkSession.sparkContext.broadcast(languages)
-    schema = "row struct<%s>, lang_pred string, score double" % ", ".join(
-        f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema.fields
-    )
+    schema = f"row {row_type(docs)}, lang_pred string, score double"
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
