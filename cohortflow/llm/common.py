@@ -132,9 +132,11 @@ class Words:
         return span_hash(running_hash(self.data), self.starts, self.stops)
 
 
-def row_type(docs: DataFrame) -> str:
-    """The DDL type of a struct that holds a whole row of ``docs``."""
-    return "struct<%s>" % ", ".join(f"`{f.name.replace('`', '``')}`: {f.dataType.simpleString()}" for f in docs.schema.fields)
+def with_text(docs: DataFrame, text: str, keep: list[str] | None = None) -> tuple[DataFrame, str]:
+    """Columns ``row`` (a struct of the columns to keep, all by default) and ``_text``; and the DDL type of ``row``."""
+    names = docs.columns if keep is None else keep
+    packed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col(text).alias("_text"))
+    return packed, packed.schema["row"].dataType.simpleString()
 
 
 class Groups:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import row_type, text_steps
+from cohortflow.llm.common import text_steps, with_text
 
 UNKNOWN = "und"
 #: Bound of the labelled sample: rows per language, bytes that one row gives, bytes of one language's reference.
@@ -166,10 +166,10 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Langua
     return Languages(references)
 
 
-def identify(docs: DataFrame, languages: Languages, text: str = "text") -> DataFrame:
-    """``docs`` as struct ``row`` with lang_pred and score, the share by which the winner beats the runner-up."""
+def identify(docs: DataFrame, languages: Languages, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns to keep (all by default) as struct ``row`` with lang_pred and score, the share by which the winner beats the runner-up."""
     shared = docs.sparkSession.sparkContext.broadcast(languages)
-    schema = f"row {row_type(docs)}, lang_pred string, score double"
+    packed, row = with_text(docs, text, keep)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -188,4 +188,4 @@ def identify(docs: DataFrame, languages: Languages, text: str = "text") -> DataF
                 [batch.column("row"), pa.array(names, pa.string()), pa.array(score)], ["row", "lang_pred", "score"]
             )
 
-    return docs.select(F.struct("*").alias("row"), F.col(text).alias("_text")).mapInArrow(predict, schema)
+    return packed.mapInArrow(predict, f"row {row}, lang_pred string, score double")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import Groups, Words, row_type, running_hash, span_hash, text_buffer, text_steps
+from cohortflow.llm.common import Groups, Words, running_hash, span_hash, text_buffer, text_steps, with_text
 
 #: Bound of the labelled sample, and the shape of the forest.
 SAMPLE_ROWS = 20_000
@@ -204,8 +204,9 @@ def learn(docs: DataFrame, labels: DataFrame, learned: Column, text: str = "text
     return grow(x, table["y"].to_numpy().astype(float))
 
 
-def score(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
-    """``docs`` as struct ``row`` with ``score``, the probability of class 1."""
+def score(docs: DataFrame, forest: Forest, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns to keep (all by default) as struct ``row`` with ``score``, the probability of class 1."""
+    packed, row = with_text(docs, text, keep)
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,4 +214,4 @@ def score(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
             result = shared.value.score(statistics(batch.column("_text")))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(result)], ["row", "score"])
 
-    return docs.select(F.struct("*").alias("row"), F.col(text).alias("_text")).mapInArrow(predict, f"row {row_type(docs)}, score double")
+    return packed.mapInArrow(predict, f"row {row}, score double")

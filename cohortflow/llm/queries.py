@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import fair_mix, language_id, quality_trees, secret_scan
+from cohortflow.llm import fair_mix, language_id, piece_codec, quality_trees, secret_scan
 from cohortflow.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,7 +79,7 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False))
     languages = language_id.learn(docs.where(~held_out).select("text", "lang"))
-    named = language_id.identify(docs.select("doc_id", "text"), languages)
+    named = language_id.identify(docs, languages, keep=["doc_id"])
     return named.select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score").withColumn("held_out", held_out)
 
 
@@ -89,7 +89,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(id_remainder("doc_id", 3) == 1, F.lit(False))
     forest = quality_trees.learn(docs.select("doc_id", "text"), labels, ~held_out)
-    scored = quality_trees.score(docs.select("doc_id", "text"), forest)
+    scored = quality_trees.score(docs, forest, keep=["doc_id"])
     return scored.select(F.col("row.doc_id").alias("doc_id"), "score").select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, whether they decode to the text, and whether sentencepiece agrees."""
+    found = piece_codec.encode(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "round_trip", "parity", "token_ids")
