@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import fair_mix, language_id, piece_codec, quality_trees, secret_scan
+from cohortflow.llm import cap_dedup, curve_search, fair_mix, language_id, piece_codec, quality_trees, secret_scan
 from cohortflow.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,15 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, whether they decode to the text, and whether sentencepiece agrees."""
     found = piece_codec.encode(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "round_trip", "parity", "token_ids")
+
+
+@query
+def op3_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows to every twentieth embedding."""
+    return curve_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, "vec_id", "embedding")
+
+
+@query
+def op4_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings."""
+    return cap_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumnRenamed("id", "vec_id")
