@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import cap_dedup, curve_search, fair_mix, language_id, piece_codec, quality_trees, secret_scan
+from cohortflow.llm import cap_dedup, curve_search, fair_mix, language_id, piece_codec, quality_trees, secret_scan, shingle_join
 from cohortflow.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,9 @@ def op3_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings."""
     return cap_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumnRenamed("id", "vec_id")
+
+
+@query
+def op2_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingles agree to 85 %."""
+    return shingle_join.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85)
