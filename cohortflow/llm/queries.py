@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import cap_dedup, curve_search, fair_mix, language_id, piece_codec, quality_trees, secret_scan, shingle_join
+from cohortflow.llm import cap_dedup, class_lm, curve_search, fair_mix, language_id, piece_codec, quality_trees, secret_scan, shingle_join
 from cohortflow.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,11 @@ def op4_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingles agree to 85 %."""
     return shingle_join.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+@query
+def op8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and class-based log10 probabilities of all documents, learned from four fifths of them."""
+    held_out = F.coalesce(id_remainder("doc_id", 5) == 1, F.lit(False))
+    scores, model = class_lm.score_documents(table(spark, sf_dir, "documents"), held_out)
+    return scores.withColumns({"held_out": held_out, "train_tokens": F.lit(model.train_tokens).cast("long")})
