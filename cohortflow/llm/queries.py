@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import cap_dedup, class_lm, curve_search, fair_mix, language_id, piece_codec, quality_trees, secret_scan, shingle_join
+from cohortflow.llm import cap_dedup, class_lm, curve_search, fair_mix, language_id, piece_codec, quality_trees, secret_scan, shingle_join, suffix_index
 from cohortflow.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,13 @@ def op8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(id_remainder("doc_id", 5) == 1, F.lit(False))
     scores, model = class_lm.score_documents(table(spark, sf_dir, "documents"), held_out)
     return scores.withColumns({"held_out": held_out, "train_tokens": F.lit(model.train_tokens).cast("long")})
+
+
+@query
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated 200-byte strings leave of every document."""
+    found = suffix_index.without_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
