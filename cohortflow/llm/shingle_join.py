@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortflow.llm.common import Groups, Words, mix, shard_count, text_buffer, text_bytes, text_steps
@@ -44,7 +44,7 @@ HUB_ROUNDS = 3
 RANGES = 16
 _FACTORS = mix(np.arange(101, 165, dtype=np.uint64))
 MEMBER, ENTRIES, LOCAL, RETURNED = 0, 1, 2, 3
-CELLS = "shard int, batch long, kind int, doc_id long, place int, n long, digest binary, names binary, hashes binary, counts binary"
+CELLS = "shard int, batch long, kind int, doc_id long, mark long, place int, n long, digest binary, names binary, hashes binary, counts binary"
 
 
 def shingles(column: pa.Array, n: int) -> Groups:
@@ -67,7 +67,7 @@ def shingles(column: pa.Array, n: int) -> Groups:
 
 def _cells(rows: list[dict]) -> pa.RecordBatch:
     fields = [
-        ("shard", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int32()),
+        ("shard", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("place", pa.int32()),
         ("n", pa.int64()), ("digest", pa.binary()), ("names", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary()),
     ]
     return pa.RecordBatch.from_pylist(rows, pa.schema(fields))
@@ -106,9 +106,10 @@ def _documents(docs: DataFrame, n: int, shards: int, text: str) -> DataFrame:
         for step in text_steps(batches, text):
             sets = shingles(step.column(text), n)
             cuts = np.searchsorted(sets.owner, np.arange(step.num_rows + 1))
-            ids = step.column("doc_id").to_pylist()
+            ids, marks = step.column("doc_id").to_pylist(), step.column("mark").to_pylist()
             for row, (low, high) in enumerate(zip(cuts, cuts[1:])):
-                member = {"shard": number % shards, "batch": number, "kind": MEMBER, "doc_id": ids[row], "n": int(high - low)}
+                member = {"shard": number % shards, "batch": number, "kind": MEMBER, "doc_id": ids[row], "mark": marks[row]}
+                member["n"] = int(high - low)
                 if high > low:
                     values = sets.values[low:high]
                     member["digest"] = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
@@ -125,7 +126,8 @@ def _documents(docs: DataFrame, n: int, shards: int, text: str) -> DataFrame:
         if members:
             yield _send(number, shards, members, owner, hashes)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text)).mapInArrow(send, CELLS)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text))
+    return rows.mapInArrow(send, CELLS)
 
 
 def _count(table: pa.Table) -> pa.Table:
@@ -195,7 +197,8 @@ def _prefixes(table: pa.Table, percent: int) -> list[dict]:
 
 
 def classes_and_members(docs: DataFrame, n: int, percent: int, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Classes that may have a partner (digest, n, used, hashes from rare to frequent), and all members (doc_id, n, digest)."""
+    """Classes that may have a partner (digest, n, used, hashes from rare to frequent), and all members (doc_id, mark, n, digest),
+    where mark is a hash of the text."""
     shards = shard_count(text_bytes(docs, text), SHARD_BYTES)
     cells = _documents(docs, n, shards, text).groupBy("shard").applyInArrow(lambda t: _count(t), CELLS)
     cells = materialize(cells, "shingle-cells")
@@ -206,7 +209,7 @@ def classes_and_members(docs: DataFrame, n: int, percent: int, text: str = "text
 
     found = cells.groupBy("batch").applyInArrow(lambda t: prefixes(t), "digest binary, n long, used int, hashes binary")
     classes = materialize(found.dropDuplicates(["digest"]), "shingle-classes")
-    return classes, cells.where(F.col("kind") == MEMBER).select("doc_id", "n", "digest")
+    return classes, cells.where(F.col("kind") == MEMBER).select("doc_id", "mark", "n", "digest")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -309,13 +312,33 @@ def _meet(open_: DataFrame, hubs: DataFrame, all_pairs: bool) -> DataFrame:
     )
 
 
+def _labelled(docs: DataFrame, n: int, percent: int, text: str) -> DataFrame:
+    """All members with ``label``, a name of their component; null for an empty set."""
+    classes, members = classes_and_members(docs, n, percent, text)
+    labels = link_components(classes, percent).toDF("digest", "component")
+    named = members.join(labels, "digest", "left")
+    return named.select("doc_id", "mark", "n", F.coalesce("component", "digest").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: documents whose n-gram sets have a Jaccard similarity of
     ``percent`` / 100 or more are linked; the component is named by its smallest doc_id."""
-    classes, members = classes_and_members(docs, n, percent, text)
-    labels = link_components(classes, percent)
-    named = members.join(labels.toDF("digest", "component"), "digest", "left").withColumn("label", F.coalesce("component", "digest"))
+    named = _labelled(docs, n, percent, text)
     smallest = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return named.join(smallest, "label", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return named.join(smallest, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def distinct_documents(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the one with the smallest doc_id (and, among
+    equal ids, the smallest text hash) stays, once. Rows with an empty set all stay."""
+    named = _labelled(docs, n, percent, text)
+    first = named.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("id"), F.col("first.mark").alias("mark"), F.lit(1).alias("copies"))
+    empty = named.where("label is null").groupBy(F.col("doc_id").alias("id"), "mark").agg(F.count("*").cast("int").alias("copies"))
+    kept = kept.union(empty)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("mark"))
+    same = F.col("r.id").eqNullSafe(F.col("k.id")) & (F.col("r.mark") == F.col("k.mark"))
+    chosen = rows.alias("r").join(kept.alias("k"), same).select("row", "r.id", "r.mark", "copies")
+    again = F.row_number().over(Window.partitionBy("id", "mark").orderBy("id"))
+    return chosen.withColumn("again", again).where("again <= copies").select("row.*")
