@@ -103,9 +103,10 @@ class Languages:
         rows = np.repeat(np.arange(len(steps)), [len(s) for s in steps])
         bytes_ = np.fromiter((b for s in steps for b in s), np.int64, len(rows))
         target = np.fromiter((t for s in steps for t in s.values()), np.int64, len(rows))
-        start = np.zeros(self.width, np.int32)
+        # A byte that the reference lacks is a phrase of its own: it leads to a last row, where every byte begins one.
+        start = np.full(self.width, len(steps), np.int32)
         start[self.classes[bytes_[rows == 0]]] = target[rows == 0]
-        flat = np.repeat((start * self.width * 2 + 1)[None, :], len(steps), axis=0)
+        flat = np.repeat((start * self.width * 2 + 1)[None, :], len(steps) + 1, axis=0)
         flat[rows, self.classes[bytes_]] = target * self.width * 2
         return flat.ravel()
 
@@ -125,8 +126,8 @@ class Languages:
             grid = codes[begin[lanes][None, :] + np.arange(spans[0])[:, None]]
             alive = np.searchsorted(-spans, -np.arange(spans[0]), side="left")  # lanes longer than each step
             for k, flat in enumerate(self.tables):
-                state = np.zeros(len(lanes), np.int32)
-                count = np.ones(len(lanes), np.int32)  # the phrase that is open at the end
+                state = np.full(len(lanes), len(flat) - self.width, np.int32)  # the last row: a phrase begins
+                count = np.zeros(len(lanes), np.int32)
                 for step in range(spans[0]):
                     n = alive[step]
                     found = flat[state[:n] + grid[step, :n]]
