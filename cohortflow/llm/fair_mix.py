@@ -2,11 +2,12 @@
 
 Every document stands up to ``cap`` times in the queue of its source, in a shuffled order that depends on its id
 alone. The virtual finish time of a copy is the number of words of its source up to and with it, divided by the
-source's target; all copies are ordered by that time over all sources, and the queue is cut where the words reach
-the total budget.
+source's target, and the mix is the order of all copies of all sources by that time. Since the targets add up to the
+total budget, the words reach the budget where the time reaches 1: there the order is cut. A document that the cut goes
+through stays if at least half of it lies before, so a source misses its target by half a document at most.
 
 Defined results: a null text has size 0; documents of size 0 are never taken; a null source is a source of its own,
-ordered last; rows with equal id are ordered by size, and equal rows may stand for each other; an empty table gives
+ordered last; rows with equal id are ordered by size and text, and equal rows finish at the same time; an empty table gives
 an empty result; other columns pass through, whatever their names.
 """
 
@@ -20,9 +21,8 @@ from cohortflow.session import materialize
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-#: Groups of the shuffled order within a source, as hex digits, and intervals of virtual time.
+#: Groups of the shuffled order within a source, as hex digits.
 ORDER_DIGITS = 3
-TIME_STEPS = 65_536
 
 
 def word_count(text) -> Column:
@@ -88,43 +88,26 @@ def fair_mix(rows: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataF
         .join(named.alias("n"), F.col("q.source").eqNullSafe(F.col("n.source")) & (F.col("q.slice") == F.col("n.slice")))
         .select("doc_id", "q.source", "size", "digest", "source_size", "target", (F.col("reached") + F.col("offset")).alias("reached"))
     )
-    reached = materialize(reached, "mix-reached")
-    finishes = F.transform(
-        F.sequence(F.lit(0), F.lit(cap - 1)), lambda k: (F.col("reached") + k * F.col("source_size")).cast("double") / F.col("target")
-    )
-    queued = (F.col("size") > 0) & (F.col("target") > 0)
-    last = _cut(reached.where(queued).select("size", F.explode(finishes).alias("finish")), targets)
-    copies = F.when(queued, F.size(F.filter(finishes, lambda f: f <= F.lit(last)))).otherwise(F.lit(0))
+    # A copy is taken if its middle lies before time 1; doubled, so that all but the target are whole numbers.
+    doubled = F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), lambda k: 2 * (F.col("reached") + k * F.col("source_size")) - F.col("size"))
+    copies = F.size(F.filter(doubled, lambda d: d.cast("double") <= 2 * F.col("target")))
+    copies = F.when(F.col("size") > 0, copies).otherwise(F.lit(0))
     return reached.withColumn("copies", copies).select(
-        "doc_id", "source", "size", "digest", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "doc_id", "source", "size", "digest", "source_size", "target", "reached", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
 def mixed_rows(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; other columns pass through."""
+    """The rows of ``docs``, each as often as the mix takes it, in the order of the mix; other columns pass through."""
     plan = fair_mix(queue_rows(docs, text), weights, cap).where("copies > 0")
-    plan = plan.groupBy("doc_id", "source", "digest").agg(F.max("copies").alias("copies"))
+    # Rows that are equal here have equal plans.
+    plan = plan.dropDuplicates(["doc_id", "source", "digest"])
     digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
     packed = docs.select(F.struct("*").alias("row"), "doc_id", "source", digest.alias("digest"))
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("doc_id", "source", "digest")]
     joined = packed.alias("d").join(plan.alias("p").hint("shuffle_hash"), same[0] & same[1] & same[2])
-    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
-
-
-def _cut(copies: DataFrame, targets: DataFrame) -> float:
-    """The latest virtual finish time at which all copies up to it fit into the total budget; below 0 if none does.
-
-    Words per interval of time find the interval in which the budget ends; only its copies are ordered.
-    """
-    budget = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    step = F.least(F.floor(F.col("finish") * TIME_STEPS), F.lit(2 * TIME_STEPS)).cast("long")
-    steps = copies.groupBy(step.alias("step")).agg(F.sum("size").alias("words"))
-    running = steps.withColumn("before", F.sum("words").over(Window.orderBy("step")) - F.col("words"))
-    found = running.where(F.col("before") <= F.lit(budget)).orderBy(F.col("step").desc()).limit(1).first()
-    if found is None:
-        return -1.0
-    inside = copies.where(step == F.lit(found["step"])).withColumn("total", F.sum("size").over(Window.orderBy("finish")) + F.lit(found["before"]))
-    within = inside.where(F.col("total") <= F.lit(budget)).agg(F.max("finish")).first()[0]
-    if within is not None:
-        return within
-    return float(copies.where(step < F.lit(found["step"])).agg(F.coalesce(F.max("finish"), F.lit(-1.0))).first()[0])
+    times = F.transform(
+        F.sequence(F.lit(0), F.col("copies") - 1), lambda k: (F.col("reached") + k * F.col("source_size")).cast("double") / F.col("target")
+    )
+    queue = joined.select("row", F.col("d.digest").alias("digest"), F.explode(times).alias("finish"))
+    return queue.repartitionByRange("finish", "digest").sortWithinPartitions("finish", "digest").select("row.*")

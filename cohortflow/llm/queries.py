@@ -44,18 +44,13 @@ targets AS (
 reached AS (
   SELECT doc_id, size, source_size, target,
          sum(size) OVER (PARTITION BY q.source ORDER BY place, size, digest) AS reached
-  FROM queue q JOIN targets t ON q.source IS NOT DISTINCT FROM t.source),
-copies AS (
-  SELECT size, cast(reached + k * source_size AS double) / target AS finish
-  FROM reached, (VALUES (0), (1), (2)) v(k) WHERE size > 0 AND target > 0),
-ordered AS (SELECT finish, sum(size) OVER (ORDER BY finish) AS total FROM copies),
-cut AS (SELECT coalesce(max(finish), -1) AS last FROM ordered WHERE total <= (SELECT sum(source_size) FROM sums))
+  FROM queue q JOIN targets t ON q.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-       CASE WHEN size > 0 AND target > 0 THEN cast(size AS bigint) * (
-         cast(cast(reached AS double) / target <= last AS bigint)
-         + cast(cast(reached + source_size AS double) / target <= last AS bigint)
-         + cast(cast(reached + 2 * source_size AS double) / target <= last AS bigint)) ELSE 0 END AS taken
-FROM reached, cut"""
+       CASE WHEN size > 0 THEN cast(size AS bigint) * (
+         cast(cast(2 * reached - size AS double) <= 2 * target AS bigint)
+         + cast(cast(2 * (reached + source_size) - size AS double) <= 2 * target AS bigint)
+         + cast(cast(2 * (reached + 2 * source_size) - size AS double) <= 2 * target AS bigint)) ELSE 0 END AS taken
+FROM reached"""
 
 
 @query
