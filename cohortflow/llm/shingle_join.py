@@ -272,14 +272,15 @@ def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
 def link_components(classes: DataFrame, percent: int) -> DataFrame:
     """(node, component): the classes that are linked with others; all other classes are their own component."""
     postings = materialize(_postings(classes), "postings")
-    links = labels = tried = None
+    labels = postings.sparkSession.createDataFrame([], "digest binary, component binary")
+    links = tried = None
     for turn in range(HUB_ROUNDS + 1):
-        open_ = postings.withColumn("label", F.col("digest"))
-        if labels is not None:
-            open_ = postings.join(labels.toDF("digest", "component"), "digest", "left")
-            open_ = open_.withColumn("label", F.coalesce("component", "digest")).drop("component")
+        label = F.coalesce("component", "digest")
+        open_ = postings.join(labels, "digest", "left").withColumn("label", label).drop("component") if links is not None else postings.withColumn("label", F.col("digest"))
         mixed = open_.groupBy("hash").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
         open_ = materialize(open_.join(mixed.select("hash"), "hash"), "open-postings")
+        if open_.isEmpty():
+            break
         if turn < HUB_ROUNDS:
             # The hub of an n-gram is drawn by hash, another one in each round.
             by = F.struct(F.xxhash64("digest", F.lit(turn)).alias("h"), "digest", "n", "place", "ranges", "label")
@@ -292,9 +293,11 @@ def link_components(classes: DataFrame, percent: int) -> DataFrame:
         pairs = materialize(pairs, "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         found = materialize(_verified(pairs, classes, percent), "links")
+        if found.isEmpty():
+            continue
         links = found if links is None else links.union(found)
-        labels = materialize(components(links), "labels")
-    return labels
+        labels = materialize(components(links), "labels").toDF("digest", "component")
+    return labels.toDF("node", "component")
 
 
 def _meet(open_: DataFrame, hubs: DataFrame, all_pairs: bool) -> DataFrame:
