@@ -33,7 +33,7 @@ LEAST_COSINE = 0.95
 PASSED, PASSED_LEAST, PER_FILTER = 12, 6, 16
 CODEBOOK = 1024
 SAMPLE_ROWS = 256
-BLOCK = 2048
+BLOCK = 1024
 SEED = 4
 
 
@@ -90,15 +90,36 @@ def _units(vectors: np.ndarray) -> np.ndarray:
 
 def _local_roots(links: np.ndarray, names: np.ndarray) -> np.ndarray:
     """The smallest name in each one's component under the boolean matrix ``links``."""
-    a, b = np.nonzero(links)
     label = names.copy()
     while True:
         before = label.copy()
-        np.minimum.at(label, a, before[b])
+        for row in np.flatnonzero(links.any(axis=1)):
+            label[row] = min(label[row], label[links[row]].min())
         if (label == before).all():
             return label
 
 
+def _met_before(links: np.ndarray, starts: np.ndarray, flat: np.ndarray, here: int) -> np.ndarray:
+    """Which of the ``links`` also share a filter below ``here``; ``flat[starts[k]:starts[k + 1]]`` are the filters of k."""
+    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    below = flat < here
+    owner, names = owner[below], flat[below]
+    names, place, times = np.unique(names, return_inverse=True, return_counts=True)
+    # Filters that two of them pass, in portions that bound the memory.
+    shared = np.cumsum(times > 1) - 1
+    kept = times[place] > 1
+    owner, place = owner[kept], shared[place[kept]]
+    before = np.zeros_like(links)
+    for low in range(0, int((times > 1).sum()), 1024):
+        part = (place >= low) & (place < low + 1024)
+        held = np.zeros((len(links), 1024), np.float32)
+        held[owner[part], place[part] - low] = 1
+        before |= held @ held.T > 0
+        if before[links].all():
+            break
+    return before & links
+
+
 def near_duplicates(rows: DataFrame, key: str, vector: str, least: float = LEAST_COSINE) -> DataFrame:
     """(id, n_links, component_id, kept) for every row; ids as long."""
     spark = rows.sparkSession
@@ -142,19 +163,12 @@ def near_duplicates(rows: DataFrame, key: str, vector: str, least: float = LEAST
         np.fill_diagonal(links, False)
         if low != high:
             links &= block[:, None] != block[None, :]
-        passed = table["passed"].combine_chunks()
-        starts = passed.offsets.to_numpy()
-        flat = passed.values.to_numpy()
-        a, b = np.nonzero(np.triu(links))
-        # A pair counts where no smaller filter is passed by both.
-        smaller = [flat[s:e][: np.searchsorted(flat[s:e], here)] for s, e in zip(starts, starts[1:])]
-        sizes = np.array([len(x) for x in smaller])
-        counts = np.zeros((len(rep), len(rep)), bool)
-        if len(a):
-            names, place = np.unique(np.concatenate(smaller), return_inverse=True)
-            held = np.zeros((len(rep), len(names) + 1), np.float32)
-            held[np.repeat(np.arange(len(rep)), sizes), place] = 1
-            counts = links & (held @ held.T == 0)
+        counts = links
+        if links.any():
+            # A pair counts where no smaller filter is passed by both.
+            passed = table["passed"].combine_chunks()
+            starts = passed.offsets.to_numpy()
+            counts = links & ~_met_before(links, starts - starts[0], passed.flatten().to_numpy(), here)
         linked = np.flatnonzero(links.any(axis=1))
         return pa.table(
             {"rep": rep[linked], "links": (counts @ copies)[linked].astype(np.int64), "root": _local_roots(links, rep)[linked]}
