@@ -10,8 +10,7 @@ from cohortflow.functions.draws import beta_2_3, choice, exponential, normal, po
 from cohortflow.functions.numeric import at_least, clip, parse_number, safe_ratio, text_length, truncate
 from cohortflow.schemas import FULL_USER
 
-# Caps, user id prefix and the numbers behind the derived columns.
-ROW_CAP, CUSTOMER_CAP = 10_000, 5_000
+# Sizes of a top-up, user id prefix and the numbers behind the derived columns.
 TOP_UP_FLOOR, TOP_UP_TARGET = 1_000, 5_000
 USER_PREFIX = "amz_user_"
 AGE_BASE, AGE_SLOPE, AGE_SD, AGE_LOW, AGE_HIGH = 25, 40, 5, 18, 80
@@ -28,14 +27,12 @@ CONVERSION_CAP, CONVERSION_SLOPE, CONVERSION_NOISE, CONVERSION_NOISE_MEAN = 0.8,
 GENDER, LOCATION, AGE, AGE_ANGLE, SESSIONS, DURATION, VIEWS, PURCHASES, SPEND, BETA = range(10)
 
 
-def cap_rows(reviews: DataFrame, order_by: list[str], cap: int = ROW_CAP) -> DataFrame:
-    """The first ``cap`` rows in file order, which the caller names by its key columns."""
-    return reviews.orderBy(*order_by).limit(cap)
+def first_seen_customers(reviews: DataFrame, order_by: list[str]) -> DataFrame:
+    """All distinct customers with their first appearance; a missing or empty id counts as one.
 
-
-def first_seen_customers(reviews: DataFrame, order_by: list[str], cap: int = CUSTOMER_CAP) -> DataFrame:
-    """The first ``cap`` distinct customers by first appearance; a missing or empty id counts as one."""
-    return reviews.groupBy("customer_id").agg(_first_seen(order_by)).orderBy("_first_seen").limit(cap)
+    A caller that wants them in order sorts by ``_first_seen``.
+    """
+    return reviews.groupBy("customer_id").agg(_first_seen(order_by))
 
 
 def _first_seen(order_by: list[str]) -> Column:
@@ -44,13 +41,11 @@ def _first_seen(order_by: list[str]) -> Column:
     return F.min(key).alias("_first_seen")
 
 
-def review_totals(reviews: DataFrame, order_by: list[str] | None = None, cap: int | None = None) -> DataFrame:
+def review_totals(reviews: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """One row per customer with a usable id: counts, rating, votes, length and verified share.
 
     A single hash aggregate; a customer with very many reviews is reduced before the shuffle. With
-    ``cap`` only the first ``cap`` customers by first appearance are kept; the aggregate carries each
-    customer's first row, so the reviews are not read again. A missing or empty id counts toward the
-    cap and is dropped after it.
+    ``order_by`` the same aggregate carries each customer's first row as ``_first_seen``.
     """
     aggregates = [
         F.count("*").alias("review_count"),
@@ -60,14 +55,8 @@ def review_totals(reviews: DataFrame, order_by: list[str] | None = None, cap: in
         F.avg(text_length(F.col("review_body"))).alias("avg_review_length"),
         F.count_if(F.col("verified_purchase") == "Y").alias("verified_purchases"),
     ]
-    grouped = reviews.groupBy("customer_id")
-    if cap is None:
-        totals = grouped.agg(*aggregates)
-    else:
-        if not order_by:
-            raise ValueError("a cap needs the columns that give the file order")
-        seen = grouped.agg(*aggregates, _first_seen(order_by))
-        totals = seen.orderBy("_first_seen").limit(cap).drop("_first_seen")
+    seen = [_first_seen(order_by)] if order_by else []
+    totals = reviews.groupBy("customer_id").agg(*aggregates, *seen)
     return totals.where(F.col("customer_id").isNotNull() & (F.col("customer_id") != "")).withColumn(
         "verified_ratio", safe_ratio(F.col("verified_purchases"), F.col("review_count"))
     )
@@ -134,23 +123,16 @@ def profiles_from_totals(
     )
 
 
-def review_profiles(
-    reviews: DataFrame,
-    order_by: list[str] | None = None,
-    cap: int | None = CUSTOMER_CAP,
-    noise: bool = True,
-    seed: int = 42,
-    created_at: Column | None = None,
-) -> DataFrame:
-    """User rows from reviews. With ``order_by`` only the first ``cap`` customers are kept."""
-    totals = review_totals(reviews, order_by, cap if order_by else None)
-    return profiles_from_totals(totals, noise, seed, created_at)
+def review_profiles(reviews: DataFrame, noise: bool = True, seed: int = 42, created_at: Column | None = None) -> DataFrame:
+    """User rows from reviews, one for each customer with a rating."""
+    return profiles_from_totals(review_totals(reviews), noise, seed, created_at)
 
 
 def top_up(users: DataFrame, filler, floor: int = TOP_UP_FLOOR, target: int = TOP_UP_TARGET) -> DataFrame:
     """Append ``filler(target - n)`` when there are only ``n`` users, fewer than ``floor``.
 
-    Counting stops at ``floor``, so a large user table is not counted in full.
+    Only for callers that ask for invented users; no loader does so by itself. Counting stops at
+    ``floor``, so a large user table is not counted in full.
     """
     n = users.limit(floor).count()
     if n >= floor:

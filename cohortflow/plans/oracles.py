@@ -391,19 +391,14 @@ ORACLES: dict[str, str] = {
     "scaler_fit": f"""WITH {ENGAGED}, {derived('eng_v')}, {vocabulary('der_v')}, {encoded('der_v')}, {scaler('enc_v')}
         SELECT feature, round(mean, 6) AS mean, round(std, 6) AS std FROM scl_v""",
     "feature_matrix": f"WITH {FIT_ON_TRAIN} SELECT user_id, split, high_value_user AS target, {_SCALED} FROM enc_v",
-    "review_row_cap": f"""WITH {BULK} SELECT row_key, customer_id, star_rating FROM reviews_v
-        ORDER BY row_key LIMIT 10000""",
     "review_profile": f"WITH {REVIEWS}, {totals()} {TOTALS_OUTPUT}",
     "review_rejected": f"WITH {REVIEWS}, {totals()} SELECT customer_id, review_count FROM tot_v WHERE avg_rating IS NULL",
     "review_engagement": f"WITH {REVIEWS}, {totals()}, {profile_rows(False)} SELECT * FROM prof_v",
     "review_users_drawn": f"WITH {BULK}, {totals()}, {profile_rows(True)} SELECT * FROM prof_v",
-    "customer_cap_first_seen": f"""WITH {BULK},
-        first_v AS (SELECT customer_id, min(row_key) AS seen FROM reviews_v GROUP BY 1),
-        kept_v AS (SELECT customer_id FROM first_v ORDER BY seen LIMIT 1000),
-        capped_v AS (SELECT * FROM reviews_v WHERE customer_id IN (SELECT customer_id FROM kept_v)),
-        {totals('capped_v')} {TOTALS_OUTPUT}""",
-    "customers_first_seen": f"""WITH {REVIEWS} SELECT customer_id, min(row_key) AS row_key FROM reviews_v GROUP BY 1
-        ORDER BY row_key LIMIT 5000""",
+    "customer_totals_first_seen": f"""WITH {BULK}, {totals()},
+        first_v AS (SELECT customer_id, min(row_key) AS row_key FROM reviews_v GROUP BY 1)
+        SELECT customer_id, review_count, row_key, round(avg_rating, 6) AS avg_rating FROM tot_v JOIN first_v USING (customer_id)""",
+    "customers_first_seen": f"WITH {REVIEWS} SELECT customer_id, min(row_key) AS row_key FROM reviews_v GROUP BY 1",
     "event_stamps": """SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS compact,
         CASE WHEN date_trunc('second', ts) = ts THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS iso
         FROM events""",
@@ -478,9 +473,7 @@ ORACLES: dict[str, str] = {
     "latest_snapshot": f"""WITH {ENGAGED} SELECT user_id, age, gender, location, session_count,
         round(engagement_score, 6) AS engagement_score, round(total_spent, 6) AS total_spent FROM eng_v""",
     "review_tsv_scan": f"WITH {REVIEWS}, {totals()} {TOTALS_OUTPUT}",
-    "dataset_selector": f"""WITH {REVIEWS}, {totals()}, ok_v AS (SELECT count(*) AS n FROM tot_v WHERE avg_rating IS NOT NULL)
-        SELECT 'reviews' AS data_source, n AS n_users FROM ok_v WHERE n > 0
-        UNION ALL SELECT 'synthetic', 5000 - n FROM ok_v WHERE n < 1000""",
+    "dataset_selector": f"WITH {REVIEWS}, {totals()}, {profile_rows(False)} SELECT *, 'reviews' AS data_source FROM prof_v",
     "synthetic_users": f"WITH {synthetic('SELECT c_custkey AS id FROM customer')} SELECT * FROM syn_v",
     "stream_ingest": f"WITH {USERS} SELECT user_id, age, gender, location, page_views FROM users_v",
     "stream_capture": f"WITH {USERS} SELECT user_id, location, cast(page_views AS double) AS page_views FROM users_v",

@@ -34,7 +34,6 @@ FIXED_WEIGHTS, FIXED_INTERCEPT = {"engagement_score": 1.6, "total_spent": 1.2},
 # Alarm settings that fire on the test events, which are sparse.
 TEST_ERROR_ALARM = monitoring.Alarm("high_error_rate", "errors", True, 4, 2, False)
 CAPTURE_TEST_SHARE = 0.25
-CUSTOMER_CAP = 1000
 
 
 def query(function: Query) -> Query:
@@ -144,12 +143,6 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Reviews
 
 
-@query
-def review_row_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bulk = tables.order_line_reviews(spark, sf_dir)
-    return profiles.cap_rows(bulk, ["row_key"]).select("row_key", "customer_id", "star_rating")
-
-
 @query
 def review_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = profiles.usable(profiles.review_totals(tables.review_rows(spark, sf_dir)))
@@ -172,7 +165,7 @@ def review_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.rejected(profiles.review_totals(tables.review_rows(spark, sf_dir)))
 
 
-def _profile_output(users: DataFrame) -> DataFrame:
+def _profile_output(users: DataFrame, *more: str) -> DataFrame:
     doubles = [
         "avg_session_duration",
         "total_spent",
@@ -192,6 +185,7 @@ def _profile_output(users: DataFrame) -> DataFrame:
         "previous_experiments",
         "review_count",
         "helpful_votes_received",
+        *more,
         *_rounded(doubles),
     )
 
@@ -214,9 +208,9 @@ def customers_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def customer_cap_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bulk = tables.order_line_reviews(spark, sf_dir)
-    return _totals_output(profiles.review_totals(bulk, ["row_key"], CUSTOMER_CAP))
+def customer_totals_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    totals = profiles.review_totals(tables.order_line_reviews(spark, sf_dir), ["row_key"])
+    return totals.select("customer_id", "review_count", F.col("_first_seen").alias("row_key"), *_rounded(["avg_rating"]))
 
 
 @query
@@ -521,8 +515,7 @@ def review_tsv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def dataset_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _review_file(spark, sf_dir)
-    users = selector.load_users(spark, selector.REVIEWS, path, on_error="raise", row_cap=None, customer_cap=None)
-    return users.groupBy("data_source").agg(F.count("*").alias("n_users"))
+    return _profile_output(selector.load_users(spark, selector.REVIEWS, path, noise=False), "data_source")
 
 
 @query

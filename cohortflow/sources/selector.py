@@ -1,4 +1,4 @@
-"""Choice of the user source, with a visible fallback."""
+"""Choice of the user source."""
 
 from __future__ import annotations
 
@@ -9,9 +9,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.operators.profiles import CUSTOMER_CAP, ROW_CAP, cap_rows, review_profiles, top_up
+from cohortflow.operators.profiles import review_profiles, top_up
 from cohortflow.session import materialize
-from cohortflow.sources.reviews import FILE_ORDER, MalformedFile, overlong_rows, read_reviews
+from cohortflow.sources.reviews import overlong_rows, read_reviews
 from cohortflow.sources.synthetic import DEFAULT_USERS, synthetic_cohort
 
 log = logging.getLogger(__name__)
@@ -25,42 +25,36 @@ def _is_reviews(kind: str) -> bool:
 
 
 def users_from_reviews(
-    spark: SparkSession,
-    path: str,
-    row_cap: int | None = ROW_CAP,
-    customer_cap: int | None = CUSTOMER_CAP,
-    noise: bool = True,
-    seed: int = 42,
-    check_rows: bool = True,
+    spark: SparkSession, path: str, rejects: str | None = None, fill: bool = False, noise: bool = True, seed: int = 42
 ) -> DataFrame:
-    """Profiles of a review file, filled up with synthetic users when there are few; None lifts a cap.
+    """Profiles of all customers of the review files.
 
-    ``check_rows`` reads the text once more to refuse files with rows longer than their header.
+    Lines that are longer than their header cost only themselves; with ``rejects`` they are stored
+    there. ``fill`` adds synthetic users when there are few, and is off unless asked for.
     """
-    reviews = read_reviews(spark, path)
-    too_long = overlong_rows(spark, path, len(reviews.columns) - len(FILE_ORDER)) if check_rows else 0
-    if too_long:
-        raise MalformedFile(f"{too_long} rows are longer than the header")
-    if row_cap is not None:
-        reviews = cap_rows(reviews, FILE_ORDER, row_cap)
-    profiles = review_profiles(reviews, FILE_ORDER, customer_cap, noise, seed).withColumn("data_source", F.lit(REVIEWS))
+    if rejects is not None:
+        overlong_rows(spark, path).write.mode("append").parquet(rejects)
+    profiles = review_profiles(read_reviews(spark, path), noise, seed).withColumn("data_source", F.lit(REVIEWS))
     # Stored, so that counting the users does not read the reviews again.
-    return top_up(materialize(profiles, "profiles"), lambda n: synthetic_cohort(spark, n, seed).withColumn("data_source", F.lit(SYNTHETIC)))
+    profiles = materialize(profiles, "profiles")
+    if not fill:
+        return profiles
+    return top_up(profiles, lambda n: synthetic_cohort(spark, n, seed).withColumn("data_source", F.lit(SYNTHETIC)))
 
 
 def load_users(
     spark: SparkSession,
     kind: str = SYNTHETIC,
     path: str | None = None,
-    on_error: str = "fallback",
+    on_error: str = "raise",
     n: int = DEFAULT_USERS,
     seed: int = 42,
     **options,
 ) -> DataFrame:
     """Users of the chosen source; ``data_source`` says where each row really comes from.
 
-    An unknown kind or an unreadable file gives the synthetic cohort, or raises with
-    ``on_error="raise"``.
+    An unknown kind or an unreadable file raises, or gives the synthetic cohort with
+    ``on_error="fallback"``.
     """
     if on_error not in ("fallback", "raise"):
         raise ValueError(f"unknown on_error {on_error}")

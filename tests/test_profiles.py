@@ -25,9 +25,9 @@ def review_set(n=900, seed=3):
     return rows
 
 
-def brute_force(rows, cap):
+def brute_force(rows):
     """Profiles with every draw at its mean, customer by customer."""
-    order = list(dict.fromkeys(r[1] for r in rows))[:cap]
+    order = list(dict.fromkeys(r[1] for r in rows))
     found = {}
     for customer in order:
         if customer is None or customer == "":
@@ -60,14 +60,11 @@ def brute_force(rows, cap):
     return found
 
 
-@pytest.mark.parametrize("cap", [5, 20, 5000])
-def test_profiles_equal_brute_force(spark, cap):
+def test_profiles_equal_brute_force(spark):
     rows = review_set()
     df = spark.createDataFrame(rows, SCHEMA).repartition(7)
-    found = {
-        r["user_id"]: r.asDict() for r in profiles.review_profiles(df, ["row_key"], cap, noise=False).collect()
-    }
-    expected = brute_force(rows, cap)
+    found = {r["user_id"]: r.asDict() for r in profiles.review_profiles(df, noise=False).collect()}
+    expected = brute_force(rows)
     assert set(found) == set(expected)
     for user, wanted in expected.items():
         assert {k: found[user][k] for k in wanted} == pytest.approx(wanted)
@@ -80,9 +77,11 @@ def test_customers_without_a_rating_are_listed(spark):
     assert [r["customer_id"] for r in profiles.rejected(totals).collect()] == ["bad"]
 
 
-def test_row_cap_keeps_file_order(spark):
-    df = spark.createDataFrame(review_set(), SCHEMA).repartition(5)
-    assert sorted(r["row_key"] for r in profiles.cap_rows(df, ["row_key"], 17).collect()) == list(range(17))
+def test_customers_by_first_appearance(spark):
+    rows = review_set()
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    found = [r["customer_id"] for r in profiles.first_seen_customers(df, ["row_key"]).orderBy("_first_seen").collect()]
+    assert found == list(dict.fromkeys(r[1] for r in rows))
 
 
 def test_drawn_profiles_are_repeatable(spark):

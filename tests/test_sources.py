@@ -33,7 +33,7 @@ def test_review_fields_are_taken_literally(spark, tmp_path):
     assert rows["a"]["review_body"] == 'say "hi" \\ there'
     assert rows["b"]["review_body"] == '"open quote'
     assert rows["c"]["star_rating"] == "3" and rows["c"]["review_body"] is None and rows["c"]["verified_purchase"] is None
-    assert reviews.overlong_rows(spark, path, len(HEADER)) == 0
+    assert reviews.overlong_rows(spark, path).count() == 0
 
 
 def test_file_order(spark, tmp_path):
@@ -43,9 +43,32 @@ def test_file_order(spark, tmp_path):
         lines = [["US", f"c{part}{i:03d}", "5", "1", "2", "x", "Y"] for i in range(50)]
         review_file(folder / f"part-{part}.tsv.gz", lines)
     df = reviews.read_reviews(spark, str(folder))
-    first = profiles.cap_rows(df, reviews.FILE_ORDER, 70)
-    expected = [f"c0{i:03d}" for i in range(50)] + [f"c1{i:03d}" for i in range(20)]
-    assert sorted(r["customer_id"] for r in first.collect()) == expected
+    expected = [f"c{part}{i:03d}" for part in range(3) for i in range(50)]
+    assert [r["customer_id"] for r in df.orderBy(*reviews.FILE_ORDER).collect()] == expected
+    seen = profiles.first_seen_customers(df, reviews.FILE_ORDER).orderBy("_first_seen")
+    assert [r["customer_id"] for r in seen.collect()] == expected
+
+
+def test_files_with_swapped_columns_are_refused(spark, tmp_path):
+    folder = tmp_path / "swapped"
+    folder.mkdir()
+    review_file(folder / "a.tsv.gz", GOOD_LINES)
+    swapped = [HEADER[0], HEADER[2], HEADER[1], *HEADER[3:]]
+    with gzip.open(folder / "b.tsv.gz", "wt") as file:
+        file.write("\t".join(swapped) + "\n" + "\t".join(["US", "5", "c1", "1", "2", "x", "Y"]) + "\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        reviews.read_reviews(spark, str(folder)).collect()
+
+
+def test_a_bad_line_costs_one_row(spark, tmp_path):
+    lines = [["US", f"c{i}", "5", "1", "2", f"body {i}", "Y"] for i in range(12_000)]
+    lines[700] = [*lines[700], "extra"]
+    lines[900] = [*lines[900], "", " "]  # blanks at the end do not make a row longer
+    path = review_file(tmp_path / "r.tsv.gz", lines)
+    rejects = str(tmp_path / "rejects")
+    users = selector.load_users(spark, "reviews", path, rejects=rejects)
+    assert users.count() == 11_999 and users.where("user_id = 'amz_user_c700'").count() == 0
+    assert [r["line"] for r in spark.read.parquet(rejects).collect()] == ["\t".join(lines[700])]
 
 
 def test_missing_review_column(spark, tmp_path):
@@ -56,21 +79,19 @@ def test_missing_review_column(spark, tmp_path):
 
 
 @pytest.mark.parametrize("kind", ["reviews", "shop-reviews"])
-def test_selector_reads_reviews_and_tops_up(spark, tmp_path, kind):
+def test_selector_reads_reviews(spark, tmp_path, kind):
     path = review_file(tmp_path / "r.tsv.gz", GOOD_LINES)
-    users = selector.load_users(spark, kind, path, on_error="raise")
-    assert {r["data_source"]: r["count"] for r in users.groupBy("data_source").count().collect()} == {
-        "reviews": 20, "synthetic": 4980
-    }
+    count = lambda users: {r["data_source"]: r["count"] for r in users.groupBy("data_source").count().collect()}
+    assert count(selector.load_users(spark, kind, path)) == {"reviews": 20}
+    assert count(selector.load_users(spark, kind, path, fill=True)) == {"reviews": 20, "synthetic": 4980}
 
 
-def test_selector_falls_back_visibly(spark, tmp_path):
-    too_long = review_file(tmp_path / "long.tsv.gz", [*GOOD_LINES, [*GOOD_LINES[0], "extra"]])
-    for kind, path in [("reviews", too_long), ("reviews", str(tmp_path / "absent.tsv")), ("taxi", None), ("reviews", None)]:
-        users = selector.load_users(spark, kind, path, n=30)
+def test_selector_raises_and_falls_back_only_when_asked(spark, tmp_path):
+    for kind, path in [("reviews", str(tmp_path / "absent.tsv")), ("taxi", None), ("reviews", None)]:
+        users = selector.load_users(spark, kind, path, n=30, on_error="fallback")
         assert [tuple(r) for r in users.groupBy("data_source").count().collect()] == [("synthetic", 30)]
         with pytest.raises(Exception):  # noqa: B017 - any error will do, as long as it is raised
-            selector.load_users(spark, kind, path, on_error="raise").count()
+            selector.load_users(spark, kind, path).count()
     assert selector.load_users(spark, "synthetic", n=7).count() == 7
 
 
