@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortflow.functions.draws import hash60
-from cohortflow.functions.numeric import safe_ratio
 from cohortflow.session import lookup_side
 
 # Share of all rows for test, share of the remainder for validation, seed.
@@ -16,12 +15,20 @@ HASH_BITS, BUCKET_BITS = 60, 16
 
 
 def _shares(strata: DataFrame, size: str, total: str, quota: str) -> DataFrame:
-    """Divide ``total`` rows over the strata in proportion to ``size`` by largest remainder."""
+    """Divide ``total`` rows over the strata in proportion to ``size`` by largest remainder.
+
+    Products are decimals, which hold those of two row counts, and remainders are whole numbers.
+    """
     everyone = Window.partitionBy()
-    exact = safe_ratio(F.col(size) * F.col(total), F.sum(size).over(everyone))
+    wide = "decimal(19,0)"
+    product = F.col(size).cast(wide) * F.col(total).cast(wide)
+    whole = F.sum(size).over(everyone).cast(wide)
+    parts = strata.select("*", product.alias("_product"), whole.alias("_whole")).select(
+        *strata.columns,
+        F.coalesce(F.expr("_product div nullif(_whole, 0)"), F.lit(0)).alias("_floor"),
+        F.coalesce(F.expr("_product % nullif(_whole, 0)"), F.lit(0)).alias("_remainder"),
+    )
     by_remainder = Window.orderBy(F.col("_remainder").desc(), "_label")
-    # Rounded so that equal remainders stay equal and the lower label wins.
-    parts = strata.select("*", F.floor(exact).alias("_floor"), F.round(exact - F.floor(exact), 9).alias("_remainder"))
     extra = F.row_number().over(by_remainder) <= F.col(total) - F.sum("_floor").over(everyone)
     return parts.select(*strata.columns, (F.col("_floor") + extra.cast("int")).cast("bigint").alias(quota))
 
@@ -42,7 +49,7 @@ def quotas(label_counts: DataFrame, test_share: float = TEST_SHARE, validation_s
 
 
 def _cuts(keyed: DataFrame, test_share: float, validation_share: float) -> DataFrame:
-    """Per label, the last (hash, key) of the test rows and of the validation rows.
+    """Per label, the last (hash, tie) of the test rows and of the validation rows.
 
     Bucket counts locate the bucket that holds each cut; only rows of those buckets are ranked.
     """
@@ -64,7 +71,7 @@ def _cuts(keyed: DataFrame, test_share: float, validation_share: float) -> DataF
         .where((F.col("_before") < F.col("position")) & (F.col("position") <= F.col("_upto")))
         .select("_edge_label", F.col("_bucket").alias("_edge_bucket"), "cut", "position", "_before")
     )
-    in_edge = Window.partitionBy("_label", "cut").orderBy("_hash", "_key")
+    in_edge = Window.partitionBy("_label", "cut").orderBy("_hash", "_tie")
     near = keyed.join(
         lookup_side(edges),
         F.col("_label").eqNullSafe(F.col("_edge_label")) & (F.col("_bucket") == F.col("_edge_bucket")),
@@ -72,7 +79,7 @@ def _cuts(keyed: DataFrame, test_share: float, validation_share: float) -> DataF
     last = (
         near.withColumn("_place", F.row_number().over(in_edge) + F.col("_before"))
         .where(F.col("_place") == F.col("position"))
-        .select("_label", "cut", F.struct("_hash", "_key").alias("at"))
+        .select("_label", "cut", F.struct("_hash", "_tie").alias("at"))
     )
     return last.groupBy("_label").agg(
         F.max(F.when(F.col("cut") == "test", F.col("at"))).alias("_test_end"),
@@ -90,24 +97,26 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split`` (train, validation, test); sizes are exact for the whole table and per label.
 
-    Rows of a label are taken in the order of a hash of ``key``, which must be unique. Whether a row
-    is in a split depends only on its own hash and the label's two cut points, so no row is ranked
-    against its whole label.
+    Rows of a label are taken in the order of a hash of ``key``; rows without a key, or with the same
+    one, in that of a hash of all their columns, so only rows that are equal throughout share a place.
+    Whether a row is in a split depends only on its own hash and the label's two cut points, so no row
+    is ranked against its whole label.
     """
-    hashed: Column = hash60(F.col(key), seed)
-    keyed = df.withColumns({"_label": F.col(label), "_key": F.col(key), "_hash": hashed}).withColumn(
+    tie = F.xxhash64(*df.columns)
+    hashed: Column = F.coalesce(hash60(F.col(key), seed), hash60(tie.cast("string"), seed))
+    keyed = df.withColumns({"_label": F.col(label), "_tie": tie, "_hash": hashed}).withColumn(
         "_bucket", F.shiftright("_hash", HASH_BITS - BUCKET_BITS)
     )
-    cuts = _cuts(keyed.select("_label", "_key", "_hash", "_bucket"), test_share, validation_share)
+    cuts = _cuts(keyed.select("_label", "_tie", "_hash", "_bucket"), test_share, validation_share)
     cuts = cuts.withColumnRenamed("_label", "_cut_label")
-    at = F.struct("_hash", "_key")
+    at = F.struct("_hash", "_tie")
     split = (
         F.when(at <= F.col("_test_end"), "test").when(at <= F.col("_validation_end"), "validation").otherwise("train")
     )
     return (
         keyed.join(lookup_side(cuts), F.col("_label").eqNullSafe(F.col("_cut_label")), "left")
         .withColumn("split", split)
-        .drop("_label", "_key", "_hash", "_bucket", "_cut_label", "_test_end", "_validation_end")
+        .drop("_label", "_tie", "_hash", "_bucket", "_cut_label", "_test_end", "_validation_end")
     )
 
 

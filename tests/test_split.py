@@ -69,3 +69,30 @@ def test_missing_label_is_a_stratum(spark):
     found = members(spark, [(f"u{i}", None if i < 50 else 1) for i in range(100)], 4)
     assert Counter(found.values()) == {"test": 20, "validation": 20, "train": 60}
     assert Counter(found[f"u{i}"] for i in range(50)) == {"test": 10, "validation": 10, "train": 30}
+
+
+def test_quotas_of_a_huge_table(spark):
+    sizes = [600_000_000_007, 399_999_999_989, 7]
+    found = split.quotas(spark.createDataFrame(list(enumerate(sizes)), "_label int, n long")).orderBy("_label").collect()
+
+    def shares(parts, total):
+        whole = sum(parts)
+        quota = [p * total // whole for p in parts]
+        order = sorted(range(len(parts)), key=lambda i: (-(parts[i] * total % whole), i))
+        for i in order[: total - sum(quota)]:
+            quota[i] += 1
+        return quota
+
+    test = shares(sizes, math.ceil(round(0.2 * sum(sizes), 9)))
+    rest = [s - t for s, t in zip(sizes, test)]
+    assert [r["n_test"] for r in found] == test
+    assert [r["n_validation"] for r in found] == shares(rest, math.ceil(round(0.25 * sum(rest), 9)))
+
+
+def test_missing_and_repeated_keys_are_split_exactly(spark):
+    rows = [(None if i < 300 else f"u{i % 50}" if i < 700 else f"v{i}", 1, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "user_id string, y int, place int")
+    found = {r["place"]: r["split"] for r in split.stratified_split(df.repartition(3), "y", "user_id").collect()}
+    assert Counter(found.values()) == {"test": 200, "validation": 200, "train": 600}
+    again = split.stratified_split(df.repartition(7), "y", "user_id").collect()
+    assert found == {r["place"]: r["split"] for r in again}
