@@ -50,28 +50,43 @@ def window_statistics(points: DataFrame, period: str = DEFAULT_PERIOD, dims: lis
     )
 
 
+#: Periods that one task evaluates together.
+CHUNK = 288
+
+
 def dense_periods(
-    windows: DataFrame, period: str, dims: list[str] = DIMENSIONS, until: str | None = None
+    windows: DataFrame, period: str, dims: list[str] = DIMENSIONS, until: str | None = None, overlap: int = 0
 ) -> DataFrame:
     """Every period between a dimension's first and last one; periods without data have null statistics.
 
-    Each row adds the silent periods up to the next row, so the windows (and the events behind them)
-    are computed once. With ``until`` the last row adds the periods that end by that time.
+    Periods are numbered from the first one and cut into chunks of ``CHUNK``, so that no task holds a whole
+    dimension. Each chunk also holds the ``overlap`` periods before it; ``own`` says which are its own. With
+    ``until`` the last period is the last one that ends by that time.
     """
-    start = F.col("period_start")
-    step = F.expr(f"INTERVAL {period}")
-    last = start
+    names = [*dims, "period_start"]
+    length = f"timestampdiff(SECOND, first, first + INTERVAL {period})"
+    last = F.col("last")
     if until is not None:
-        last = F.greatest(start, F.lit(until).cast(windows.schema["period_start"].dataType) - step)
-    following = F.lead("period_start").over(Window.partitionBy(*dims).orderBy("period_start"))
-    statistics = [c for c in windows.columns if c not in ["period_start", *dims]]
-    reach = windows.withColumn("_following", following).withColumn("_last", F.coalesce(F.col("_following") - step, last))
-    spread = reach.withColumn("_period", F.explode(F.sequence(start, F.col("_last"), step)))
-    return spread.select(
-        F.col("_period").alias("period_start"),
+        ends = F.lit(until).cast(windows.schema["period_start"].dataType) - F.expr(f"INTERVAL {period}")
+        last = F.greatest(last, ends)
+    bounds = windows.groupBy(*dims).agg(F.min("period_start").alias("first"), F.max("period_start").alias("last"))
+    bounds = bounds.withColumn("last", last).withColumn("_length", F.expr(length))
+    bounds = bounds.withColumn("_count", F.expr("timestampdiff(SECOND, first, last) div _length"))
+    chunks = bounds.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"_count div {CHUNK}"))))
+    begin = F.greatest(F.lit(0).cast("long"), F.col("_chunk") * CHUNK - overlap)
+    end = F.least(F.col("_count"), F.col("_chunk") * CHUNK + CHUNK - 1)
+    periods = chunks.withColumn("_place", F.explode(F.sequence(begin, end))).select(
         *dims,
-        *[F.when(F.col("_period") == start, F.col(c)).alias(c) for c in statistics],
+        "_chunk",
+        (F.col("_place") >= F.col("_chunk") * CHUNK).alias("own"),
+        F.expr("first + make_dt_interval(0, 0, 0, cast(_place * _length AS decimal(18, 6)))").cast(windows.schema["period_start"].dataType).alias("period_start"),
     )
+    statistics = [c for c in windows.columns if c not in names]
+    left, right = periods.alias("p"), windows.alias("w")
+    same = F.lit(True)
+    for name in names:
+        same = same & F.col(f"p.{name}").eqNullSafe(F.col(f"w.{name}"))
+    return left.join(right, same, "left").select("p.*", *[F.col(f"w.{c}").alias(c) for c in statistics])
 
 
 def evaluate_alarm(
@@ -79,9 +94,9 @@ def evaluate_alarm(
 ) -> DataFrame:
     """State per period: ALARM, OK, or INSUFFICIENT_DATA until ``periods`` periods have passed.
 
-    Works on one row per period and dimension, not on the events behind them.
+    Works on one row per period and dimension (a stored table of windows), not on the events behind them.
     """
-    recent = Window.partitionBy(*dims).orderBy("period_start").rowsBetween(1 - alarm.periods, 0)
+    recent = Window.partitionBy(*dims, "_chunk").orderBy("period_start").rowsBetween(1 - alarm.periods, 0)
     value = F.col(alarm.statistic)
     breaches = F.sum(alarm.breach(value).cast("int")).over(recent)
     state = (
@@ -89,6 +104,6 @@ def evaluate_alarm(
         .when(breaches == alarm.periods, "ALARM")
         .otherwise("OK")
     )
-    return dense_periods(windows, period, dims, until).select(
-        "period_start", *dims, value.alias("value"), state.alias("state")
-    )
+    dense = dense_periods(windows, period, dims, until, alarm.periods - 1)
+    judged = dense.select("period_start", *dims, value.alias("value"), state.alias("state"), "own")
+    return judged.where("own").drop("own")

@@ -29,7 +29,7 @@ class InvalidInput(ValueError):
 def require_columns(df: DataFrame, names: list[str] = RAW_INPUTS) -> DataFrame:
     missing = [name for name in names if name not in df.columns]
     if missing:
-        raise InvalidInput(f"Missing required features: {missing}")
+        raise InvalidInput(f"inputs that are not there: {missing}")
     return df
 
 
@@ -38,7 +38,7 @@ def require_types(df: DataFrame) -> DataFrame:
     for name in RAW_INPUTS:
         wanted = StringType if name in CATEGORICAL_INPUTS else NumericType
         if not isinstance(df.schema[name].dataType, wanted):
-            raise InvalidInput(f"Invalid data type for {name}: {df.schema[name].dataType.simpleString()}")
+            raise InvalidInput(f"{name} can't be {df.schema[name].dataType.simpleString()}")
     return df
 
 

@@ -348,14 +348,18 @@ def alarm(period: str, value: str, breach: str, periods: int) -> str:
     return "WITH" + windows(period) + _alarm_from("win_v", period, value, breach, periods)
 
 
-def closed(period: str) -> str:
-    return (
-        windows(period)
-        + f""",
-closed_v AS (SELECT * FROM win_v
-             WHERE period_start + INTERVAL '{period}' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes')"""
-    )
-
+ANSWERED = (
+    FAULTY
+    + f""",
+mom_v AS (SELECT avg(coalesce(engagement_score, 0)) AS me, stddev_pop(coalesce(engagement_score, 0)) AS se,
+                 avg(coalesce(total_spent, 0)) AS ms, stddev_pop(coalesce(total_spent, 0)) AS ss FROM eng_v),
+lin_v AS (SELECT req_v.*, -2.0e0 + 1.6e0 * ((coalesce(engagement_score, 0) - me) / CASE WHEN se = 0 THEN 1 ELSE se END)
+                 + 1.2e0 * ((coalesce(total_spent, 0) - ms) / CASE WHEN ss = 0 THEN 1 ELSE ss END) AS linear FROM req_v, mom_v),
+fix_v AS (SELECT *, round(1.0e0 / (1.0e0 + exp(-linear)), 4) AS p1, cast(round(1.0e0 / (1.0e0 + exp(-linear)), 4) > 0.5e0 AS int) AS predicted,
+                 c_custkey % 53 <> 0 AS parses,
+                 c_custkey % 53 <> 0 AND NOT ({" OR ".join(f"coalesce({bad}, false)" for _, _, bad in _RULES)}) AS ok FROM lin_v)"""
+    + ASSIGNED[len(FIXED) :]
+)
 
 WINDOW_OUTPUT = """SELECT strftime(period_start, '%Y-%m-%d %H:%M:%S') AS period_start, variant_name,
   round(avg_latency, 6) AS avg_latency, errors, invocations FROM {}"""
@@ -475,10 +479,17 @@ ORACLES: dict[str, str] = {
     "review_tsv_scan": f"WITH {REVIEWS}, {totals()} {TOTALS_OUTPUT}",
     "dataset_selector": f"WITH {REVIEWS}, {totals()}, {profile_rows(False)} SELECT *, 'reviews' AS data_source FROM prof_v",
     "synthetic_users": f"WITH {synthetic('SELECT c_custkey AS id FROM customer')} SELECT * FROM syn_v",
-    "stream_ingest": f"WITH {USERS} SELECT user_id, age, gender, location, page_views FROM users_v",
-    "stream_capture": f"WITH {USERS} SELECT user_id, location, cast(page_views AS double) AS page_views FROM users_v",
-    "stream_metrics": f"WITH {closed('1 hour')} {WINDOW_OUTPUT.format('closed_v')}",
-    "stream_alarms": "WITH"
-    + closed("5 minutes")
-    + _alarm_from("closed_v", "5 minutes", "invocations", "coalesce(value < 1, true)", 6),
+    "stream_ingest": f"""WITH {ENGAGED} SELECT user_id, age, session_count, page_views, purchase_history, gender, location,
+        round(avg_session_duration, 6) AS avg_session_duration, round(total_spent, 6) AS total_spent,
+        round(engagement_score, 6) AS engagement_score, round(historical_conversion_rate, 6) AS historical_conversion_rate,
+        cast(NULL AS varchar) AS _corrupt_record FROM eng_v""",
+    "stream_score": f"WITH {ANSWERED} SELECT user_id, {ASSIGNED_COLUMNS} FROM asg_v WHERE ok",
+    "stream_answers": f"""WITH {ANSWERED} SELECT CASE WHEN ok THEN 'scored' ELSE 'refused' END AS status, count(*) AS n_requests
+        FROM asg_v GROUP BY 1""",
+    "stream_capture": f"""WITH {ANSWERED} SELECT user_id, CASE WHEN ok THEN 'scored' ELSE 'refused' END AS status,
+        CASE WHEN parses THEN location END AS location, CASE WHEN parses THEN cast(page_views AS double) END AS page_views,
+        CASE WHEN ok THEN predicted_bucket END AS predicted_bucket, CASE WHEN ok THEN confidence END AS confidence,
+        CASE WHEN ok THEN variant END AS variant FROM asg_v""",
+    "stream_metrics": f"WITH {windows('1 hour')} {WINDOW_OUTPUT.format('win_v')}",
+    "stream_alarms": alarm("5 minutes", "invocations", "coalesce(value < 1, true)", 6),
 }

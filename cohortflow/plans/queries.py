@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from cohortflow.functions import stamps
 from cohortflow.functions.history import HISTORY_TYPE, conversion_rate, format_history, parse_history
@@ -22,7 +23,7 @@ from cohortflow.operators.model import (
 from cohortflow.operators.model import model_metadata as describe_model
 from cohortflow.operators.split import split_sizes, stratified_split
 from cohortflow.plans import jobs
-from cohortflow.schemas import CATEGORICAL_FEATURES, CORRUPT, FEATURES, LABEL, RAW_INPUTS, TARGET
+from cohortflow.schemas import CATEGORICAL_FEATURES, CORRUPT, FEATURES, LABEL, RAW_INPUTS, TARGET, USER
 from cohortflow.session import materialize, scratch_path
 from cohortflow.sources import capture, registry, requests, reviews, selector, snapshots, synthetic, tables, zones
 from cohortflow.streaming import jobs as streams
@@ -313,13 +314,17 @@ def unknown_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.unknown_values(tables.faulty_requests(_engaged(spark, sf_dir)))
 
 
-def _json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.faulty_requests(_engaged(spark, sf_dir))
-    path = scratch_path(spark, "requests")
+def _request_text(rows: DataFrame) -> DataFrame:
     text = F.to_json(F.struct("user_id", *RAW_INPUTS))
     # Some requests send a number as a word.
     text = F.when(F.col("c_custkey") % 53 == 0, F.regexp_replace(text, '"page_views":[0-9]+', '"page_views":"many"')).otherwise(text)
-    rows.select(text.alias("value")).write.text(path)
+    return rows.select(text.alias("value"))
+
+
+def _json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.faulty_requests(_engaged(spark, sf_dir))
+    path = scratch_path(spark, "requests")
+    _request_text(rows).write.text(path)
     parsed = requests.read_requests(spark, path)
     validation.require_columns(parsed)
     return parsed
@@ -446,7 +451,8 @@ def metric_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _alarm(spark: SparkSession, sf_dir: str, alarm: monitoring.Alarm, period: str) -> DataFrame:
     points = tables.metric_points(tables.table(spark, sf_dir, "events"))
-    states = monitoring.evaluate_alarm(monitoring.window_statistics(points, period), alarm, period)
+    windows = materialize(monitoring.window_statistics(points, period), "windows")
+    states = monitoring.evaluate_alarm(windows, alarm, period)
     value = F.round(F.col("value").cast("double"), 6).alias("value")
     return states.select(_stamp_text("period_start"), "variant_name", value, "state")
 
@@ -604,46 +610,66 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     zone = scratch_path(spark, "drop")
     users.write.option("header", True).csv(f"{zone}/in")
     _finish(streams.ingest(streams.drop_folder(spark, f"{zone}/in", users.schema), f"{zone}/out", f"{zone}/checkpoint"))
-    return spark.read.parquet(f"{zone}/out").select("user_id", "age", "gender", "location", "page_views")
+    doubles = [n for n in RAW_INPUTS if n in USER.fieldNames() and USER[n].dataType == DoubleType()]
+    plain = [n for n in RAW_INPUTS if n not in doubles]
+    return spark.read.parquet(f"{zone}/out").select("user_id", *plain, *_rounded(doubles), CORRUPT)
 
 
-def _stream_model(spark: SparkSession, sf_dir: str) -> tuple[CohortModel, str]:
-    split = _training_sets(spark, sf_dir)
+def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All faulty requests, answered by a stream with the fixed score."""
+    users = _engaged(spark, sf_dir)
+    moments = materialize(features.scaler_row(users, list(FIXED_WEIGHTS)), "moments")
     zone = scratch_path(spark, "scoring")
-    split.select("user_id", *RAW_INPUTS).write.json(f"{zone}/in")
-    return train(_part(split, "train"), LOGISTIC_REGRESSION), zone
+    _request_text(tables.faulty_requests(users)).write.text(f"{zone}/in")
+    score = lambda rows: logistic_score(rows, moments, FIXED_WEIGHTS, FIXED_INTERCEPT)
+    _finish(streams.answer(requests.stream_requests(spark, f"{zone}/in"), score, f"{zone}/out", f"{zone}/checkpoint"))
+    return spark.read.parquet(f"{zone}/out")
 
 
 @query
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, zone = _stream_model(spark, sf_dir)
-    _finish(streams.score(requests.stream_requests(spark, f"{zone}/in"), model, f"{zone}/out", f"{zone}/checkpoint"))
-    return spark.read.parquet(f"{zone}/out").select("user_id", *_assigned_columns())
+    return streams.scored_rows(_answered(spark, sf_dir)).select("user_id", *_assigned_columns())
+
+
+@query
+def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Every request is in exactly one of the two.
+    return _answered(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n_requests"))
 
 
 @query
 def stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, zone = _stream_model(spark, sf_dir)
-    _finish(streams.capture(requests.stream_requests(spark, f"{zone}/in"), model, f"{zone}/out", f"{zone}/checkpoint"))
-    captured = spark.read.parquet(f"{zone}/out")
-    return captured.select("user_id", F.col("input.location").alias("location"), F.col("input.page_views").alias("page_views"))
+    captured = streams.captured_rows(_answered(spark, sf_dir))
+    name = F.coalesce("user_id", F.get_json_object("text", "$.user_id"))
+    return captured.select(
+        name.alias("user_id"),
+        "status",
+        *[F.when(F.col("text").isNull(), F.col(f"input.{n}")).alias(n) for n in ["location", "page_views"]],
+        F.col("output.predicted_bucket").alias("predicted_bucket"),
+        F.round("output.confidence", 6).alias("confidence"),
+        F.col("output.experiment_assignment.variant").alias("variant"),
+    )
 
 
-def _streamed_windows(spark: SparkSession, sf_dir: str, period: str) -> str:
+def _streamed_windows(spark: SparkSession, sf_dir: str, period: str) -> DataFrame:
+    """The windows that a drained stream has closed, and those that were still open."""
     zone = scratch_path(spark, "windows")
-    events = streams.event_stream(spark, sf_dir, "events.parquet")
-    _finish(streams.metric_windows(events, f"{zone}/out", f"{zone}/checkpoint", period))
-    return f"{zone}/out"
+    points = tables.metric_points(streams.event_stream(spark, sf_dir, "events.parquet"))
+    run = streams.metric_windows(points, f"{zone}/out", f"{zone}/checkpoint", period)
+    _finish(run)
+    events = tables.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rest = streams.open_windows(tables.metric_points(events), streams.watermark(run), period)
+    return materialize(spark.read.parquet(f"{zone}/out").unionByName(rest), "windows")
 
 
 @query
 def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windows = spark.read.parquet(_streamed_windows(spark, sf_dir, "1 hour"))
+    windows = _streamed_windows(spark, sf_dir, "1 hour")
     return windows.select(_stamp_text("period_start"), "variant_name", *_rounded(["avg_latency"]), "errors", "invocations")
 
 
 @query
 def stream_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _streamed_windows(spark, sf_dir, "5 minutes")
-    states = streams.alarm_states(spark, path, monitoring.LOW_INVOCATION, "5 minutes")
+    windows = _streamed_windows(spark, sf_dir, "5 minutes")
+    states = monitoring.evaluate_alarm(windows, monitoring.LOW_INVOCATION, "5 minutes")
     return states.select(_stamp_text("period_start"), "variant_name", F.col("value").cast("double").alias("value"), "state")

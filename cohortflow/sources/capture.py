@@ -11,6 +11,11 @@ from cohortflow.schemas import RAW_INPUTS
 # Fixed value: everything is captured by default.
 CAPTURE_SHARE = 1.0
 
+#: What a scored request answers.
+OUTPUTS = [
+    "predicted_bucket", "confidence", "high_value_probability", "standard_probability", "experiment_assignment", "model_version",
+]
+
 
 def captured(key: Column, share: float = CAPTURE_SHARE, salt: str = "capture") -> Column:
     """Whether a request is captured: a hash of its key, so repeats and retries decide alike."""
@@ -19,13 +24,11 @@ def captured(key: Column, share: float = CAPTURE_SHARE, salt: str = "capture") -
 
 def capture_rows(assigned: DataFrame, share: float = CAPTURE_SHARE, key: str = "user_id") -> DataFrame:
     """Input and output structs of the captured requests, with the capture date."""
-    outputs = ["predicted_bucket", "confidence", "high_value_probability", "standard_probability"]
-    outputs += ["experiment_assignment", "model_version"]
     identity = stable_key(F.col(key), RAW_INPUTS)
     return assigned.where(captured(identity, share)).select(
         F.col(key),
         F.struct(*RAW_INPUTS).alias("input"),
-        F.struct(*outputs).alias("output"),
+        F.struct(*OUTPUTS).alias("output"),
         F.current_date().alias("capture_date"),
     )
 

@@ -8,7 +8,6 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from cohortflow.functions.numeric import nulls_for_nan
 from cohortflow.schemas import CORRUPT, REQUEST
-from cohortflow.session import materialize
 
 # Fixed value: the one accepted content type.
 JSON_CONTENT = "application/json"
@@ -18,11 +17,31 @@ def _schema(schema: StructType) -> StructType:
     return StructType([*schema.fields, StructField(CORRUPT, StringType())])
 
 
-def _parsed_lines(lines: DataFrame, schema: StructType) -> DataFrame:
+def _parsed_bodies(bodies: DataFrame, schema: StructType) -> DataFrame:
+    """One row per request of each body (column ``value``): an object, or an array of objects; blank bodies have none.
+
+    What does not parse, or has a value of another type than the schema says, is kept as text in
+    ``_corrupt_record``: the request itself, or the whole body if an array can't be read.
+    """
+    text = F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))
+    listed = F.when(text.startswith("["), F.from_json(text, "array<string>"))
+    one = bodies.where(text != "").select(F.explode(F.coalesce(listed, F.array(text))).alias("body"))
     # from_json with options parses every field even if few are selected later, so that a bad value
     # in an unselected field is still seen; the JSON file reader would skip that field.
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    return nulls_for_nan(lines.select(F.from_json("value", _schema(schema), options).alias("r")).select("r.*"))
+    # A text field would take a number or a list as its text, so its own type is looked up.
+    texts = [f.name for f in schema.fields if isinstance(f.dataType, StringType)]
+    typed = one.select(
+        "body",
+        F.from_json("body", _schema(schema), options).alias("r"),
+        F.from_json("body", ", ".join(f"`{name}` variant" for name in texts)).alias("t"),
+    )
+    other = F.lit(False)
+    for name in texts:
+        other = other | F.coalesce(~F.schema_of_variant(F.col(f"t.{name}")).isin("STRING", "VOID"), F.lit(False))
+    rows = typed.select("r.*", F.when(other, F.col("body")).alias("_mistyped"))
+    found = [F.when(F.col("_mistyped").isNull(), F.col(f.name)).alias(f.name) for f in schema.fields]
+    return nulls_for_nan(rows.select(*found, F.coalesce(CORRUPT, "_mistyped").alias(CORRUPT)))
 
 
 def read_requests(
@@ -34,22 +53,17 @@ def read_requests(
 ) -> DataFrame:
     """One row per request object.
 
-    JSON lines by default, which splits across tasks; ``multi_line`` reads files that each hold one
-    object or an array of objects. Text that does not parse, or has a value of the wrong type, is
-    kept in ``_corrupt_record``.
+    A body per line by default, which splits across tasks; ``multi_line`` reads a body per file. A
+    body holds one object or an array of objects.
     """
     if content_type != JSON_CONTENT:
-        raise ValueError(f"Unsupported content type: {content_type}")
-    if not multi_line:
-        return _parsed_lines(spark.read.text(path), schema)
-    parsed = spark.read.schema(_schema(schema)).options(multiLine=True, columnNameOfCorruptRecord=CORRUPT).json(path)
-    # Stored so that later column choices cannot change which rows count as corrupt.
-    return nulls_for_nan(materialize(parsed, "requests"))
+        raise ValueError(f"only {JSON_CONTENT} is read, not {content_type}")
+    return _parsed_bodies(spark.read.text(path, wholetext=multi_line), schema)
 
 
 def stream_requests(spark: SparkSession, path: str, max_files: int = 1000, schema: StructType = REQUEST) -> DataFrame:
-    """New JSON-lines files of a folder as a stream."""
-    return _parsed_lines(spark.readStream.option("maxFilesPerTrigger", max_files).text(path), schema)
+    """New files of a folder, a body per line, as a stream."""
+    return _parsed_bodies(spark.readStream.option("maxFilesPerTrigger", max_files).text(path), schema)
 
 
 def accepted(requests: DataFrame) -> DataFrame:

@@ -6,19 +6,20 @@ checkpoint, which like its output belongs in storage that all executors share.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.types import StringType, StructField, StructType
 
+from cohortflow.functions.draws import stable_key
 from cohortflow.functions.numeric import nulls_for_nan
 from cohortflow.operators.assignment import assign_experiments
-from cohortflow.operators.model import CohortModel
 from cohortflow.operators.monitoring import DEFAULT_PERIOD, DIMENSIONS, Alarm, evaluate_alarm, window_statistics
 from cohortflow.operators.validation import is_valid
-from cohortflow.schemas import CORRUPT, FULL_USER
-from cohortflow.sources.capture import CAPTURE_SHARE, capture_rows
-from cohortflow.sources.tables import metric_points
+from cohortflow.schemas import CORRUPT, FULL_USER, RAW_INPUTS
+from cohortflow.sources.capture import CAPTURE_SHARE, OUTPUTS, captured
 
 WATERMARK_DELAY = "10 minutes"
 
@@ -31,8 +32,13 @@ def _start(stream: DataFrame, out: str, checkpoint: str, partition_by: list[str]
 
 
 def drop_folder(spark: SparkSession, folder: str, schema: StructType = FULL_USER, max_files: int = 1000) -> DataFrame:
-    """New user CSV files of a folder as a stream."""
-    return nulls_for_nan(spark.readStream.schema(schema).options(header=True, maxFilesPerTrigger=max_files).csv(folder))
+    """New user CSV files of a folder as a stream; a file whose header differs from the schema raises.
+
+    A row with a value that does not parse keeps its text in ``_corrupt_record``.
+    """
+    marked = StructType([*schema.fields, StructField(CORRUPT, StringType())])
+    options = {"header": True, "enforceSchema": False, "columnPruning": False, "columnNameOfCorruptRecord": CORRUPT}
+    return nulls_for_nan(spark.readStream.schema(marked).options(maxFilesPerTrigger=max_files, **options).csv(folder))
 
 
 def ingest(stream: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -40,27 +46,43 @@ def ingest(stream: DataFrame, out: str, checkpoint: str, **trigger) -> Streaming
     return _start(stream.withColumn("ingest_date", F.current_date()), out, checkpoint, ["ingest_date"], **trigger)
 
 
-def scored_stream(requests: DataFrame, model: CohortModel, key: str = "user_id") -> DataFrame:
-    """Valid requests, scored and assigned. The model's fitted state is fixed when the job starts."""
-    clean = requests.where(F.col(CORRUPT).isNull()).drop(CORRUPT) if CORRUPT in requests.columns else requests
-    return assign_experiments(model.score(clean.where(is_valid())), key=key)
+def answers(requests: DataFrame, score: Callable[[DataFrame], DataFrame], key: str = "user_id", share: float = CAPTURE_SHARE) -> DataFrame:
+    """One row per request: its inputs, its text if it does not parse, ``status`` (scored or refused), the output of a
+    scored one and whether it is captured. ``score`` adds ``predicted`` and ``p1``; it sees every row, and what it says
+    about a refused one is dropped."""
+    parses = F.col(CORRUPT).isNull() if CORRUPT in requests.columns else F.lit(True)
+    text = F.col(CORRUPT) if CORRUPT in requests.columns else F.lit(None).cast("string")
+    rows = requests.withColumns({"_text": text, "_ok": parses & F.coalesce(is_valid(), F.lit(False))}).drop(CORRUPT)
+    assigned = assign_experiments(score(rows), key=key)
+    identity = stable_key(F.col(key), [*RAW_INPUTS, "_text"])
+    return assigned.select(
+        F.col(key),
+        F.when(F.col("_ok"), "scored").otherwise("refused").alias("status"),
+        F.struct(*RAW_INPUTS).alias("input"),
+        F.col("_text").alias("text"),
+        F.when(F.col("_ok"), F.struct(*OUTPUTS)).alias("output"),
+        captured(identity, share).alias("captured"),
+        F.current_date().alias("capture_date"),
+    )
+
+
+def answer(
+    requests: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "user_id", share: float = CAPTURE_SHARE, **trigger
+) -> StreamingQuery:
+    """Score a stream of requests and store every one of them once, partitioned by date and status."""
+    return _start(answers(requests, score, key, share), out, checkpoint, ["capture_date", "status"], **trigger)
 
 
-def refused_stream(requests: DataFrame) -> DataFrame:
-    """Requests that do not parse or break a rule."""
-    return requests.where(F.col(CORRUPT).isNotNull() | ~is_valid())
+def scored_rows(stored: DataFrame, key: str = "user_id") -> DataFrame:
+    return stored.where("status = 'scored'").select(key, "output.*")
 
 
-def score(requests: DataFrame, model: CohortModel, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    return _start(scored_stream(requests, model), out, checkpoint, **trigger)
+def refused_rows(stored: DataFrame) -> DataFrame:
+    return stored.where("status = 'refused'").drop("output")
 
 
-def capture(
-    requests: DataFrame, model: CohortModel, out: str, checkpoint: str, share: float = CAPTURE_SHARE, **trigger
-) -> StreamingQuery:
-    """Store inputs and outputs of scored requests, partitioned by date."""
-    rows = capture_rows(scored_stream(requests, model), share)
-    return _start(rows, out, checkpoint, ["capture_date"], **trigger)
+def captured_rows(stored: DataFrame) -> DataFrame:
+    return stored.where("captured")
 
 
 def event_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", max_files: int = 1000) -> DataFrame:
@@ -71,7 +93,7 @@ def event_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", m
 
 
 def metric_windows(
-    events: DataFrame,
+    points: DataFrame,
     out: str,
     checkpoint: str,
     period: str = DEFAULT_PERIOD,
@@ -79,22 +101,44 @@ def metric_windows(
     dims: list[str] = DIMENSIONS,
     **trigger,
 ) -> StreamingQuery:
-    """Statistics of each closed window, written once when the watermark passes its end.
+    """Statistics of each closed window of a stream of points (ts, ``dims``, latency, err4xx), written once when the
+    watermark passes its end.
 
     State holds one row per open window and dimension. Rows behind the watermark are dropped; see
-    ``late_rows``.
+    ``LateRows``. What is still open when an input is drained comes from ``open_windows``.
     """
-    points = metric_points(events).withWatermark("ts", delay)
-    return _start(window_statistics(points, period, dims), out, checkpoint, **trigger)
+    return _start(window_statistics(points.withWatermark("ts", delay), period, dims), out, checkpoint, **trigger)
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows the query dropped behind its watermark, from its recent progress reports."""
-    return sum(
-        operator["numRowsDroppedByWatermark"]
-        for progress in query.recentProgress
-        for operator in progress["stateOperators"]
-    )
+def open_windows(points: DataFrame, until: str | None, period: str = DEFAULT_PERIOD, dims: list[str] = DIMENSIONS) -> DataFrame:
+    """The windows of drained ``points`` (a table) that a stream with watermark ``until`` has not closed."""
+    step = F.expr(f"INTERVAL {period}")
+    if until is None:
+        return window_statistics(points, period, dims)
+    limit = F.lit(until).cast("timestamp")
+    recent = points.where(F.col("ts") + step > limit)
+    return window_statistics(recent, period, dims).where(F.col("period_start") + step > limit)
+
+
+class LateRows(StreamingQueryListener):
+    """Counts the rows that queries drop behind their watermark, over their whole run: add it to ``spark.streams``."""
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        name = str(event.progress.id)
+        late = sum(operator.numRowsDroppedByWatermark for operator in event.progress.stateOperators)
+        self.dropped[name] = self.dropped.get(name, 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 def watermark(query: StreamingQuery) -> str | None:

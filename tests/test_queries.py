@@ -13,6 +13,7 @@ from cohortflow.plans.queries import QUERIES
 from tests.oracle_check import compare, connect
 
 # Plan nodes that multiply inputs or leave the JVM.
+ALONE = "SinglePartition"
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroups"]
 
 
@@ -33,6 +34,8 @@ def test_query(spark, sf_dir, connection, name):
     df = QUERIES[name](spark, sf_dir)
     plan = plan_of(df)
     assert not [node for node in FORBIDDEN if node in plan]
+    if "alarm" in name:
+        assert ALONE not in plan
     sql = ORACLES.get(name)
     if sql is None:
         assert df.count() > 0

@@ -148,10 +148,23 @@ def test_json_lines_keep_bad_text(spark, tmp_path):
     assert requests.accepted(parsed).select("age").count() == 2
     assert requests.quarantined(parsed).select(CORRUPT).count() == 3
     assert requests.accepted(parsed).where(F.col("total_spent").isNull()).count() == 1
-    with pytest.raises(ValueError, match="content type"):
+    with pytest.raises(ValueError, match="only application"):
         requests.read_requests(spark, str(tmp_path), content_type="text/csv")
 
 
+def test_bodies_of_every_form(spark, tmp_path):
+    bad = [REQUEST | {"gender": 5}, REQUEST | {"location": ["US"]}]
+    lines = [
+        json.dumps([REQUEST | {"age": 1}, REQUEST | {"age": 2}]), "", "   ", json.dumps(REQUEST | {"age": 3}), "[]",
+        json.dumps([REQUEST | {"age": 4}, bad[0]]), json.dumps(bad[1]), "[1, 2", "7", json.dumps(REQUEST | {"gender": None, "age": 5}),
+    ]
+    (tmp_path / "lines.json").write_text("\n".join(lines))
+    parsed = requests.read_requests(spark, str(tmp_path / "lines.json"))
+    assert sorted(r["age"] for r in requests.accepted(parsed).collect()) == [1.0, 2.0, 3.0, 4.0, 5.0]
+    kept = sorted(r[CORRUPT] for r in requests.quarantined(parsed).collect())
+    assert [json.loads(k) if k.startswith("{") else k for k in kept] == ["7", "[1, 2", *sorted(bad, key=json.dumps)]
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "csv"])
 def test_split_zone(spark, sf_dir, tmp_path, fmt):
     users = with_engagement(tables.user_rows(spark, sf_dir)).withColumns(
