@@ -3,8 +3,16 @@
 from __future__ import annotations
 
 from cohortflow.functions.draws import poisson_cdf
-from cohortflow.operators.validation import GENDER_VALUES
-from cohortflow.schemas import FEATURES
+
+# Written down apart from the code under test.
+# The names of the features.
+_FEATURE_NAMES = [
+    "age", "session_count", "avg_session_duration", "page_views", "purchase_history", "total_spent", "engagement_score",
+    "historical_conversion_rate", "spend_per_purchase", "session_efficiency", "gender_encoded", "location_encoded",
+    "age_group_encoded", "spending_tier_encoded",
+]
+
+GENDER_VALUES = ["male", "female", "other", "M", "F", "O"]
 
 USERS = """
 o AS (SELECT o_custkey AS k, count(*) AS n, cast(sum(cast(o_totalprice AS decimal(18,2))) AS double) AS amt
@@ -83,7 +91,7 @@ def scaler(source: str, name: str = "scl_v") -> str:
     rows = " UNION ALL ".join(
         f"SELECT '{n}' AS feature, avg(coalesce({n}, 0)::double) AS mean, "
         f"CASE WHEN stddev_pop(coalesce({n}, 0)::double) = 0 THEN 1 ELSE stddev_pop(coalesce({n}, 0)::double) END AS std FROM {source}"
-        for n in FEATURES
+        for n in _FEATURE_NAMES
     )
     return f"{name} AS ({rows})"
 
@@ -366,7 +374,7 @@ WINDOW_OUTPUT = """SELECT strftime(period_start, '%Y-%m-%d %H:%M:%S') AS period_
 
 _SCALED = ", ".join(
     f"round((coalesce({n}, 0)::double - (SELECT mean FROM scl_v WHERE feature = '{n}')) / (SELECT std FROM scl_v WHERE feature = '{n}'), 6) AS {n}"
-    for n in FEATURES
+    for n in _FEATURE_NAMES
 )
 
 FIT_ON_TRAIN = ",\n".join(
@@ -380,6 +388,19 @@ FIT_ON_TRAIN = ",\n".join(
     ]
 )
 
+# What a trained model says is not SQL's to know: these name the rows and relations that hold for any model.
+_RELATIONS = f"""WITH {SPLIT} SELECT user_id, split, high_value_user AS target, 1 AS bucket_fits, 1 AS confidence_fits,
+    1 AS sum_is_one, 1 AS experiment_fits, 1 AS priority_fits FROM spl_v"""
+
+_SCORE = "round(1.0e0 / (1.0e0 + exp(-linear)), 4)"
+
+
+def _gated(name: str, auc: str) -> str:
+    return f"""SELECT '{name}' AS model_id, CASE WHEN approved THEN 'Approved' ELSE 'Model did not meet approval criteria' END AS status
+        FROM (WITH {auc} SELECT accuracy >= 0.75e0 AND precision_1 >= 0.70e0 AND recall_1 >= 0.65e0
+              AND coalesce(auc >= 0.80e0, false) AS approved FROM met_v, auc_v)"""
+
+
 ORACLES: dict[str, str] = {
     "user_base": f"WITH {USERS} SELECT * FROM users_v",
     "engagement_minmax": f"WITH {ENGAGED} SELECT user_id, round(engagement_score, 6) AS engagement_score FROM eng_v",
@@ -492,4 +513,13 @@ ORACLES: dict[str, str] = {
         CASE WHEN ok THEN variant END AS variant FROM asg_v""",
     "stream_metrics": f"WITH {windows('1 hour')} {WINDOW_OUTPUT.format('win_v')}",
     "stream_alarms": alarm("5 minutes", "invocations", "coalesce(value < 1, true)", 6),
+    "rf_scores": _RELATIONS,
+    "lr_scores": _RELATIONS,
+    "lr_gradient": "SELECT unnest(["
+    + ", ".join(f"'{name}'" for name in [*_FEATURE_NAMES, "intercept"])
+    + "]) AS feature, 0.0e0 AS gradient",
+    "rf_importance_top5": "SELECT cast(range AS int) AS rank, 1 AS is_feature, 1 AS falls, 1 AS sum_is_one FROM range(1, 6)",
+    "model_evaluation": f"""WITH {SPLIT} SELECT count(*) AS n_test, count(*) FILTER (high_value_user = 1) AS n_high_value,
+        1 AS ranks_well FROM spl_v WHERE split = 'test'""",
+    "registry_gate": f"""{_gated("fixed", AUC)} UNION ALL {_gated("reversed", AUC.replace(_SCORE, f"round(1.0e0 - {_SCORE}, 4)"))}""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -544,10 +544,29 @@ def _part(split: DataFrame, name: str) -> DataFrame:
     return split.where(F.col("split") == name)
 
 
+def _score_checks() -> list:
+    """Relations that hold for the answers of any classifier: 1 where a row keeps them."""
+    p1, high = F.col("high_value_probability"), F.col("predicted_bucket") == "high_value"
+    kind = (
+        F.when((p1 > 0.5) & (p1 > 0.8), "premium_features")
+        .when(p1 > 0.5, "engagement_boost")
+        .when(p1 > 0.3, "conversion_optimization")
+        .otherwise("basic_features")
+    )
+    checks = {
+        "bucket_fits": high == (p1 > 0.5),
+        "confidence_fits": F.abs(F.col("confidence") - F.greatest(p1, 1 - p1)) < 1e-9,
+        "sum_is_one": F.abs(p1 + F.col("standard_probability") - 1) < 1e-9,
+        "experiment_fits": F.col("experiment_assignment.experiment_type") == kind,
+        "priority_fits": (F.col("experiment_assignment.priority") == "high") == (kind == "premium_features"),
+    }
+    return [found.cast("int").alias(name) for name, found in checks.items()]
+
+
 def _model_scores(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     split = _training_sets(spark, sf_dir)
     model = train(_part(split, "train"), **options)
-    return assign_experiments(model.score(split)).select("user_id", "split", TARGET, *_assigned_columns())
+    return assign_experiments(model.score(split)).select("user_id", "split", TARGET, *_score_checks())
 
 
 @query
@@ -560,15 +579,41 @@ def lr_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _model_scores(spark, sf_dir, kind=LOGISTIC_REGRESSION)
 
 
+@query
+def lr_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gradient of the penalised mean loss on the training rows: 0 where the fit has converged."""
+    rows = _part(_training_sets(spark, sf_dir), "train")
+    model = train(rows, LOGISTIC_REGRESSION)
+    scaled = model.features.transform(model.score(rows).select(*RAW_INPUTS, TARGET, "p1"))
+    miss = F.col("p1") - F.col(TARGET)
+    weights = dict(zip(FEATURES, model.classifier.coefficients.toArray().tolist()))
+    slopes = [(F.avg(miss * F.col(f"features_scaled.{n}")) + w / F.count("*")).alias(n) for n, w in weights.items()]
+    found = scaled.agg(*slopes, F.avg(miss).alias("intercept"))
+    pairs = [F.struct(F.lit(n).alias("feature"), F.round(F.abs(n), 3).alias("gradient")) for n in found.columns]
+    return found.select(F.inline(F.array(*pairs)))
+
+
 @query
 def rf_importance_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(_part(_training_sets(spark, sf_dir), "train"))
-    return top_features(feature_importance(model))
+    importance = materialize(feature_importance(model), "importance")
+    total = importance.agg((F.abs(F.sum("importance") - 1) < 1e-6).cast("int")).scalar()
+    order = Window.orderBy(F.desc("importance"), "feature")
+    top = top_features(importance).withColumn("rank", F.row_number().over(order))
+    falls = F.coalesce(F.lag("importance").over(order) >= F.col("importance"), F.lit(True))
+    return top.select("rank", F.col("feature").isin(FEATURES).cast("int").alias("is_feature"), falls.cast("int").alias("falls"), total.alias("sum_is_one"))
 
 
 @query
 def model_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.train_and_evaluate(_engaged(spark, sf_dir), LOGISTIC_REGRESSION).evaluation
+    """Test rows and true classes of the evaluation of a trained model, and whether it ranks them well."""
+    result = jobs.train_and_evaluate(_engaged(spark, sf_dir), LOGISTIC_REGRESSION)
+    record = result.evaluation.select(
+        F.col("business_metrics.total_test_users").alias("n_test"),
+        F.col("business_metrics.actual_high_value_users").alias("n_high_value"),
+        (F.col("test_auc") >= 0.8).cast("int").alias("ranks_well"),
+    )
+    return record
 
 
 @query
@@ -589,10 +634,17 @@ def model_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def registry_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = jobs.train_and_evaluate(_engaged(spark, sf_dir), LOGISTIC_REGRESSION)
+    """A score and the same one reversed, gated into registry and rejects."""
+    outcomes = materialize(_outcomes(spark, sf_dir), "outcomes")
+    turned = F.round(1 - F.col("p1"), 4)
+    reverse = outcomes.select("y", (turned > 0.5).cast("int").alias("predicted"), turned.alias("p1"))
     zone = scratch_path(spark, "models")
-    jobs.publish(result, "lr-1", zone, f"{zone}/rejected")
-    registered = spark.read.parquet(f"{zone}/model_registry").select("model_id", "status")
+    for name, rows in [("fixed", outcomes), ("reversed", reverse)]:
+        record = evaluation.approval(evaluation.all_metrics(rows))
+        metrics = F.struct(F.lit(name).alias("name"))
+        row = record.select(F.lit(name).alias("model_id"), F.lit(zone).alias("path"), metrics.alias("metrics"), "approve_model")
+        registry.gate_and_register(materialize(row, "candidate"), f"{zone}/registry", f"{zone}/rejected")
+    registered = spark.read.parquet(f"{zone}/registry").select("model_id", "status")
     refused = spark.read.parquet(f"{zone}/rejected").select("model_id", F.col("reason").alias("status"))
     return registered.unionByName(refused)
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -40,15 +42,33 @@ def _scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cohortflow-"))
     return spark.sparkContext.getCheckpointDir()
 
 
+_scopes: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared scratch folder."""
-    return f"{_scratch_root(spark)}/cohortflow/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the shared scratch folder, or below that of the innermost ``scratch_scope``."""
+    parent = _scopes[-1] if _scopes else f"{_scratch_root(spark)}/cohortflow/{spark.sparkContext.applicationId}"
+    return f"{parent}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables that are made inside are deleted at the end, so results must be written inside as well."""
+    path = scratch_path(spark, "scope")
+    _scopes.append(path)
+    try:
+        yield path
+    finally:
+        _scopes.remove(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 from types import SimpleNamespace
 
 import pytest
@@ -46,3 +47,12 @@ def test_materialize_keeps_schema_and_rows(spark):
     df = spark.range(10).select("id", F.lit(None).cast("string").alias("s"))
     stored = session.materialize(df, "t")
     assert stored.schema.names == df.schema.names and stored.exceptAll(df).count() == 0
+
+
+def test_a_scope_leaves_nothing_behind(spark, tmp_path):
+    with session.scratch_scope(spark) as path:
+        kept = session.materialize(spark.range(10), "numbers")
+        kept.write.parquet(str(tmp_path / "result"))
+        assert os.listdir(path.removeprefix("file:"))
+    assert not os.path.exists(path.removeprefix("file:"))
+    assert spark.read.parquet(str(tmp_path / "result")).count() == 10
