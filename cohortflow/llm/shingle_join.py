@@ -8,10 +8,10 @@ A document's set holds the 64-bit hashes of its distinct n-grams; equal sets are
    enough share one of these. N-grams of one document come first and have no partner, so most classes end here.
 3. Candidates meet on prefix n-grams. Length, positional and suffix filters bound the overlap of a pair from its sizes,
    the places of the shared prefix n-grams and counts by hash range; what is left is verified once, exactly.
-4. Only components are asked for, so in each of the first rounds the classes of an n-gram are compared with one of them,
-   a hub; pairs that a component joins by then need no check. The last round checks all remaining pairs of
-   different components, so no link between components is missed and a large group of near copies never gives all its
-   pairs.
+4. Only components are asked for, so first the classes of an n-gram are compared with one of them, a hub; pairs that a
+   component joins by then need no check. The last round checks all remaining pairs of different components, each in
+   the first n-gram that both prefixes hold, so no link between components is missed and a large group of near copies
+   does not give all its pairs.
 
 Defined results: a null text, or one without words, has an empty set and is its own component; a text with fewer words
 than n has its whole sequence as one n-gram; equal rows are linked; rows without id get the smallest id that they reach,
@@ -39,7 +39,7 @@ BATCH_BYTES, SHARD_BYTES = 4 << 20, 8 << 20
 LOCALLY_HOT = 64
 _HOT = np.uint32(1 << 31)
 #: Rounds that compare with a hub before the round that compares all.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 1
 #: Ranges of the hash space that the suffix filter counts in.
 RANGES = 16
 _FACTORS = mix(np.arange(101, 165, dtype=np.uint64))
@@ -282,12 +282,16 @@ def link_components(classes: DataFrame, percent: int) -> DataFrame:
         if open_.isEmpty():
             break
         if turn < HUB_ROUNDS:
-            # The hub of an n-gram is drawn by hash, another one in each round.
-            by = F.struct(F.xxhash64("digest", F.lit(turn)).alias("h"), "digest", "n", "place", "ranges", "label")
+            # The hub of an n-gram has the fewest n-grams of its own, as the middle of a group of near copies has; ties
+            # are drawn by hash, otherwise in each round.
+            alone = F.col("n") - F.aggregate("ranges", F.lit(0), lambda s, x: s + x)
+            by = F.struct(alone.alias("alone"), F.xxhash64("digest", F.lit(turn)).alias("h"), "digest", "n", "place", "ranges", "label")
             hubs = open_.groupBy("hash").agg(F.min(by).alias("hub")).select("hash", "hub.digest", "hub.n", "hub.place", "hub.ranges", "hub.label")
+            pairs = _meet(open_, hubs, F.lit(True))
         else:
-            hubs = open_
-        pairs = _candidates(_meet(open_, hubs, all_pairs=turn == HUB_ROUNDS), percent)
+            open_ = open_.join(_prefix_arrays(classes), "digest")
+            pairs = _first_meetings(open_, percent)
+        pairs = _candidates(pairs, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
@@ -300,13 +304,22 @@ def link_components(classes: DataFrame, percent: int) -> DataFrame:
     return labels.toDF("node", "component")
 
 
-def _meet(open_: DataFrame, hubs: DataFrame, all_pairs: bool) -> DataFrame:
-    """Rows (a, b, ...) for each shared n-gram of a class and a hub, or of any two classes, of different components."""
-    left, right = open_.alias("l"), hubs.alias("r")
-    apart = F.col("l.label") != F.col("r.label")
-    if all_pairs:
-        apart = apart & (F.col("l.digest") < F.col("r.digest"))
-    joined = left.join(right, (F.col("l.hash") == F.col("r.hash")) & apart)
+def _prefix_arrays(classes: DataFrame) -> DataFrame:
+    """(digest, prefix): the prefix n-grams of each class in order, from rare to frequent."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = zip(batch.column("hashes").to_pylist(), batch.column("used").to_pylist())
+            prefixes = pa.array([np.frombuffer(cell, np.int64)[:used] for cell, used in cells], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), prefixes], ["digest", "prefix"])
+
+    return classes.select("digest", "used", "hashes").mapInArrow(spread, "digest binary, prefix array<long>")
+
+
+def _meet(left: DataFrame, right: DataFrame, condition) -> DataFrame:
+    """Rows (a, b, ...) where a class of ``left`` and one of ``right`` share an n-gram and have different components."""
+    left, right = left.alias("l"), right.alias("r")
+    joined = left.join(right, (F.col("l.hash") == F.col("r.hash")) & (F.col("l.label") != F.col("r.label")) & condition)
     swap = F.col("l.digest") > F.col("r.digest")
     pick = lambda c, first, second: F.when(swap, F.col(f"{second}.{c}")).otherwise(F.col(f"{first}.{c}"))
     names = {"digest": "", "n": "n_", "place": "place_", "ranges": "ranges_"}
@@ -315,6 +328,21 @@ def _meet(open_: DataFrame, hubs: DataFrame, all_pairs: bool) -> DataFrame:
     )
 
 
+def _first_meetings(open_: DataFrame, percent: int) -> DataFrame:
+    """All pairs of classes of different components, each at the first n-gram that both prefixes hold.
+
+    Up to there a pair has nothing in common, so its places bound the overlap; sizes and ranges bound it as well.
+    """
+    n_l, n_r = F.col("l.n"), F.col("r.n")
+    needed = F.ceil(F.lit(percent) * (n_l + n_r) / F.lit(100 + percent))
+    after = F.least(n_l - F.col("l.place"), n_r - F.col("r.place"))
+    in_ranges = F.aggregate(F.zip_with("l.ranges", "r.ranges", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    before = lambda side: F.slice(f"{side}.prefix", 1, F.array_position(f"{side}.prefix", F.col(f"{side}.hash")).cast("int") - 1)
+    first = ~F.arrays_overlap(before("l"), before("r"))
+    once = F.col("l.digest") < F.col("r.digest")
+    return _meet(open_, open_, once & (after >= needed) & (in_ranges >= needed) & first)
+
+
 def _labelled(docs: DataFrame, n: int, percent: int, text: str) -> DataFrame:
     """All members with ``label``, a name of their component; null for an empty set."""
     classes, members = classes_and_members(docs, n, percent, text)
