@@ -27,13 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import running_hash, shard_count, span_hash, text_buffer, text_bytes, text_steps
+from cohortflow.llm.common import mix, running_hash, shard_count, span_hash, text_buffer, text_bytes, text_steps
 from cohortflow.llm.packing import pack, pack_sorted, unpack, unpack_sorted
 from cohortflow.session import materialize
 
 LENGTH = 200
 GRAM = 64
-BATCH_BYTES, SHARD_BYTES = 4 << 20, 4 << 20
+#: Bytes of text per batch, per shard of anchors and per shard of the index.
+BATCH_BYTES, ANCHOR_BYTES, SHARD_BYTES = 4 << 20, 32 << 20, 2 << 20
 #: Suffixes that a batch of the index has at least, but for the last one.
 BATCH_SUFFIXES = 1 << 16
 _LOW = np.uint64(0xFFFFFFFF)
@@ -75,7 +76,8 @@ class Runs:
         new = np.flatnonzero((np.diff(anchors, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
         self.first = starts[new]
         self.last = starts[np.append(new[1:], len(starts)) - 1]
-        self.anchor = hashes[anchors[new]]
+        # Mixed again: anchors are small hashes, and shards go by the high bits.
+        self.anchor = mix(hashes[anchors[new]])
         self.owner = owner[new]
 
 
@@ -158,45 +160,59 @@ def repeated_anchors(docs: DataFrame, shards: int, length: int) -> DataFrame:
 
 
 class LogIndex:
-    """Levels of sorted suffixes; ``add`` gives the numbers of all suffixes, old and new, that turn out to repeat."""
+    """Levels of sorted suffixes; ``add`` gives the numbers of all suffixes, old and new, that turn out to repeat.
+
+    A suffix is sorted by its first four bytes and then by the fingerprint of its first ``length`` bytes: a key holds
+    the four bytes and the high half of the fingerprint, and equal keys are told apart by the whole fingerprint.
+    """
 
     def __init__(self, length: int = LENGTH):
         self.length = length
-        #: (rank, first bytes, fingerprints, numbers), distinct suffixes in order.
+        #: (rank, keys, fingerprints, numbers), distinct suffixes in order.
         self.levels: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def _sorted(self, data: np.ndarray, starts: np.ndarray, numbers: np.ndarray):
+    def _suffix_array(self, data: np.ndarray, starts: np.ndarray, numbers: np.ndarray):
         prints = span_hash(running_hash(data), starts, starts + self.length)
-        lead = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)[starts]).view(">u8").ravel().astype(np.uint64)
-        order = np.lexsort((prints, lead))
-        return lead[order], prints[order], numbers[order]
+        lead = np.zeros(len(starts), np.uint64)
+        for k in range(4):
+            lead = (lead << np.uint64(8)) | data[starts + k].astype(np.uint64)
+        keys = (lead << np.uint64(32)) | (prints >> np.uint64(32))
+        order = np.lexsort((prints, keys))
+        return keys[order], prints[order], numbers[order]
 
     @staticmethod
-    def _merged(a, b):
-        """Both in one order, where each suffix that equals the one before it is marked. Sorted parts merge in linear time."""
-        lead, prints, numbers = (np.concatenate([x, y]) for x, y in zip(a, b))
-        order = np.lexsort((prints, lead))
-        lead, prints, numbers = lead[order], prints[order], numbers[order]
-        same = np.zeros(len(lead), bool)
-        same[1:] = (lead[1:] == lead[:-1]) & (prints[1:] == prints[:-1])
-        return lead, prints, numbers, same
+    def _scan(level, new) -> np.ndarray:
+        """For each new suffix the place of its equal in the level, or -1."""
+        keys, prints, _ = level
+        found = np.full(len(new[0]), -1, np.int64)
+        place = np.searchsorted(keys, new[0])
+        left = np.flatnonzero(place < len(keys))
+        while len(left):
+            left = left[keys[place[left]] == new[0][left]]
+            equal = prints[place[left]] == new[1][left]
+            found[left[equal]] = place[left[equal]]
+            left = left[~equal]
+            place[left] += 1
+            left = left[place[left] < len(keys)]
+        return found
 
     def add(self, data: np.ndarray, starts: np.ndarray, numbers: np.ndarray) -> np.ndarray:
         """A batch: the suffixes at ``starts`` of ``data``, each with at least ``length`` bytes left."""
-        nothing = tuple(np.zeros(0, kind) for kind in (np.uint64, np.uint64, np.int64))
-        lead, prints, names, same = self._merged(self._sorted(data, starts, numbers), nothing)
-        hits = [names[same], names[np.append(same[1:], False)]]
-        new = (lead[~same], prints[~same], names[~same])
+        keys, prints, names = self._suffix_array(data, starts, numbers)
+        same = np.zeros(len(keys), bool)
+        same[1:] = (keys[1:] == keys[:-1]) & (prints[1:] == prints[:-1])
+        hits = [names[same | np.append(same[1:], False)]]
+        new = (keys[~same], prints[~same], names[~same])
         for _, *level in self.levels:
-            _, _, names, same = self._merged(level, new)  # stable: of equal ones, the level's comes first
-            hits += [names[same], names[np.append(same[1:], False)]]
-            fresh = ~np.isin(new[2], names[same])
-            new = tuple(x[fresh] for x in new)
+            place = self._scan(level, new)
+            met = place >= 0
+            hits += [new[2][met], level[2][place[met]]]
+            new = tuple(x[~met] for x in new)
         rank = 0
         while self.levels and self.levels[-1][0] == rank:
             _, *level = self.levels.pop()
-            lead, prints, names, _ = self._merged(level, new)
-            new, rank = (lead, prints, names), rank + 1
+            order = np.argsort(np.concatenate([level[0], new[0]]), kind="stable")  # two sorted parts merge in linear time
+            new, rank = tuple(np.concatenate([a, b])[order] for a, b in zip(level, new)), rank + 1
         self.levels.append((rank, *new))
         return np.concatenate(hits)
 
@@ -229,9 +245,9 @@ def repeated_ranges(docs: DataFrame, shards: int, length: int) -> DataFrame:
     ``docs`` has text, digest and the packed anchors of the text that occur twice.
     """
     schema = pa.schema(
-        [("shard", pa.int32()), ("batch", pa.int64()), ("digest", pa.binary()), ("ranges", pa.binary()), ("digests", pa.list_(pa.binary())), ("runs", pa.binary()), ("bytes", pa.binary())]
+        [("shard", pa.int32()), ("batch", pa.int64()), ("digests", pa.list_(pa.binary())), ("owners", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary())]
     )
-    cells = "shard int, batch long, digest binary, ranges binary, digests array<binary>, runs binary, bytes binary"
+    cells = "shard int, batch long, digests array<binary>, owners binary, sizes binary, bytes binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, steps in _numbered(batches, "text"):
@@ -262,45 +278,39 @@ def repeated_ranges(docs: DataFrame, shards: int, length: int) -> DataFrame:
             data = np.concatenate(buffers)
             if not len(anchor):
                 continue
-            # Equal stretches of this batch are marked here, and one of them goes on without an owner. Those of a text
-            # that stands in this batch twice repeat as well.
+            # Equal stretches of this batch travel once, with all their owners; a text that stands in it twice owns its
+            # stretches twice. All that a shard learns of a stretch is in one row, so a task that is repeated with its
+            # rows in another order tells each shard the same.
+            twice = np.flatnonzero(np.isin(owner, np.fromiter(double, np.int64, len(double))))
+            anchor, owner, inside, size, at = (np.concatenate([x, x[twice]]) for x in (anchor, owner, inside, size, at))
             prints = span_hash(running_hash(data), at, at + size)
-            order = np.lexsort((prints, size, anchor))
-            same = np.zeros(len(order), bool)
-            same[1:] = (prints[order][1:] == prints[order][:-1]) & (size[order][1:] == size[order][:-1]) & (anchor[order][1:] == anchor[order][:-1])
-            marked = np.zeros(len(order), bool)
-            marked[order] = same | np.append(same[1:], False)
-            copied = np.zeros(len(order), bool)
-            copied[order] = same
-            marked |= np.isin(owner, np.fromiter(double, np.int64, len(double)))
-            here = np.flatnonzero(marked)
-            rows = _range_rows(digests, owner[here], inside[here], inside[here] + size[here]).to_pylist()
-            for row in rows:
-                row |= {"shard": number % shards, "batch": number}
-            sent = np.flatnonzero(~copied)
-            shard = _shards(anchor[sent], shards)
-            order = np.argsort(shard, kind="stable")
-            sent, shard = sent[order], shard[order]
+            shard = _shards(anchor, shards)
+            order = np.lexsort((owner, prints, size, anchor, shard))
+            anchor, owner, inside, size, at, prints, shard = (x[order] for x in (anchor, owner, inside, size, at, prints, shard))
+            new = np.ones(len(order), bool)
+            new[1:] = (prints[1:] != prints[:-1]) | (size[1:] != size[:-1]) | (anchor[1:] != anchor[:-1])
             cuts = np.searchsorted(shard, np.arange(shards + 1))
+            rows = []
             for k in np.flatnonzero(np.diff(cuts)):
-                part = sent[cuts[k] : cuts[k + 1]]
-                who, place = np.unique(np.where(marked[part], -1, owner[part]), return_inverse=True)
-                place = np.where(who[place] < 0, -1, place - (who[0] < 0))
-                body = data[_ranges(at[part], size[part])]
+                part = slice(cuts[k], cuts[k + 1])
+                first = new[part]
+                who, place = np.unique(owner[part], return_inverse=True)
                 rows.append(
                     {
-                        "shard": int(k), "batch": number, "digests": [digests[w] for w in who if w >= 0],
-                        "runs": pack(np.concatenate([place, inside[part], size[part]]).astype(np.int64)), "bytes": pack(body),
+                        "shard": int(k), "batch": number, "digests": [digests[w] for w in who],
+                        "owners": pack(np.concatenate([place, inside[part], np.cumsum(first) - 1]).astype(np.int64)),
+                        "sizes": pack(size[part][first].astype(np.int64)),
+                        "bytes": pack(data[_ranges(at[part][first], size[part][first])]),
                     }
                 )
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     def scan(table: pa.Table) -> pa.Table:
-        done = table.filter(table["ranges"].is_valid()).select(["digest", "ranges"])
-        rows = table.filter(table["ranges"].is_null()).sort_by("batch")
+        rows = table.sort_by("batch")
         index = LogIndex(length)
         digests: list[bytes] = []
         owners, insides, hits = [], [], []
+        known: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # owner, start and stop of stretches that repeat as a whole
         total = 0
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
         size_waiting = 0
@@ -319,26 +329,30 @@ def repeated_ranges(docs: DataFrame, shards: int, length: int) -> DataFrame:
             waiting.clear()
             size_waiting = 0
 
-        for names, runs, body in zip(*(rows[c].to_pylist() for c in ("digests", "runs", "bytes"))):
-            place, inside, sizes = unpack(runs, np.int64).reshape(3, -1)
-            data = unpack(body, np.uint8)
-            owner = np.where(place < 0, -1, place + len(digests))
+        for names, cell, sizes, body in zip(*(rows[c].to_pylist() for c in ("digests", "owners", "sizes", "bytes"))):
+            place, inside, which = unpack(cell, np.int64).reshape(3, -1)
+            sizes, data = unpack(sizes, np.int64), unpack(body, np.uint8)
+            owner = place + len(digests)
             digests += names
+            several = (np.bincount(which, minlength=len(sizes)) > 1)[which]
+            known.append((owner[several], inside[several], (inside + sizes[which])[several]))
+            # Only a stretch with a single owner has anything left to find out.
+            single = np.full((2, len(sizes)), -1, np.int64)
+            single[:, which[~several]] = owner[~several], inside[~several]
             count = sizes - length + 1
-            owners.append(np.repeat(owner, count).astype(np.int32))
-            insides.append(_ranges(inside, count))
+            owners.append(np.repeat(single[0], count).astype(np.int32))
+            insides.append(_ranges(single[1], count))
             waiting.append((data, sizes))
             size_waiting += int(count.sum())
             if size_waiting >= BATCH_SUFFIXES:
                 flush()
         if waiting:
             flush()
-        if not hits:
-            return done
         found = np.unique(np.concatenate(hits))
         owner, inside = np.concatenate(owners)[found], np.concatenate(insides)[found]
-        owner, inside = owner[owner >= 0], inside[owner >= 0]
-        return pa.concat_tables([done, _range_rows(digests, owner, inside, inside + length)])
+        owner, inside = owner[owner >= 0].astype(np.int64), inside[owner >= 0]
+        owner, start, stop = (np.concatenate(x) for x in zip(*known, (owner, inside, inside + length)))
+        return _range_rows(digests, owner, start, stop)
 
     sent = docs.mapInArrow(send, cells)
     return materialize(sent.groupBy("shard").applyInArrow(lambda t: scan(t), "digest binary, ranges binary"), "repeated-ranges")
@@ -350,8 +364,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -
         raise ValueError(f"matches must have at least {GRAM} bytes")
     digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     rows = docs.select("doc_id", F.col(text).alias("text"), digest.alias("digest"))
-    shards = shard_count(text_bytes(rows), SHARD_BYTES)
-    anchors = repeated_anchors(rows.select("text", "digest"), shards, length)
+    size = text_bytes(rows)
+    shards = shard_count(size, SHARD_BYTES)
+    anchors = repeated_anchors(rows.select("text", "digest"), shard_count(size, ANCHOR_BYTES), length)
     found = repeated_ranges(rows.select("text", "digest").join(anchors.hint("shuffle_hash"), "digest"), shards, length)
     ranges = found.groupBy("digest").agg(F.collect_set("ranges").alias("ranges"))
 
