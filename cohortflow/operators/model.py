@@ -131,7 +131,11 @@ def model_metadata(
     max_depth: int = MAX_DEPTH,
     random_state: int = RANDOM_STATE,
 ) -> DataFrame:
-    """One row describing a trained model."""
+    """One row describing a trained model. A forest's settings are its own; the arguments stand for those of a model
+    that has none."""
+    if model.kind == RANDOM_FOREST:
+        forest = model.classifier
+        n_estimators, max_depth, random_state = forest.getNumTrees, forest.getMaxDepth(), forest.getSeed()
     importance = feature_importance(model).agg(F.map_from_entries(F.collect_list(F.struct("feature", "importance"))))
     classes = training.select(F.array_sort(F.collect_set(F.col(target).cast("int"))))
     return SparkSession.active().range(1).select(

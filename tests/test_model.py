@@ -26,6 +26,9 @@ def test_training_job(spark, forest, tmp_path):
     assert validation["auc"] > 0.95 and validation["accuracy"] > 0.9
     sizes = {r["split"]: r["count"] for r in forest.split.groupBy("split").count().collect()}
     assert sizes == {"train": 1800, "validation": 600, "test": 600}
+    # Without arguments the settings come from the model.
+    plain = model_metadata(forest.model, forest.split, forest.split).first()["hyperparameters"]
+    assert plain["n_estimators"] == 20 and plain["max_depth"] == forest.model.classifier.getMaxDepth()
     metadata = forest.metadata.first()
     assert (metadata["training_samples"], metadata["validation_samples"]) == (1800, 600)
     assert metadata["target_classes"] == [0, 1] and metadata["feature_names"] == FEATURES
