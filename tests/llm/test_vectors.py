@@ -141,3 +141,36 @@ def test_links_of_the_registered_query(spark):
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     links = (unit @ unit.T >= 0.95).sum(axis=1) - 1
     assert [found[r.vec_id][0] for r in rows] == links.tolist()
+
+
+@pytest.mark.parametrize("vectors", [2_000, 1_000_000])
+@pytest.mark.parametrize("decay", [0.0, 0.5])
+def test_pairs_at_the_limit_meet_at_any_size(vectors, decay):
+    draw = np.random.default_rng(77)
+    scale = np.arange(1, 65) ** -decay
+    sample, unit, step = (cap_dedup._units(draw.normal(size=(n, 64)) * scale) for n in (256, 500, 500))
+    step = cap_dedup._units(step - (step * unit).sum(axis=1, keepdims=True) * unit)
+    moved = 0.9501 * unit + np.sqrt(1 - 0.9501**2) * step
+    code = cap_dedup.fitted_code(64, vectors, sample, 0.95)
+    assert min(map(len, code.decode(unit))) >= code.least
+    assert cap_dedup.missed(code, unit, (np.arange(500), moved)) <= 6
+
+
+@pytest.mark.parametrize("length", [2, 5])
+def test_links_in_few_dimensions(spark, length):
+    draw = np.random.default_rng(length)
+    unit = cap_dedup._units(draw.normal(size=(600, length)))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit)], "vec_id long, embedding array<double>")
+    found = {r.id: r.n_links for r in cap_dedup.near_duplicates(frame, "vec_id", "embedding").collect()}
+    want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    assert sum(found.values()) >= 0.995 * want.sum() and all(found[i] <= n for i, n in enumerate(want.tolist()))
+
+
+def test_links_of_the_sample_are_links(spark):
+    draw = np.random.default_rng(3)
+    unit = cap_dedup._units(np.repeat(draw.normal(size=(20, 8)), 50, axis=0) + 0.1 * draw.normal(size=(1000, 8)))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit)], "rep long, v array<double>").repartition(5)
+    first, moved = cap_dedup._sample_links(frame, np.arange(0, 1000, 50), unit[::50], 0.95)
+    want = np.minimum((unit[::50] @ unit.T >= 0.95).sum(axis=1) - 1, cap_dedup.SAMPLE_LINKS)
+    assert np.bincount(first, minlength=20).tolist() == want.tolist()
+    assert ((moved * unit[::50][first]).sum(axis=1) >= 0.95 - 1e-12).all() and len(np.unique(moved, axis=0)) <= 1000
