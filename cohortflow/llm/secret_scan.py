@@ -1,15 +1,16 @@
 """Secret scans in DataFrame operations only: three fixed patterns and a battery of randomness tests.
 
 The patterns give the base spans. The battery looks at unbroken runs of at least ``MIN_TOKEN`` key characters that mix
-letters and digits. The alphabet of a run (its encoding) is inferred from the characters it holds; three statistics
+letters and digits, and at their parts: a value behind a name, a piece of a path, what stands between dashes. The
+alphabet of a run or a part (its encoding) is inferred from the characters it holds; three statistics
 ask whether it could be uniform noise over that alphabet: the chi-squared sum of its character counts, the number
 of runs above and below the middle of the alphabet, and the correlation of neighbours. Squared and added, they give
 one probability. Ordinary words of as many letters serve as decoys: per band of lengths, the lowest probability is
 accepted at which the decoys' rate, carried over to all candidates, leaves a false share of at most ``FALSE_SHARE``.
-Longer runs are told apart more easily, so they get a lower bar. All counts cover all texts.
+Longer runs are told apart more easily, so they get a lower bar. All counts cover all texts, and parts as well as runs.
 
 Defined results: a null or empty text has no spans; spans are in code points, the end exclusive, sorted by start and
-then by kind; a run that a base span covers is not reported again; equal rows get equal results; other columns pass
+then by kind; a run or part that a base span touches is not reported again, nor a part of a reported one; equal rows get equal results; other columns pass
 through; an empty table gives an empty result.
 """
 
@@ -27,10 +28,18 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
 
 MIN_TOKEN = 20
-#: A run with a digit and a letter, not a part of a longer run.
-CANDIDATE = (
-    r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{%d,}" % MIN_TOKEN
-)
+
+
+def _mixed(marks: str, padding: str = "") -> str:
+    """Runs of letters, digits and ``marks`` with a digit and a letter, not a part of a longer run."""
+    return (
+        rf"(?<![A-Za-z0-9{marks}])(?=[A-Za-z{marks}]*[0-9])(?=[0-9{marks}]*[A-Za-z])[A-Za-z0-9{marks}]{{{MIN_TOKEN},}}{padding}"
+    )
+
+
+CANDIDATE = _mixed("+/_=-")
+#: Parts of a run: cut at '=' other than trailing padding, at '/' as well, and at all marks between names.
+PARTS = tuple(_mixed(marks, "(?:={1,2}(?![A-Za-z0-9+/_=-]))?") for marks in ("+/_-", "+_-", "+"))
 DECOY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{16,}(?![A-Za-z0-9+/_=-])"
 SENTENCE_WORD = "^[A-Z]?[a-z]+$"
 #: Lengths at which a band begins. Too few decoys are joined by those of the bands below: shorter, so stricter.
@@ -132,8 +141,14 @@ def _band(length: Column) -> Column:
 
 def acceptance(docs: DataFrame, text: str = "text") -> list[float]:
     """Per band of lengths, the lowest noise probability at which a run counts as random; above 1 if none does."""
+    runs_and_parts = F.flatten(
+        F.transform(
+            F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), F.lit(0)),
+            lambda t: F.array_distinct(F.concat(F.array(t), *[F.regexp_extract_all(t, F.lit(part), F.lit(0)) for part in PARTS])),
+        )
+    )
     candidates = F.transform(
-        F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), F.lit(0)),
+        runs_and_parts,
         lambda t: F.struct(t.alias("token"), _alphabet(t).alias("alphabet"), F.lit(False).alias("decoy")),
     )
     # A word stands for a run of its letters with digits mixed in, so the alphabet holds digits.
@@ -185,14 +200,15 @@ def acceptance(docs: DataFrame, text: str = "text") -> list[float]:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` as struct ``row`` with ``scanned``, the text, ``base``, the pattern spans, and ``extra``, the battery's.
 
-    The bars come from one pass over all texts before; a run that a base span touches is left out of ``extra``.
+    The bars come from one pass over all texts before; a run or part that a base span touches is left out of ``extra``.
     """
     bars = acceptance(docs, text)
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("scanned"))
     rows = rows.withColumn("base", base_spans(F.col("scanned")))
     if min(bars) > 1:
         return rows.withColumn("extra", F.slice("base", 1, 0))
-    rows = rows.withColumn("extra", pattern_spans(F.col("scanned"), CANDIDATE, "random"))
+    every = F.array_distinct(F.concat(*[pattern_spans(F.col("scanned"), pattern, "random") for pattern in (CANDIDATE, *PARTS)]))
+    rows = rows.withColumn("extra", F.when(F.col("scanned").rlike(CANDIDATE), every).otherwise(F.slice("base", 1, 0)))
     free = F.filter("extra", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (b["end"] > r["start"])))
     token = F.transform(
         free, lambda r: F.struct(r.alias("span"), F.substring(F.col("scanned"), r["start"] + 1, r["end"] - r["start"]).alias("token"))
@@ -202,7 +218,11 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.withColumn("runs", token).withColumn(
         "runs", F.expr(f"filter(runs, r -> {noise_probability('r.token', 'r.alphabet')} >= case {bar} end)")
     )
-    return rows.select("row", "scanned", "base", F.transform("runs", lambda r: r["span"]).alias("extra"))
+    # The widest of those that pass: a part of a passing run says nothing more.
+    rows = rows.withColumn("passing", F.transform("runs", lambda r: r["span"]))
+    wider = lambda r, o: (o["start"] <= r["start"]) & (o["end"] >= r["end"]) & (o["end"] - o["start"] > r["end"] - r["start"])
+    widest = F.filter("passing", lambda r: ~F.exists("passing", lambda o: wider(r, o)))
+    return rows.select("row", "scanned", "base", F.array_sort(widest).alias("extra"))
 
 
 def redacted(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:

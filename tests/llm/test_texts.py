@@ -243,6 +243,25 @@ def test_random_runs_are_told_from_words(spark):
     assert sum(found[i] for i in range(200, 560)) <= 3
 
 
+@pytest.mark.parametrize("before", ["signature=", "https://host/get?sig=", "store/objects/v2/", "build_artifact_", "run-id-"])
+@pytest.mark.parametrize("alphabet, size", [("0123456789ABCDEF", 32), ("0123456789abcdef", 28), ("0123456789abcdefghijklmnopqrstuvwxyz", 40)])
+def test_secrets_behind_names_and_paths(spark, before, alphabet, size):
+    draw = np.random.default_rng(6)
+    keys = ["".join(draw.choice(list(alphabet), size)) for _ in range(100)]
+    prose = [" ".join("".join(draw.choice(["tion", "the", "en", "an", "er", "ou"], 6)) for _ in range(30)) for _ in range(100)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([f"see {before}{k} here" for k in keys] + prose)], "doc_id long, text string")
+    left = {r.doc_id: r.text for r in secret_scan.redacted(docs).collect()}
+    assert np.mean([k not in left[i] for i, k in enumerate(keys)]) > 0.8
+    assert [left[100 + i] for i in range(100)] == prose
+
+
+def test_parts_of_runs():
+    cut = [re.findall(p, "name=0123456789abcdefABCDEF==") for p in (secret_scan.CANDIDATE, *secret_scan.PARTS)]
+    assert cut == [["name=0123456789abcdefABCDEF=="]] + [["0123456789abcdefABCDEF=="]] * 3
+    cut = [re.findall(p, "a/b-c_0123456789abcdefABCDEF") for p in (secret_scan.CANDIDATE, *secret_scan.PARTS)]
+    assert [c[0] for c in cut] == ["a/b-c_0123456789abcdefABCDEF"] * 2 + ["b-c_0123456789abcdefABCDEF", "0123456789abcdefABCDEF"]
+
+
 def test_pieces_agree_with_the_library(spark, corpus, nothing):
     peer = sentencepiece.SentencePieceProcessor(model_file=piece_codec.MODEL_PATH)
     found = piece_codec.encode(corpus)
