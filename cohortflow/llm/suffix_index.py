@@ -7,6 +7,8 @@
    levels. Arriving stretches form a batch, whose suffixes are sorted by their first bytes and then by a fingerprint of
    their first 200, so suffixes with a common start of 200 bytes are neighbours; the batch is merge-scanned against all
    levels for such matches, what is new becomes a level, and levels of equal rank merge into one of the next rank.
+   An anchor with more than ``CROWDED`` stretches is not held by one shard: its strings go one by one, as fingerprints,
+   to shards by fingerprint, where equal ones meet, once per batch and without their bytes.
 3. The marked strings come back as byte ranges per text, are joined, and cut out.
 
 Texts are told apart by their digest: all results depend on a text and the corpus only. Stretches that occur twice
@@ -37,8 +39,11 @@ GRAM = 64
 BATCH_BYTES, ANCHOR_BYTES, SHARD_BYTES = 4 << 20, 32 << 20, 2 << 20
 #: Suffixes that a batch of the index has at least, but for the last one.
 BATCH_SUFFIXES = 1 << 16
+#: Stretches of an anchor that one shard takes.
+CROWDED = 4096
 _LOW = np.uint64(0xFFFFFFFF)
 MEMBER, ENTRIES, REPEATED = 0, 1, 2
+STRETCHES, PRINTS, SETTLED = 0, 1, 2
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -85,6 +90,11 @@ def _shards(keys: np.ndarray, shards: int) -> np.ndarray:
     return (((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
+def _dealt(number: int, shards: int) -> int:
+    """The shard of a batch's own rows, mixed: numbers are multiples of a power of two."""
+    return int(_shards(mix(np.array([number + 1], np.uint64)), shards)[0])
+
+
 def _numbered(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
     """Steps of a task in batches of about ``BATCH_BYTES``, numbered the same when a task is repeated."""
     number, steps, size = TaskContext.get().partitionId() << 24, [], 0
@@ -99,10 +109,12 @@ def _numbered(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[in
 
 
 def repeated_anchors(docs: DataFrame, shards: int, length: int) -> DataFrame:
-    """(digest, anchors): per distinct text with any, its anchors that occur at two places or more, packed.
+    """(digest, anchors, crowded): per distinct text with any, its anchors that occur at two places or more, packed, and
+    which of them have more than ``CROWDED`` stretches.
 
     ``docs`` has text and digest.
     """
+    bound = CROWDED
     schema = pa.schema([("shard", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32()), ("digest", pa.binary()), ("anchors", pa.binary()), ("counts", pa.binary())])
     cells = "shard int, batch long, kind int, digest binary, anchors binary, counts binary"
 
@@ -117,12 +129,12 @@ def repeated_anchors(docs: DataFrame, shards: int, length: int) -> DataFrame:
                     if high > low and digest not in known:
                         known.add(digest)
                         cell = pack_sorted(np.unique(runs.anchor[low:high]))
-                        rows.append({"shard": number % shards, "batch": number, "kind": MEMBER, "digest": digest, "anchors": cell})
+                        rows.append({"shard": _dealt(number, shards), "batch": number, "kind": MEMBER, "digest": digest, "anchors": cell})
             anchors, counts = np.unique(np.concatenate(every), return_counts=True)
             cuts = np.searchsorted(_shards(anchors, shards), np.arange(shards + 1))
             for k in np.flatnonzero(np.diff(cuts)):
                 part = slice(cuts[k], cuts[k + 1])
-                rows.append({"shard": int(k), "batch": number, "kind": ENTRIES, "anchors": pack_sorted(anchors[part]), "counts": pack((counts[part] > 1).astype(np.uint8))})
+                rows.append({"shard": int(k), "batch": number, "kind": ENTRIES, "anchors": pack_sorted(anchors[part]), "counts": pack(counts[part].astype(np.uint32))})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     def count(table: pa.Table) -> pa.Table:
@@ -131,31 +143,37 @@ def repeated_anchors(docs: DataFrame, shards: int, length: int) -> DataFrame:
         parts = [unpack_sorted(x, np.uint64) for x in entries["anchors"].to_pylist()]
         back = []
         if parts:
-            twice = np.concatenate([unpack(x, np.uint8) for x in entries["counts"].to_pylist()])
-            anchors, place = np.unique(np.concatenate(parts), return_inverse=True)
-            again = np.bincount(place) + np.bincount(place, weights=twice) > 1
+            times = np.concatenate([unpack(x, np.uint32) for x in entries["counts"].to_pylist()])
+            place = np.unique(np.concatenate(parts), return_inverse=True)[1]
+            total = np.bincount(place, weights=times)
             cuts = np.cumsum([0] + [len(p) for p in parts])
             for batch, part, low, high in zip(entries["batch"].to_pylist(), parts, cuts, cuts[1:]):
-                kept = part[again[place[low:high]]]
-                if len(kept):
-                    back.append({"batch": batch, "kind": REPEATED, "anchors": pack_sorted(kept)})
+                here = total[place[low:high]]
+                if (here > 1).any():
+                    crowded = pack((here[here > 1] > bound).astype(np.uint8))
+                    back.append({"batch": batch, "kind": REPEATED, "anchors": pack_sorted(part[here > 1]), "counts": crowded})
         return pa.concat_tables([table.filter(pa.array(kinds != ENTRIES)).select(schema.names), pa.Table.from_pylist(back, schema)])
 
     def gather(table: pa.Table) -> pa.Table:
         kinds = table["kind"].to_numpy()
-        again = [unpack_sorted(x, np.uint64) for x in table.filter(pa.array(kinds == REPEATED))["anchors"].to_pylist()]
-        again = np.sort(np.concatenate(again)) if again else np.zeros(0, np.uint64)
+        repeated = table.filter(pa.array(kinds == REPEATED))
+        again, crowded = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+        if repeated.num_rows:
+            again = np.concatenate([unpack_sorted(x, np.uint64) for x in repeated["anchors"].to_pylist()])
+            crowded = np.concatenate([unpack(x, np.uint8) for x in repeated["counts"].to_pylist()])
+            order = np.argsort(again)
+            again, crowded = again[order], crowded[order]
         members = table.filter(pa.array(kinds == MEMBER))
         rows = []
         for digest, cell in zip(members["digest"].to_pylist(), members["anchors"].to_pylist()):
             anchors = unpack_sorted(cell, np.uint64)
             anchors = anchors[np.isin(anchors, again, assume_unique=True)]
             if len(anchors):
-                rows.append({"digest": digest, "anchors": pack_sorted(anchors)})
-        return pa.Table.from_pylist(rows, pa.schema([("digest", pa.binary()), ("anchors", pa.binary())]))
+                rows.append({"digest": digest, "anchors": pack_sorted(anchors), "crowded": pack(crowded[np.searchsorted(again, anchors)])})
+        return pa.Table.from_pylist(rows, pa.schema([("digest", pa.binary()), ("anchors", pa.binary()), ("crowded", pa.binary())]))
 
     counted = docs.mapInArrow(send, cells).groupBy("shard").applyInArrow(lambda t: count(t), cells)
-    found = counted.groupBy("batch").applyInArrow(lambda t: gather(t), "digest binary, anchors binary")
+    found = counted.groupBy("batch").applyInArrow(lambda t: gather(t), "digest binary, anchors binary, crowded binary")
     return materialize(found.dropDuplicates(["digest"]), "repeated-anchors")
 
 
@@ -239,20 +257,52 @@ def _range_rows(digests: list[bytes], owner: np.ndarray, starts: np.ndarray, sto
     return pa.Table.from_pylist(rows, pa.schema([("digest", pa.binary()), ("ranges", pa.binary())]))
 
 
-def repeated_ranges(docs: DataFrame, shards: int, length: int) -> DataFrame:
-    """(digest, ranges): byte ranges of a text that repeat, packed starts and stops; a text can have several rows.
+def sent_stretches(docs: DataFrame, shards: int, length: int) -> DataFrame:
+    """What each shard is told by each batch: stretches, fingerprints of crowded anchors, and what the batch has settled.
 
-    ``docs`` has text, digest and the packed anchors of the text that occur twice.
+    ``docs`` has text, digest, the packed anchors of the text that occur twice, and which of them are crowded.
     """
     schema = pa.schema(
-        [("shard", pa.int32()), ("batch", pa.int64()), ("digests", pa.list_(pa.binary())), ("owners", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary())]
+        [("shard", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32()), ("digests", pa.list_(pa.binary())), ("owners", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary())]
     )
-    cells = "shard int, batch long, digests array<binary>, owners binary, sizes binary, bytes binary"
+    cells = "shard int, batch long, kind int, digests array<binary>, owners binary, sizes binary, bytes binary"
+
+    def told_apart(number: int, digests: list[bytes], double: set, sums: np.ndarray, owner: np.ndarray, inside: np.ndarray, at: np.ndarray) -> list[dict]:
+        """Strings of crowded anchors: those that the batch has twice are settled, the others tell their owner."""
+        prints = span_hash(sums, at, at + length)
+        order = np.lexsort((inside, owner, prints, _shards(mix(prints), shards)))
+        owner, inside, prints = owner[order], inside[order], prints[order]
+        new = np.ones(len(order), bool)
+        new[1:] = prints[1:] != prints[:-1]
+        first = np.flatnonzero(new)
+        settled = np.repeat(np.diff(np.append(first, len(order))) > 1, np.diff(np.append(first, len(order))))
+        settled |= np.isin(owner, np.fromiter(double, np.int64, len(double)))
+        rows = []
+        if settled.any():
+            cells = _range_rows(digests, owner[settled], inside[settled], inside[settled] + length).to_pylist()
+            joined = [unpack(c["ranges"], np.int64).reshape(2, -1) for c in cells]
+            place = np.repeat(np.arange(len(cells)), [j.shape[1] for j in joined])
+            packed = pack(np.concatenate([place, *np.concatenate(joined, axis=1)]).astype(np.int64))
+            rows.append({"shard": _dealt(number, shards), "batch": number, "kind": SETTLED, "digests": [c["digest"] for c in cells], "owners": packed})
+        owner, inside = np.where(settled, -1, owner)[first], np.where(settled, -1, inside)[first]
+        prints = prints[first]
+        cuts = np.searchsorted(_shards(mix(prints), shards), np.arange(shards + 1))
+        for k in np.flatnonzero(np.diff(cuts)):
+            part = slice(cuts[k], cuts[k + 1])
+            who, place = np.unique(owner[part], return_inverse=True)
+            if who[0] < 0:
+                who, place = who[1:], place - 1
+            packed = pack(np.concatenate([place, inside[part]]).astype(np.int64))
+            rows.append(
+                {"shard": int(k), "batch": number, "kind": PRINTS, "digests": [digests[w] for w in who], "owners": packed, "bytes": pack_sorted(prints[part])}
+            )
+        return rows
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, steps in _numbered(batches, "text"):
             digests, known, double = [], {}, set()
             parts: list[tuple[np.ndarray, ...]] = []
+            heavy: list[tuple[np.ndarray, ...]] = []
             buffers, base = [], 0
             for step in steps:
                 names = step.column("digest").to_pylist()
@@ -266,9 +316,13 @@ def repeated_ranges(docs: DataFrame, shards: int, length: int) -> DataFrame:
                         known[name], fresh[k] = len(digests), True
                         digests.append(name)
                     place[k] = known[name]
-                wanted = [unpack_sorted(x, np.uint64) for x in step.column("anchors").to_pylist()]
-                wanted = np.unique(np.concatenate(wanted))
-                chosen = fresh[runs.owner] & np.isin(runs.anchor, wanted)
+                wanted = np.concatenate([unpack_sorted(x, np.uint64) for x in step.column("anchors").to_pylist()])
+                crowded = np.concatenate([unpack(x, np.uint8) for x in step.column("crowded").to_pylist()]) > 0
+                chosen = fresh[runs.owner] & np.isin(runs.anchor, wanted[crowded])
+                owner, count = runs.owner[chosen], (runs.last - runs.first)[chosen] + 1
+                inside = runs.first[chosen] - runs.offsets[owner]
+                heavy.append((np.repeat(place[owner], count), _ranges(inside, count), _ranges(base + runs.first[chosen], count)))
+                chosen = fresh[runs.owner] & np.isin(runs.anchor, wanted[~crowded])
                 owner = runs.owner[chosen]
                 inside = runs.first[chosen] - runs.offsets[owner]
                 parts.append((runs.anchor[chosen], place[owner], inside, runs.last[chosen] - runs.first[chosen] + length, base + runs.first[chosen]))
@@ -276,28 +330,30 @@ def repeated_ranges(docs: DataFrame, shards: int, length: int) -> DataFrame:
                 base += len(runs.data)
             anchor, owner, inside, size, at = (np.concatenate(x) for x in zip(*parts))
             data = np.concatenate(buffers)
+            sums = running_hash(data)
+            rows = told_apart(number, digests, double, sums, *(np.concatenate(x) for x in zip(*heavy)))
             if not len(anchor):
+                yield pa.RecordBatch.from_pylist(rows, schema)
                 continue
             # Equal stretches of this batch travel once, with all their owners; a text that stands in it twice owns its
             # stretches twice. All that a shard learns of a stretch is in one row, so a task that is repeated with its
             # rows in another order tells each shard the same.
             twice = np.flatnonzero(np.isin(owner, np.fromiter(double, np.int64, len(double))))
             anchor, owner, inside, size, at = (np.concatenate([x, x[twice]]) for x in (anchor, owner, inside, size, at))
-            prints = span_hash(running_hash(data), at, at + size)
+            prints = span_hash(sums, at, at + size)
             shard = _shards(anchor, shards)
             order = np.lexsort((owner, prints, size, anchor, shard))
             anchor, owner, inside, size, at, prints, shard = (x[order] for x in (anchor, owner, inside, size, at, prints, shard))
             new = np.ones(len(order), bool)
             new[1:] = (prints[1:] != prints[:-1]) | (size[1:] != size[:-1]) | (anchor[1:] != anchor[:-1])
             cuts = np.searchsorted(shard, np.arange(shards + 1))
-            rows = []
             for k in np.flatnonzero(np.diff(cuts)):
                 part = slice(cuts[k], cuts[k + 1])
                 first = new[part]
                 who, place = np.unique(owner[part], return_inverse=True)
                 rows.append(
                     {
-                        "shard": int(k), "batch": number, "digests": [digests[w] for w in who],
+                        "shard": int(k), "batch": number, "kind": STRETCHES, "digests": [digests[w] for w in who],
                         "owners": pack(np.concatenate([place, inside[part], np.cumsum(first) - 1]).astype(np.int64)),
                         "sizes": pack(size[part][first].astype(np.int64)),
                         "bytes": pack(data[_ranges(at[part][first], size[part][first])]),
@@ -305,11 +361,22 @@ def repeated_ranges(docs: DataFrame, shards: int, length: int) -> DataFrame:
                 )
             yield pa.RecordBatch.from_pylist(rows, schema)
 
+    return docs.mapInArrow(send, cells)
+
+
+def repeated_ranges(docs: DataFrame, shards: int, length: int) -> DataFrame:
+    """(digest, ranges): byte ranges of a text that repeat, packed starts and stops; a text can have several rows.
+
+    ``docs`` as in ``sent_stretches``.
+    """
+
     def scan(table: pa.Table) -> pa.Table:
-        rows = table.sort_by("batch")
+        kinds = table["kind"].to_numpy()
+        rows = table.filter(pa.array(kinds == STRETCHES)).sort_by("batch")
         index = LogIndex(length)
         digests: list[bytes] = []
-        owners, insides, hits = [], [], []
+        none = np.zeros(0, np.int64)
+        owners, insides, hits = [none], [none], [none]
         known: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # owner, start and stop of stretches that repeat as a whole
         total = 0
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
@@ -351,10 +418,30 @@ def repeated_ranges(docs: DataFrame, shards: int, length: int) -> DataFrame:
         found = np.unique(np.concatenate(hits))
         owner, inside = np.concatenate(owners)[found], np.concatenate(insides)[found]
         owner, inside = owner[owner >= 0].astype(np.int64), inside[owner >= 0]
-        owner, start, stop = (np.concatenate(x) for x in zip(*known, (owner, inside, inside + length)))
+        known.append((owner, inside, inside + length))
+
+        settled = table.filter(pa.array(kinds == SETTLED))
+        for names, cell in zip(*(settled[c].to_pylist() for c in ("digests", "owners"))):
+            place, start, stop = unpack(cell, np.int64).reshape(3, -1)
+            known.append((place + len(digests), start, stop))
+            digests += names
+        prints, owners, insides = [np.zeros(0, np.uint64)], [none], [none]
+        told = table.filter(pa.array(kinds == PRINTS))
+        for names, cell, body in zip(*(told[c].to_pylist() for c in ("digests", "owners", "bytes"))):
+            place, inside = unpack(cell, np.int64).reshape(2, -1)
+            prints.append(unpack_sorted(body, np.uint64))
+            owners.append(np.where(place < 0, -1, place + len(digests)))
+            insides.append(inside)
+            digests += names
+        # A batch tells a string once, so what is told twice repeats.
+        place, times = np.unique(np.concatenate(prints), return_inverse=True, return_counts=True)[1:]
+        owner, inside = np.concatenate(owners), np.concatenate(insides)
+        met = (times[place] > 1) & (owner >= 0)
+        known.append((owner[met], inside[met], inside[met] + length))
+        owner, start, stop = (np.concatenate(x) for x in zip(*known))
         return _range_rows(digests, owner, start, stop)
 
-    sent = docs.mapInArrow(send, cells)
+    sent = sent_stretches(docs, shards, length)
     return materialize(sent.groupBy("shard").applyInArrow(lambda t: scan(t), "digest binary, ranges binary"), "repeated-ranges")
 
 

@@ -187,6 +187,39 @@ def test_repeats_equal_brute_force(corpus, texts, nothing, monkeypatch, batch_by
     assert suffix_index.without_repeats(nothing).count() == 0
 
 
+def test_no_shard_holds_a_crowded_anchor(spark, monkeypatch):
+    """One passage in 400 texts: its strings are dealt out by fingerprint, and the cuts are those of brute force."""
+    monkeypatch.setattr(suffix_index, "CROWDED", 50)
+    draw = np.random.default_rng(4)
+    letters = lambda n: "".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    passage = letters(500)
+    rows = [(i, letters(250) + passage + letters(250)) for i in range(400)] + [(400, letters(900)), (401, passage), (402, passage)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    starts = Counter(t[k : k + 200] for _, t in rows for k in range(len(t) - 199))
+    for r in suffix_index.without_repeats(frame).collect():
+        text = dict(rows)[r.doc_id]
+        gone = np.zeros(len(text), bool)
+        for k in range(len(text) - 199):
+            if starts[text[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        assert bytes(r.kept).decode() == "".join(c for c, g in zip(text, gone) if not g)
+    named = frame.select("text", F.unhex(F.md5("text")).alias("digest"))
+    anchors = suffix_index.repeated_anchors(named, 3, 200)
+    sent = suffix_index.sent_stretches(named.join(anchors, "digest"), 16, 200)
+    told = Counter()
+    for r in sent.select("shard", "kind", "bytes").collect():
+        told[r.shard] += len(packing.unpack(bytes(r.bytes), np.uint64)) if r.kind == suffix_index.PRINTS else 0
+    assert len(told) == 16 and max(told.values()) <= 2 * sum(told.values()) / 16
+
+
+def test_crowded_or_not_the_cuts_are_the_same(corpus, monkeypatch):
+    found = []
+    for bound in (1 << 30, 0):
+        monkeypatch.setattr(suffix_index, "CROWDED", bound)
+        found.append(Counter((r.doc_id, str(r.spans), bytes(r.kept)) for r in suffix_index.without_repeats(corpus).collect()))
+    assert found[0] == found[1]
+
+
 def test_repeats_query(spark, sf_dir):
     rows = queries.QUERIES["op7_repeats"](spark, sf_dir).collect()
     docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
