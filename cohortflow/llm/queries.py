@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import cap_dedup, class_lm, curve_search, fair_mix, language_id, piece_codec, quality_trees, secret_scan, shingle_join, suffix_index
+from cohortflow.llm import byte_codec, cap_dedup, class_lm, curve_search, fair_mix, language_id, piece_codec, quality_trees, secret_scan, shingle_join, suffix_index
 from cohortflow.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +132,18 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query
+def op11_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document and the bytes that they decode to, as digests."""
+    given = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    found = byte_codec.encode(table(spark, sf_dir, "documents"), *given, keep=["doc_id"])
+    decoded = byte_codec.decode(found.select(F.col("row.doc_id").alias("doc_id"), "token_ids"), *given)
+    ids = F.col("row.token_ids")
+    return decoded.select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.size(ids).cast("long").alias("n_tokens"),
+        F.sha2(byte_codec.ids_text(ids), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
