@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import byte_codec, cap_dedup, class_lm, curve_search, fair_mix, language_id, piece_codec, quality_trees, secret_scan, shingle_join, suffix_index
+from cohortflow.llm import byte_codec, cap_dedup, class_lm, curve_search, fair_mix, language_id, piece_codec, quality_trees, secret_scan, shingle_join, suffix_index, target_sample
 from cohortflow.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,47 @@ def op11_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(byte_codec.ids_text(ids), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op12_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of all documents, drawn towards the words and word pairs of the benchmark texts."""
+    drawn = target_sample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return drawn.select(F.col("row.doc_id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+#: crc32 in SQL: the table of the polynomial, and the sum of a column ``f`` by its bytes.
+_CRC_TABLE = """crc AS MATERIALIZED (
+  SELECT list(v ORDER BY n) AS steps
+  FROM (SELECT n, list_reduce([n] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(n)))"""
+_CRC_SUM = """4294967295 - list_reduce([4294967295] || list_transform(range(1, 2 * strlen(f), 2), lambda i: cast('0x' || substr(hex(encode(f)), i, 2) AS bigint)),
+    lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]))"""
+
+ORACLES["op12_target"] = rf"""
+WITH {_CRC_TABLE},
+texts AS (
+  SELECT row_number() OVER () AS seq, 'd' AS kind, doc_id, text FROM documents
+  UNION ALL SELECT row_number() OVER (), 'b', item_id, text FROM benchmark),
+worded AS (
+  SELECT seq, kind, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words FROM texts),
+features AS (
+  SELECT seq, kind, unnest(words || list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS f FROM worded),
+counted AS (SELECT seq, kind, f, count(*) AS n FROM features GROUP BY ALL),
+hashed AS (SELECT f, ({_CRC_SUM}) % 10000 AS bucket FROM (SELECT DISTINCT f FROM counted), crc),
+placed AS (SELECT seq, kind, bucket, sum(n) AS n FROM counted JOIN hashed USING (f) GROUP BY ALL),
+totals AS (SELECT cast(coalesce(sum(n) FILTER (kind = 'd'), 0) AS double) AS raw, cast(coalesce(sum(n) FILTER (kind = 'b'), 0) AS double) AS target FROM placed),
+gains AS (
+  SELECT bucket, cast(floor(1000 * ln(((t + 1) * (target_raw + 10000)) / ((s + 1) * (target + 10000)))) AS bigint) AS gain
+  FROM (SELECT bucket, cast(coalesce(sum(n) FILTER (kind = 'd'), 0) AS double) AS s, cast(coalesce(sum(n) FILTER (kind = 'b'), 0) AS double) AS t FROM placed GROUP BY bucket),
+       (SELECT raw AS target_raw, target FROM totals)),
+sums AS (SELECT seq, sum(n * gain) AS gain FROM placed JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY seq),
+scored AS (
+  SELECT w.seq, doc_id, len(words) AS n_words, greatest(2 * len(words) - 1, 0) AS n_features,
+    CASE WHEN len(words) = 0 THEN 0 ELSE cast(floor(cast(gain AS double) / (2 * len(words) - 1)) AS bigint) END AS weight,
+    cast('0x' || substr(sha256('7:' || doc_id), 1, 8) AS bigint) AS h
+  FROM worded w LEFT JOIN sums USING (seq) WHERE kind = 'd'),
+noisy AS (SELECT *, weight + cast(floor(-1000 * ln(-ln((h + 0.5e0) / 4294967296e0))) AS bigint) AS score FROM scored),
+drawn AS (
+  SELECT seq, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, 25 * count(*) OVER () // 100 AS wanted FROM noisy WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= wanted THEN rank END AS rank FROM noisy LEFT JOIN drawn USING (seq)"""
