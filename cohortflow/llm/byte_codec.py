@@ -21,6 +21,7 @@ class differently (they know different versions of Unicode) count as what tiktok
 from __future__ import annotations
 
 import base64
+import functools
 import heapq
 from collections.abc import Iterator
 
@@ -36,12 +37,13 @@ from cohortflow.session import materialize
 
 #: Characters per chunk and of the next one that are read as well; a match that ends closer to a cut may go on.
 CHUNK, OVERLAP, UNSURE = 1 << 16, 1 << 10, 2
-#: Bytes of text per step, bytes of a piece that is merged here.
-STEP, LONG = 2 << 20, 2048
+#: Bytes of text and ids per step, bytes of a piece that is merged here.
+STEP, IDS, LONG = 2 << 20, 1 << 19, 2048
 #: Classes that a pattern can name, each with a character of it; the last one is in none of them.
 CLASSES, NO_CLASS = {r"\p{L}": "a", r"\p{N}": "1", r"\s": " "}, "."
 
 
+@functools.cache
 def stand_ins() -> dict[int, str]:
     """A character of the class that tiktoken has it in for each one that the regex library classes differently."""
     import regex
@@ -91,24 +93,23 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+def read_ranks(rank_file: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in rank_file.splitlines() if line)}
+
+
 class Codec:
-    """Pattern, ranks and token bytes; many pieces at once as flat arrays."""
+    """Pattern and ranks; the ids of many pieces at once as flat arrays."""
 
-    def __init__(self, rank_file: bytes, pattern: str):
+    def __init__(self, rank_file: bytes, pattern: str, differing: dict[int, str] | None = None):
         import regex
         import tiktoken
 
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in rank_file.splitlines() if line)}
+        self.ranks = read_ranks(rank_file)
         self.pattern = regex.compile(pattern)
-        self.stand_ins = stand_ins()
+        self.stand_ins = stand_ins() if differing is None else differing
         self.differing = np.zeros(0x110000, bool)
         self.differing[list(self.stand_ins)] = True
         self.encoding = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
-        self.sizes = np.full(max(self.ranks.values()) + 1, -1)
-        by_id = sorted((rank, token) for token, rank in self.ranks.items())
-        self.sizes[[r for r, _ in by_id]] = [len(t) for _, t in by_id]
-        self.starts = np.cumsum(np.maximum(self.sizes, 0)) - np.maximum(self.sizes, 0)
-        self.bytes = np.frombuffer(b"".join(t for _, t in by_id), np.uint8)
 
     def split(self, text: str) -> list[str]:
         if text.isascii() or not self.differing[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():
@@ -131,30 +132,34 @@ class Codec:
         ends = np.concatenate([[0], np.cumsum(sizes[entry])])
         return flat, ends[np.concatenate([[0], np.cumsum(per_text)])]
 
-    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of all texts and their offsets."""
-        known = (ids >= 0) & (ids < len(self.sizes))
-        if not known.all() or (self.sizes[ids] < 0).any():
-            raise ValueError("an id is not in the vocabulary")
-        sizes = self.sizes[ids]
-        return self.bytes[_ranges(self.starts[ids], sizes)], np.concatenate([[0], np.cumsum(sizes)])[offsets]
+
+class Tokens:
+    """The bytes of each id."""
+
+    def __init__(self, rank_file: bytes):
+        self.bytes = {rank: token for token, rank in read_ranks(rank_file).items()}
+
+    def decode(self, ids: list[int]) -> bytes:
+        try:
+            return b"".join(map(self.bytes.__getitem__, ids))
+        except KeyError as missing:
+            raise ValueError(f"id {missing} is not in the vocabulary") from None
 
 
-_codecs: dict[tuple[bytes, str], Codec] = {}
+_kept: dict[type, tuple[tuple, object]] = {}
 
 
-def _codec(given: tuple[bytes, str]) -> Codec:
-    """One codec per worker process."""
-    if given not in _codecs:
-        _codecs.clear()
-        _codecs[given] = Codec(*given)
-    return _codecs[given]
+def _once(kind: type, given: tuple):
+    """One codec or token table per worker process."""
+    if kind not in _kept or _kept[kind][0] != given:
+        _kept[kind] = (given, kind(*given))
+    return _kept[kind][1]
 
 
-def _share(docs: DataFrame, rank_path: str, pattern: str):
+def _share(docs: DataFrame, rank_path: str, *more):
     """The rank file is read by the driver and travels as a broadcast of its size."""
     with open(rank_path, "rb") as file:
-        return docs.sparkSession.sparkContext.broadcast((file.read(), pattern))
+        return docs.sparkSession.sparkContext.broadcast((file.read(), *more))
 
 
 def _lists(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -165,7 +170,7 @@ def _whole(shared, name: str):
     """Encodes texts that are read whole; passes column ``name`` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value)
+        codec = _once(Codec, shared.value)
         for batch in text_steps(batches, "_text", STEP):
             split = [codec.split(t) if t else [] for t in batch.column("_text").to_pylist()]
             flat, offsets = codec.encode([p for pieces in split for p in pieces], np.array([len(s) for s in split], np.int64))
@@ -202,7 +207,7 @@ def _pretokenised(chunks: DataFrame, shared, chunk: int, overlap: int) -> DataFr
     """``chunks`` with the ends of their matches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value)
+        codec = _once(Codec, shared.value)
         for batch in batches:
             texts, places, counts = (batch.column(c).to_pylist() for c in ("text", "k", "chunks"))
             # A chunk that the text ends in is not cut; only the last two can be such.
@@ -227,7 +232,7 @@ def _encode_owned(owned: DataFrame, shared) -> DataFrame:
     """(key, k, ids) of the matches of each chunk between ``start`` and ``stop``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value)
+        codec = _once(Codec, shared.value)
         for batch in batches:
             pieces, per_chunk = [], []
             for text, ends, start, stop in zip(*(batch.column(c).to_pylist() for c in ("text", "ends", "start", "stop"))):
@@ -266,7 +271,7 @@ def encode(
     """The columns to keep (all by default) as struct ``row`` with ``token_ids``."""
     if not 0 < overlap <= chunk:
         raise ValueError("the overlap must be within the next chunk")
-    shared = _share(docs, rank_path, pattern)
+    shared = _share(docs, rank_path, pattern, stand_ins())
     packed, row = with_text(docs, text, keep)
     size = F.length("_text")
     short = packed.where(size.isNull() | (size <= chunk)).mapInArrow(_whole(shared, "row"), f"row {row}, token_ids array<int>")
@@ -276,18 +281,21 @@ def encode(
     return short.unionByName(long.select("key", "row").join(stitched, "key").select("row", "token_ids"))
 
 
-def decode(tokens: DataFrame, rank_path: str, pattern: str, ids: str = "token_ids") -> DataFrame:
+def decode(tokens: DataFrame, rank_path: str, ids: str = "token_ids") -> DataFrame:
     """``tokens`` as struct ``row`` with ``decoded``, the bytes of the ids; null ids decode to no bytes."""
-    shared = _share(tokens, rank_path, pattern)
+    shared = _share(tokens, rank_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value)
+        table = _once(Tokens, shared.value)
         for batch in batches:
-            lists = batch.column("_ids")
-            offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-            data, ends = codec.decode(lists.flatten().to_numpy(zero_copy_only=False), offsets)
-            decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), decoded.cast(pa.binary())], ["row", "decoded"])
+            sizes = pc.fill_null(pc.list_value_length(batch.column("_ids")), 0).to_numpy(zero_copy_only=False)
+            step = np.cumsum(sizes) // IDS
+            cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(sizes)]
+            for low, high in zip(cuts, cuts[1:]):
+                part = batch.slice(low, high - low)
+                flat, ends = part.column("_ids").flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes[low:high])
+                decoded = [table.decode(flat[a:b].tolist()) for a, b in zip([0, *ends], ends)]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(decoded, pa.binary())], ["row", "decoded"])
 
     packed = tokens.select(F.struct("*").alias("row"), F.col(ids).alias("_ids"))
     return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, decoded binary")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import byte_codec, cap_dedup, class_lm, curve_search, fair_mix, language_id, piece_codec, quality_trees, secret_scan, shingle_join, suffix_index, target_sample
+from cohortflow.llm import byte_codec, cap_dedup, class_lm, conversation_trie, curve_search, fair_mix, language_id, piece_codec, quality_trees, secret_scan, shingle_join, suffix_index, target_sample
 from cohortflow.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,9 +137,9 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document and the bytes that they decode to, as digests."""
-    given = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    found = byte_codec.encode(table(spark, sf_dir, "documents"), *given, keep=["doc_id"])
-    decoded = byte_codec.decode(found.select(F.col("row.doc_id").alias("doc_id"), "token_ids"), *given)
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    found = byte_codec.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep=["doc_id"])
+    decoded = byte_codec.decode(found.select(F.col("row.doc_id").alias("doc_id"), "token_ids"), ranks)
     ids = F.col("row.token_ids")
     return decoded.select(
         F.col("row.doc_id").alias("doc_id"),
@@ -191,3 +191,41 @@ noisy AS (SELECT *, weight + cast(floor(-1000 * ln(-ln((h + 0.5e0) / 4294967296e
 drawn AS (
   SELECT seq, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, 25 * count(*) OVER () // 100 AS wanted FROM noisy WHERE n_words >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= wanted THEN rank END AS rank FROM noisy LEFT JOIN drawn USING (seq)"""
+
+
+@query
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the prefix trie of the rebuilt conversations."""
+    turns = conversation_trie.numbered(table(spark, sf_dir, "conversations"))
+    return conversation_trie.prefix_trie(*conversation_trie.rebuilt(turns))
+
+
+ORACLES["op13_trie"] = rf"""
+WITH {_CRC_TABLE},
+marked AS (
+  SELECT conv_id, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS mark, strlen(coalesce(text, '')) AS size
+  FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, mark) AS pos FROM marked),
+members AS (
+  SELECT conv_id, ({_CRC_SUM}) % 9 AS h FROM (SELECT DISTINCT conv_id, cast(conv_id AS varchar) AS f FROM turns), crc),
+rebuilt AS (
+  SELECT m.conv_id, t.pos AS d, mark, size FROM members m JOIN turns t ON t.conv_id = m.conv_id - m.conv_id % 5 AND t.pos <= h
+  UNION ALL
+  SELECT m.conv_id, pos - h + least(h, (SELECT count(*) FROM turns b WHERE b.conv_id = m.conv_id - m.conv_id % 5)), mark, size
+  FROM members m JOIN turns t ON t.conv_id = m.conv_id AND t.pos > h),
+paths AS (
+  SELECT conv_id, d, size, string_agg(mark, '') OVER (PARTITION BY conv_id ORDER BY d) AS path FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '' FROM members),
+nodes AS (SELECT path, d, min(conv_id) AS rep, count(*) AS n, min(size) AS size FROM paths GROUP BY path, d),
+children AS (SELECT substr(path, 1, 32 * (d - 1)) AS path, d - 1 AS d, count(*) AS children FROM nodes WHERE d > 0 GROUP BY ALL),
+ends AS (
+  SELECT path, d, sha256(string_agg(cast(conv_id AS varchar), ',' ORDER BY conv_id)) AS ends_sha256
+  FROM (SELECT *, max(d) OVER (PARTITION BY conv_id) AS last FROM paths) WHERE d = last GROUP BY path, d),
+below AS (
+  SELECT a.path, a.d, sum(CASE WHEN c.path IS NULL THEN 1 ELSE 0 END) AS leaves, sum((b.n - 1) * b.size) AS saved
+  FROM nodes b JOIN paths a ON a.conv_id = b.rep AND a.d <= b.d LEFT JOIN children c ON c.path = b.path AND c.d = b.d
+  GROUP BY a.path, a.d)
+SELECT n.rep AS conv_id, n.d AS depth, p.rep AS parent_conv_id, n.n AS n_convs, coalesce(c.children, 0) AS n_children,
+  cast(leaves AS bigint) AS n_leaves, cast(saved AS bigint) AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM nodes n JOIN below USING (path, d) LEFT JOIN children c USING (path, d) LEFT JOIN ends USING (path, d)
+  LEFT JOIN nodes p ON p.path = substr(n.path, 1, 32 * (n.d - 1)) AND p.d = n.d - 1"""
