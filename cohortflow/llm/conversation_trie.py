@@ -195,16 +195,17 @@ class Peeling:
         start = band_edges(band)[0]
         paths = self.pieces.where(F.col("band") == band).withColumnRenamed("conv_id", "rep")
         at = low - start
-        prefix = [(F.col(f"b{i}") if not at else F.element_at(f"k{i}", at)).alias(f"g{i}") for i in (1, 2)]
+        # Also evaluated for paths that end before, as projections move below the join: null there.
+        prefix = [(F.col(f"b{i}") if not at else F.get(f"k{i}", F.lit(at - 1))).alias(f"g{i}") for i in (1, 2)]
         lists = [F.slice(c, at + 1, high - low).alias(c) for c in ("k1", "k2", "sizes")]
         return state.join(paths, "rep").select(*STATE, *prefix, *lists)
 
     def one_depth(self, state: DataFrame, band: int, low: int) -> DataFrame:
         """One depth as an aggregate by prefix; partial nodes at ``low``."""
         rows = self._on_paths(state, band, low, low + 1)
-        merged = rows.groupBy(F.col("k1")[0].alias("k1"), F.col("k2")[0].alias("k2")).agg(
+        merged = rows.groupBy(F.get("k1", F.lit(0)).alias("k1"), F.get("k2", F.lit(0)).alias("k2")).agg(
             F.min("rep").alias("rep"), *[F.sum(c).alias(c) for c in ("n", "children", "leaves", "saved")],
-            F.first("g1").alias("p1"), F.first("g2").alias("p2"), F.first(F.col("sizes")[0]).alias("size"),
+            F.first("g1").alias("p1"), F.first("g2").alias("p2"), F.first(F.get("sizes", F.lit(0))).alias("size"),
         )
         nodes = merged.withColumns(
             {
