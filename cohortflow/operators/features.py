@@ -10,17 +10,14 @@ from pyspark.sql import types as T
 
 from cohortflow.functions.behaviour import age_group, raw_engagement, session_efficiency, spend_per_purchase, spending_tier
 from cohortflow.functions.numeric import min_max
-from cohortflow.operators.ordering import exact_quantile, running_totals
+from cohortflow.operators.lookup import ENTRIES, CategoryIndex, fit_index
+from cohortflow.operators.ordering import exact_quantiles
 from cohortflow.schemas import CATEGORICAL_FEATURES, DERIVED_RATIOS, FEATURES, LABEL, NUMERIC_INPUTS
-from cohortflow.session import BROADCAST_MAX_ROWS, bounded_rows, local_table, materialize
+from cohortflow.session import local_table
 
-# Quantiles above which a user counts as high value, and the text of a missing category.
+# Quantiles above which a user counts as high value.
 ENGAGEMENT_QUANTILE, SPEND_QUANTILE = 0.7, 0.6
-MISSING_CATEGORY = "nan"
 
-VOCABULARY = T.StructType(
-    [T.StructField("feature", T.StringType()), T.StructField("value", T.StringType()), T.StructField("idx", T.LongType())]
-)
 SCALER = T.StructType(
     [T.StructField("feature", T.StringType()), T.StructField("mean", T.DoubleType()), T.StructField("std", T.DoubleType())]
 )
@@ -64,11 +61,8 @@ class LabelRule:
 
 
 def fit_label_rule(users: DataFrame) -> LabelRule:
-    """Exact quantiles of engagement and spend; makes several passes, so pass a stored table."""
-    return LabelRule(
-        exact_quantile(users, "engagement_score", ENGAGEMENT_QUANTILE),
-        exact_quantile(users, "total_spent", SPEND_QUANTILE),
-    )
+    """Exact quantiles of engagement and spend, searched in the same passes; pass a stored table."""
+    return LabelRule(*exact_quantiles(users, [("engagement_score", ENGAGEMENT_QUANTILE), ("total_spent", SPEND_QUANTILE)]))
 
 
 def label_high_value(users: DataFrame, rule: LabelRule | None = None) -> DataFrame:
@@ -91,58 +85,14 @@ def derive(users: DataFrame) -> DataFrame:
     )
 
 
-def category(name: str) -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(MISSING_CATEGORY))
-
-
-def fit_vocabulary(
-    derived: DataFrame, names: list[str] | None = None, max_rows: int = BROADCAST_MAX_ROWS
-) -> DataFrame:
-    """(feature, value, idx): the distinct values of each feature, numbered in ascending order."""
-    names = names or CATEGORICAL_FEATURES
-    spark = derived.sparkSession
-    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), category(n).alias("value")) for n in names])
-    distinct = derived.select(F.inline(pairs)).distinct()
-    rows = bounded_rows(distinct, max_rows)
-    if rows is not None:
-        numbered, last, idx = [], None, 0
-        for feature, value in sorted(rows):
-            idx = idx + 1 if feature == last else 0
-            last = feature
-            numbered.append((feature, value, idx))
-        return local_table(spark, numbered, VOCABULARY)
-    # Too many values for one place: number them in a global order and count from each feature's first.
-    placed = running_totals(distinct, ["feature", "value"], {"place": F.lit(1).cast("bigint")})
-    first = placed.groupBy("feature").agg(F.min("place").alias("first"))  # one row per feature name
-    numbered = placed.join(F.broadcast(first), "feature").select(
-        "feature", "value", (F.col("place") - F.col("first")).alias("idx")
-    )
-    return materialize(numbered, "vocabulary")
-
+def fit_vocabulary(derived: DataFrame, names: list[str] | None = None, **sizes: int) -> CategoryIndex:
+    """The distinct values of each feature, numbered in ascending order; ``sizes`` as in ``fit_index``."""
+    return fit_index(derived, names or CATEGORICAL_FEATURES, **sizes)
 
-def encode(
-    derived: DataFrame, vocabulary: DataFrame, names: list[str] | None = None, max_rows: int = BROADCAST_MAX_ROWS
-) -> DataFrame:
-    """Add ``<name>_encoded``; a value that was not fitted gets index 0, the alphabetically first class.
 
-    A vocabulary within ``max_rows`` entries is sent to the rows; a larger one is joined by shuffle.
-    """
-    rows = bounded_rows(vocabulary, max_rows)
-    if rows is not None:
-        vocabulary = local_table(derived.sparkSession, rows, VOCABULARY)
-    encoded = derived
-    for name in names or CATEGORICAL_FEATURES:
-        entries = vocabulary.where(F.col("feature") == name).select(
-            F.col("value").alias("_value"), F.col("idx").alias("_idx")
-        )
-        if rows is not None:
-            entries = F.broadcast(entries)
-        encoded = (
-            encoded.join(entries, category(name) == F.col("_value"), "left")
-            .withColumn(f"{name}_encoded", F.coalesce(F.col("_idx"), F.lit(0)))
-            .drop("_value", "_idx")
-        )
-    return encoded
+def encode(derived: DataFrame, vocabulary: CategoryIndex, names: list[str] | None = None) -> DataFrame:
+    """Add ``<name>_encoded``; a value that was not fitted gets index 0, the alphabetically first class."""
+    return vocabulary.encode(derived, names or CATEGORICAL_FEATURES)
 
 
 def _filled(name: str) -> Column:
@@ -171,7 +121,7 @@ def fit_scaler(encoded: DataFrame, names: list[str] | None = None) -> DataFrame:
 class FeatureState:
     """What a fit learned: category indices and scaler moments."""
 
-    vocabulary: DataFrame
+    vocabulary: CategoryIndex
     scaler: dict[str, tuple[float, float]]
 
     def engineered(self, rows: DataFrame) -> DataFrame:
@@ -187,8 +137,8 @@ class FeatureState:
         return self.engineered(rows).withColumn("features_scaled", F.struct(*scaled)).drop(*derived_names)
 
     def save(self, path: str) -> None:
-        spark = self.vocabulary.sparkSession
-        self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+        spark = self.vocabulary.entries.sparkSession
+        self.vocabulary.entries.write.mode("overwrite").parquet(f"{path}/vocabulary")
         rows = [(name, mean, std) for name, (mean, std) in self.scaler.items()]
         local_table(spark, rows, SCALER).coalesce(1).write.mode("overwrite").parquet(f"{path}/scaler")
 
@@ -196,7 +146,7 @@ class FeatureState:
     def load(spark: SparkSession, path: str) -> FeatureState:
         scaler = spark.read.schema(SCALER).parquet(f"{path}/scaler").collect()
         return FeatureState(
-            spark.read.schema(VOCABULARY).parquet(f"{path}/vocabulary"),
+            CategoryIndex.of(spark.read.schema(ENTRIES).parquet(f"{path}/vocabulary")),
             {row["feature"]: (row["mean"], row["std"]) for row in scaler},
         )
 

@@ -50,6 +50,14 @@ def window_statistics(points: DataFrame, period: str = DEFAULT_PERIOD, dims: lis
     )
 
 
+def same_dimensions(left: str, right: str, dims: list[str]) -> Column:
+    """Equal dimensions of two aliased tables; a missing dimension equals a missing one."""
+    same = F.lit(True)
+    for name in dims:
+        same = same & F.col(f"{left}.{name}").eqNullSafe(F.col(f"{right}.{name}"))
+    return same
+
+
 #: Periods that one task evaluates together.
 CHUNK = 288
 
@@ -82,11 +90,7 @@ def dense_periods(
         F.expr("first + make_dt_interval(0, 0, 0, cast(_place * _length AS decimal(18, 6)))").cast(windows.schema["period_start"].dataType).alias("period_start"),
     )
     statistics = [c for c in windows.columns if c not in names]
-    left, right = periods.alias("p"), windows.alias("w")
-    same = F.lit(True)
-    for name in names:
-        same = same & F.col(f"p.{name}").eqNullSafe(F.col(f"w.{name}"))
-    return left.join(right, same, "left").select("p.*", *[F.col(f"w.{c}").alias(c) for c in statistics])
+    return periods.alias("p").join(windows.alias("w"), same_dimensions("p", "w", names), "left").select("p.*", *[F.col(f"w.{c}").alias(c) for c in statistics])
 
 
 def evaluate_alarm(

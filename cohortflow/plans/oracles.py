@@ -339,9 +339,9 @@ win_v AS (SELECT time_bucket(INTERVAL '{period}', ts) AS period_start, variant_n
     )
 
 
-def _alarm_from(source: str, period: str, value: str, breach: str, periods: int) -> str:
+def _alarm_from(source: str, period: str, value: str, breach: str, periods: int, last: str = "max(period_start)") -> str:
     return f""",
-span_v AS (SELECT variant_name, min(period_start) AS first, max(period_start) AS last FROM {source} GROUP BY 1),
+span_v AS (SELECT variant_name, min(period_start) AS first, {last} AS last FROM {source} GROUP BY 1),
 spine_v AS (SELECT variant_name, unnest(generate_series(first, last, INTERVAL '{period}')) AS period_start FROM span_v),
 dense_v AS (SELECT s.period_start, s.variant_name, w.{value} AS value
             FROM spine_v s LEFT JOIN {source} w ON w.period_start = s.period_start AND w.variant_name = s.variant_name),
@@ -352,8 +352,12 @@ SELECT strftime(period_start, '%Y-%m-%d %H:%M:%S') AS period_start, variant_name
   CASE WHEN seen < {periods} THEN 'INSUFFICIENT_DATA' WHEN breaches = {periods} THEN 'ALARM' ELSE 'OK' END AS state FROM run_v"""
 
 
-def alarm(period: str, value: str, breach: str, periods: int) -> str:
-    return "WITH" + windows(period) + _alarm_from("win_v", period, value, breach, periods)
+def alarm(period: str, value: str, breach: str, periods: int, last: str = "max(period_start)") -> str:
+    return "WITH" + windows(period) + _alarm_from("win_v", period, value, breach, periods, last)
+
+
+# Heartbeats tick until six hours after the last event's hour; windows that end ten minutes before are closed.
+_LAST_BEAT = "(SELECT date_trunc('hour', max(ts)) + INTERVAL '6 hours' - INTERVAL '15 minutes' FROM events)"
 
 
 ANSWERED = (
@@ -512,6 +516,8 @@ ORACLES: dict[str, str] = {
         CASE WHEN ok THEN predicted_bucket END AS predicted_bucket, CASE WHEN ok THEN confidence END AS confidence,
         CASE WHEN ok THEN variant END AS variant FROM asg_v""",
     "stream_metrics": f"WITH {windows('1 hour')} {WINDOW_OUTPUT.format('win_v')}",
+    "stream_silence": alarm("5 minutes", "invocations", "coalesce(value < 1, true)", 6, _LAST_BEAT),
+    "stream_error_log": alarm("5 minutes", "errors", "coalesce(value > 0, false)", 2, _LAST_BEAT),
     "stream_alarms": alarm("5 minutes", "invocations", "coalesce(value < 1, true)", 6),
     "rf_scores": _RELATIONS,
     "lr_scores": _RELATIONS,

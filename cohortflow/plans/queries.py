@@ -26,6 +26,7 @@ from cohortflow.plans import jobs
 from cohortflow.schemas import CATEGORICAL_FEATURES, CORRUPT, FEATURES, LABEL, RAW_INPUTS, TARGET, USER
 from cohortflow.session import materialize, scratch_path
 from cohortflow.sources import capture, registry, requests, reviews, selector, snapshots, synthetic, tables, zones
+from cohortflow.streaming import alarms
 from cohortflow.streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,7 +116,7 @@ def derived_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def vocab_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.fit_vocabulary(features.derive(tables.user_rows(spark, sf_dir)))
+    return features.fit_vocabulary(features.derive(tables.user_rows(spark, sf_dir))).table
 
 
 @query
@@ -725,3 +726,39 @@ def stream_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = _streamed_windows(spark, sf_dir, "5 minutes")
     states = monitoring.evaluate_alarm(windows, monitoring.LOW_INVOCATION, "5 minutes")
     return states.select(_stamp_text("period_start"), "variant_name", F.col("value").cast("double").alias("value"), "state")
+
+
+#: Heartbeats after the hour of the last event, and the period they tick in.
+SILENT_HOURS, BEAT_PERIOD = 6, "5 minutes"
+
+
+def _alarm_log(spark: SparkSession, sf_dir: str, alarm: monitoring.Alarm) -> DataFrame:
+    """States that a stream over the events keeps in two runs, with heartbeats up to some hours after the last event."""
+    zone = scratch_path(spark, "alarm-log")
+    events = tables.table(spark, sf_dir, "events")
+    first, middle, last = events.agg(
+        F.date_trunc("hour", F.min("ts")), F.timestamp_seconds((F.unix_timestamp(F.min("ts")) + F.unix_timestamp(F.max("ts"))) / 2), F.date_trunc("hour", F.max("ts"))
+    ).first()
+    hours = F.sequence(F.lit(first), F.lit(last) + F.expr(f"INTERVAL {SILENT_HOURS} HOURS"), F.expr(f"INTERVAL {BEAT_PERIOD}"))
+    beats = spark.range(1).select(F.explode(hours).alias("ts"))
+    log = alarms.AlarmLog(f"{zone}/log", alarm, BEAT_PERIOD)
+    stamped = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in (F.col("ts") < middle, F.col("ts") >= middle):
+        stamped.where(part).write.mode("append").parquet(f"{zone}/events")
+        beats.where(part).write.mode("append").parquet(f"{zone}/beats")
+        points = tables.metric_points(streams.event_stream(spark, f"{zone}/events"))
+        clock = spark.readStream.schema(beats.schema).parquet(f"{zone}/beats")
+        _finish(alarms.watch(log, alarms.with_heartbeat(points, clock), f"{zone}/checkpoint"))
+    return log.states(spark).select(_stamp_text("period_start"), "variant_name", F.col("value").cast("double").alias("value"), "state")
+
+
+@query
+def stream_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Low-traffic states, with the silence after the last event."""
+    return _alarm_log(spark, sf_dir, monitoring.LOW_INVOCATION)
+
+
+@query
+def stream_error_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error states of the same stream."""
+    return _alarm_log(spark, sf_dir, monitoring.Alarm("errors", "errors", True, 0, 2, False))

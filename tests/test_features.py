@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cohortflow.operators import features
+from cohortflow.operators import features, lookup
 from cohortflow.schemas import CATEGORICAL_FEATURES, FEATURES, LABEL
 from cohortflow.sources import tables
 
@@ -54,18 +54,73 @@ def test_state_survives_saving(spark, users, tmp_path):
     state.save(str(tmp_path / "state"))
     loaded = features.FeatureState.load(spark, str(tmp_path / "state"))
     assert loaded.scaler == state.scaler
-    assert sorted(loaded.vocabulary.collect()) == sorted(state.vocabulary.collect())
-
-
-def test_large_vocabulary_path_gives_the_same(spark, users):
-    derived = features.derive(users)
-    small = features.fit_vocabulary(derived)
-    large = features.fit_vocabulary(derived, max_rows=3)
-    assert sorted(tuple(r) for r in small.collect()) == sorted(tuple(r) for r in large.collect())
-    columns = ["user_id", *[f"{n}_encoded" for n in CATEGORICAL_FEATURES]]
-    by_broadcast = features.encode(derived, small).select(*columns)
-    by_shuffle = features.encode(derived, large, max_rows=3).select(*columns)
-    assert sorted(map(tuple, by_broadcast.collect())) == sorted(map(tuple, by_shuffle.collect()))
+    assert sorted(loaded.vocabulary.table.collect()) == sorted(state.vocabulary.table.collect())
+    assert loaded.vocabulary.literal == state.vocabulary.literal
+
+
+# Literal, sent to the rows, joined with and without frequent values.
+SIZES = [{}, {"literal_values": 0}, {"literal_values": 0, "broadcast_rows": 0}, {"literal_values": 2, "broadcast_rows": 4}]
+
+
+@pytest.mark.parametrize("sizes", SIZES)
+def test_every_way_of_lookup_gives_the_same(spark, users, sizes, monkeypatch):
+    monkeypatch.setattr(lookup, "HOT_VALUES", 2)
+    derived = features.derive(users).withColumns({"gender": F.when(F.col("c_custkey") % 9 != 0, F.col("gender")), "m": F.create_map(F.lit("a"), F.lit(1))})
+    fitted = features.fit_vocabulary(derived.where("location <> 'FR'"), **sizes)
+    values = {}
+    for feature, value, idx in fitted.table.collect():
+        values.setdefault(feature, {})[value] = idx
+    assert all(sorted(v, key=v.get) == sorted(v) and sorted(v.values()) == list(range(len(v))) for v in values.values())
+    encoded = features.encode(derived, fitted)
+    assert encoded.count() == derived.count()
+    for row in encoded.collect():
+        for name in CATEGORICAL_FEATURES:
+            assert row[f"{name}_encoded"] == values[name].get("nan" if row[name] is None else row[name], 0)
+
+
+def wide_rows(spark):
+    """A feature of 5,000 values, one of which, and one that was not fitted, hold a third of the rows each, next to gender."""
+    rows = spark.range(30_000).withColumn("gender", F.when(F.col("id") % 2 == 0, "F").otherwise("M"))
+    value = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, "new").otherwise(F.concat(F.lit("v"), (F.col("id") % 5000).cast("string")))
+    return rows.withColumn("page", value)
+
+
+def test_a_wide_feature_leaves_others_alone(spark):
+    rows = wide_rows(spark)
+    index = features.fit_vocabulary(rows.where("page <> 'new'"), ["gender", "page"], broadcast_rows=1000)
+    assert index.sizes["page"] > 1000 and index.literal["gender"] == ["F", "M"] and "hot" in dict(index.sent["page"])
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    gender, both = features.encode(rows, index, ["gender"]), features.encode(rows, index, ["gender", "page"])
+    # Applying the index runs no job, and gender needs neither a shuffle nor a join.
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+    plan = gender._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    former = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        positions = {v: i for i, v in enumerate(sorted({r["page"] for r in rows.collect()} - {"new"}))}
+        assert all(r["page_encoded"] == positions.get(r["page"], 0) for r in both.collect())
+        # Neither the frequent value nor the one that was not fitted, 10,000 rows each, meets in one task.
+        dealt = index._joined(rows.withColumns({"_value": F.col("page"), "_idx": F.when(F.col("page") == "hot", 0).cast("bigint")}), "page")
+        sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 16 and max(sizes) < 8_000
+    finally:
+        for k, v in former.items():
+            spark.conf.set(k, v)
+
+
+def test_index_on_a_stream(spark, tmp_path):
+    rows = wide_rows(spark)
+    index = features.fit_vocabulary(rows.where("page <> 'new'"), ["gender", "page"], broadcast_rows=1000)
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = features.encode(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), index, ["gender", "page"])
+    query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True)
+    query.start(str(tmp_path / "out")).awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out")).select("id", "gender_encoded", "page_encoded")
+    want = features.encode(rows, index, ["gender", "page"]).select("id", "gender_encoded", "page_encoded")
+    assert found.exceptAll(want).count() == 0 and found.count() == 30_000
 
 
 def test_zero_deviation_becomes_one(spark):
