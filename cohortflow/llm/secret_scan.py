@@ -8,6 +8,10 @@ of runs above and below the middle of the alphabet, and the correlation of neigh
 one probability. Ordinary words of as many letters serve as decoys: per band of lengths, the lowest probability is
 accepted at which the decoys' rate, carried over to all candidates, leaves a false share of at most ``FALSE_SHARE``.
 Longer runs are told apart more easily, so they get a lower bar. All counts cover all texts, and parts as well as runs.
+Where a band has fewer than ``LEAST_DECOYS`` words, shorter ones are taken as well, or fixed rates of English prose make up
+the number, whichever gives the lower bar; so a small table is judged like a large one.
+
+Work in a text grows by n to the power of 1.5 in its matches and in proportion to the length of a run.
 
 Defined results: a null or empty text has no spans; spans are in code points, the end exclusive, sorted by start and
 then by kind; a run or part that a base span touches is not reported again, nor a part of a reported one; equal rows get equal results; other columns pass
@@ -42,11 +46,20 @@ CANDIDATE = _mixed("+/_=-")
 PARTS = tuple(_mixed(marks, "(?:={1,2}(?![A-Za-z0-9+/_=-]))?") for marks in ("+/_-", "+_-", "+"))
 DECOY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{16,}(?![A-Za-z0-9+/_=-])"
 SENTENCE_WORD = "^[A-Z]?[a-z]+$"
-#: Lengths at which a band begins. Too few decoys are joined by those of the bands below: shorter, so stricter.
+#: Lengths at which a band begins. A band with too few decoys is judged by those of shorter bands or by reference rates.
 BANDS = (16, 20, 24, 32, 48)
 FALSE_SHARE = 0.05
 LEAST_DECOYS = 400
 PROBABILITY_STEPS = 200
+# Shares of runs of neighbouring English words, 4,000 per band, that reach a probability.
+REFERENCE_LEVELS = (0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.8)
+REFERENCE_RATES = (
+    (0.7328, 0.6873, 0.6295, 0.5398, 0.4540, 0.3418, 0.2660, 0.1640, 0.0483),
+    (0.5740, 0.5153, 0.4620, 0.3715, 0.2813, 0.1855, 0.1383, 0.0715, 0.0220),
+    (0.3218, 0.2698, 0.2165, 0.1558, 0.1058, 0.0625, 0.0363, 0.0160, 0.0020),
+    (0.0543, 0.0423, 0.0258, 0.0133, 0.0075, 0.0038, 0.0018, 0.0010, 0.0000),
+    (0.0005, 0.0000, 0.0000, 0.0000, 0.0000, 0.0000, 0.0000, 0.0000, 0.0000),
+)
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings, from narrow to wide: the pattern of a whole run and its alphabet.
@@ -60,29 +73,60 @@ ENCODINGS = (
 WIDEST = _DIGITS + _LOWER + _UPPER + "+/-_="
 
 
-def pattern_spans(text: Column, pattern: str, kind: str, passes=None) -> Column:
-    """Array of (start, place of the kind, end, kind) of the pattern's matches that ``passes``.
+SPAN = "struct<start:int,place:int,end:int,kind:string>"
+
+
+def running(values: Column, combine) -> Column:
+    """Per place of an array of longs, ``combine`` of all values before it, from 0.
+
+    Added up by blocks of about the square root of the size: array functions have no running sum, and one that grows an
+    array by a value at a time copies it each time.
+    """
+    fold = lambda part: F.aggregate(part, F.lit(0).cast("long"), combine)
+    # Each step is bound by a lambda, so that it is worked out once and not at each place.
+    one = F.array(F.struct(values.alias("v"), F.ceil(F.sqrt(F.size(values))).cast("int").alias("w")))
+    block = lambda x, b: fold(F.slice(x["v"], b * x["w"] + 1, x["w"]))
+    one = F.transform(one, lambda x: F.struct(x["v"], x["w"], F.transform(F.sequence(F.lit(0), _div(F.size(x["v"]) - 1, x["w"])), lambda b: block(x, b)).alias("sums")))
+    one = F.transform(one, lambda x: F.struct(x["v"], x["w"], F.transform(x["sums"], lambda _, b: fold(F.slice(x["sums"], F.lit(1), b))).alias("before")))
+    inside = lambda x, i: fold(F.slice(x["v"], _div(i, x["w"]) * x["w"] + 1, i % x["w"]))
+    one = F.transform(one, lambda x: F.transform(x["v"], lambda _, i: combine(F.get(x["before"], _div(i, x["w"])), inside(x, i))))
+    return F.when(F.size(values) > 0, F.element_at(one, 1)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _div(number: Column, by) -> Column:
+    return F.floor(number / by).cast("int")
+
+
+def _sum(total, value):
+    return total + value
+
+
+def pattern_matches(text: Column, pattern: str, kind: str, passes=None) -> Column:
+    """Array of (start, place of the kind, end, kind, token) of the pattern's matches that ``passes``.
 
     The stretches between matches and the matches themselves add up to the positions.
     """
-    fields = "array<struct<start:int,place:int,end:int,kind:string>>"
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("match"))
-    start = lambda state, part: state["at"] + F.length(part["gap"])
-
-    def step(state, part):
-        first = start(state, part)
-        last = first + F.coalesce(F.length(part["match"]), F.lit(0))
-        kept = part["match"].isNotNull() & (passes(part["match"]) if passes else F.lit(True))
-        span = F.struct(
-            first.alias("start"), F.lit(KINDS.index(kind)).alias("place"), last.alias("end"), F.lit(kind).alias("kind")
+    # The stretch behind the last match has no match of its own.
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
+    one = F.transform(F.array(parts), lambda p: F.filter(p, lambda part: part["match"].isNotNull()))
+    sizes = lambda p: F.transform(p, lambda part: (F.length(part["gap"]) + F.length(part["match"])).cast("long"))
+    one = F.transform(one, lambda p: F.arrays_zip(p.alias("part"), running(sizes(p), _sum).alias("before")))
+    one = F.filter(F.element_at(one, 1), lambda z: passes(z["part"]["match"]) if passes else F.lit(True))
+
+    def span(z):
+        first = (z["before"] + F.length(z["part"]["gap"])).cast("int")
+        last = first + F.length(z["part"]["match"])
+        return F.struct(
+            first.alias("start"), F.lit(KINDS.index(kind)).alias("place"), last.alias("end"), F.lit(kind).alias("kind"), z["part"]["match"].alias("token")
         )
-        spans = F.when(kept, F.concat(state["spans"], F.array(span).cast(fields))).otherwise(state["spans"])
-        return F.struct(last.alias("at"), spans.alias("spans"))
 
-    none = F.array().cast(fields)
-    summed = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda state: state["spans"])
-    return F.when(text.rlike(pattern), summed).otherwise(none)
+    found = F.transform(one, span)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{SPAN[:-1]},token:string>>"))
+
+
+def pattern_spans(text: Column, pattern: str, kind: str, passes=None) -> Column:
+    """``pattern_matches`` without the tokens."""
+    return F.transform(pattern_matches(text, pattern, kind, passes), lambda m: F.struct(m["start"], m["place"], m["end"], m["kind"]))
 
 
 def base_spans(text: Column) -> Column:
@@ -110,12 +154,12 @@ def noise_probability(token: str, alphabet: str) -> str:
     Each statistic is standardised by its mean and variance under noise; the sum of the three squares has about a
     chi-squared distribution with three degrees of freedom.
     """
-    return f"""element_at(transform(transform(transform(transform(array(named_struct('t', {token}, 'a', {alphabet})),
-        x -> named_struct('n', cast(length(x.t) as double), 'm', cast(length(x.a) as double),
-          'c', transform(sequence(1, length(x.t)), i -> cast(locate(substr(x.t, i, 1), x.a) as double)))),
+    return f"""element_at(transform(transform(transform(transform(array(named_struct('t', {token}, 'a', {alphabet}, 's', split({token}, ''))),
+        x -> named_struct('n', cast(length(x.t) as double), 'm', cast(length(x.a) as double), 't', x.t, 's', x.s,
+          'c', transform(x.s, ch -> cast(locate(ch, x.a) as double)))),
         x -> named_struct('n', x.n, 'm', x.m, 'c', x.c,
           'mean', aggregate(x.c, 0D, (s, v) -> s + v) / x.n,
-          'squares', aggregate(array_distinct(x.c), 0D, (s, v) -> s + pow(size(filter(x.c, w -> w = v)), 2)),
+          'squares', aggregate(array_distinct(x.s), 0D, (s, ch) -> s + pow(x.n - length(replace(x.t, ch, '')), 2)),
           'high', cast(size(filter(x.c, v -> v > x.m / 2)) as double),
           'turns', 1D + aggregate(sequence(2, cast(x.n as int)), 0D, (s, i) ->
              s + if((element_at(x.c, i) > x.m / 2) <> (element_at(x.c, i - 1) > x.m / 2), 1D, 0D)))),
@@ -183,20 +227,68 @@ def acceptance(docs: DataFrame, text: str = "text") -> list[float]:
     bars = []
     for place in range(len(BANDS)):
         found = passing[False][place]
-        decoys_of = [0] * (PROBABILITY_STEPS + 1)
+        # Words of the band, with those of the bands below while they are too few: shorter, so stricter.
+        words = [0] * (PROBABILITY_STEPS + 1)
         for below in range(place, -1, -1):
-            if decoys_of[0] < LEAST_DECOYS:
-                decoys_of = [a + b for a, b in zip(decoys_of, passing[True][below])]
-        bar = 2.0
-        for level in range(1, PROBABILITY_STEPS):
-            false = (decoys_of[level] + 1) / (decoys_of[0] + 1) * found[0]
-            if found[level] and false <= FALSE_SHARE * found[level]:
-                bar = level / PROBABILITY_STEPS
-                break
-        bars.append(bar)
+            if words[0] < LEAST_DECOYS:
+                words = [a + b for a, b in zip(words, passing[True][below])]
+        # Or those of the band alone, with the reference for what is missing.
+        own = passing[True][place]
+        missing = max(0, LEAST_DECOYS - own[0])
+        filled = [own[level] + missing * _reference_rate(place, level / PROBABILITY_STEPS) for level in range(PROBABILITY_STEPS + 1)]
+        filled[0] = own[0] + missing
+        bars.append(min(_bar(found, words), _bar(found, filled)))
     return bars
 
 
+def _bar(found: list, decoys: list) -> float:
+    """The lowest probability at which the decoys' rate leaves a small enough false share; above 1 if none does."""
+    for level in range(1, PROBABILITY_STEPS):
+        false = (decoys[level] + 1) / (decoys[0] + 1) * found[0]
+        if found[level] and false <= FALSE_SHARE * found[level]:
+            return level / PROBABILITY_STEPS
+    return 2.0
+
+
+def _reference_rate(band: int, probability: float) -> float:
+    """The share of reference runs that reach the highest listed probability up to this one; all below the first."""
+    rates = [rate for level, rate in zip(REFERENCE_LEVELS, REFERENCE_RATES[band]) if level <= probability + 1e-9]
+    return rates[-1] if rates else 1.0
+
+
+def _untouched(spans: Column, others: Column) -> Column:
+    """Those of ``spans`` (start, place, end, kind, token) that overlap none of ``others`` (start, place, end, kind).
+
+    In one order by start, a span is touched from before if an end that was reached is behind its start, and from
+    behind if a start is before its end: running maxima over the order and over its reverse.
+    """
+    joined = F.array_sort(
+        F.concat(
+            F.transform(others, lambda o: F.struct(o["start"], F.lit(0).alias("own"), o["end"], F.lit(None).cast("struct<start:int,place:int,end:int,kind:string,token:string>").alias("span"))),
+            F.transform(spans, lambda r: F.struct(r["start"], F.lit(1).alias("own"), r["end"], r.alias("span"))),
+        )
+    )
+    latest = lambda a, v: F.greatest(a, v)
+    ends = lambda x: running(F.transform(x, lambda p: F.when(p["own"] == 0, p["end"]).otherwise(0).cast("long")), latest)
+    # Negative starts, counted from the end: the greatest is the earliest start that follows.
+    least = -(1 << 40)
+    starts = lambda x: F.reverse(running(F.reverse(F.transform(x, lambda p: F.when(p["own"] == 0, F.lit(1 << 40) - p["start"]).otherwise(0).cast("long"))), latest))
+    one = F.transform(F.array(joined), lambda x: F.arrays_zip(x.alias("p"), ends(x).alias("reached"), starts(x).alias("follows")))
+    free = F.filter(
+        F.element_at(one, 1),
+        lambda z: (z["p"]["own"] == 1) & (z["reached"] <= z["p"]["start"]) & ((z["follows"] == 0) | (z["follows"] + least <= -z["p"]["end"])),
+    )
+    return F.when(F.size(spans) == 0, spans).otherwise(F.transform(free, lambda z: z["p"]["span"]))
+
+
+def _widest(spans: Column) -> Column:
+    """Spans (start, end, ...) that lie in no other one, each once. Two of them are apart or one holds the other."""
+    order = F.array_sort(F.transform(spans, lambda r: F.struct(r["start"], (-r["end"]).alias("behind"), r.alias("span"))))
+    reached = lambda x: running(F.transform(x, lambda p: (-p["behind"]).cast("long")), lambda a, v: F.greatest(a, v))
+    one = F.transform(F.array(order), lambda x: F.arrays_zip(x.alias("p"), reached(x).alias("reached")))
+    return F.transform(F.filter(F.element_at(one, 1), lambda z: z["reached"] < -z["p"]["behind"]), lambda z: z["p"]["span"])
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` as struct ``row`` with ``scanned``, the text, ``base``, the pattern spans, and ``extra``, the battery's.
 
@@ -205,43 +297,59 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     bars = acceptance(docs, text)
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("scanned"))
     rows = rows.withColumn("base", base_spans(F.col("scanned")))
-    if min(bars) > 1:
-        return rows.withColumn("extra", F.slice("base", 1, 0))
-    every = F.array_distinct(F.concat(*[pattern_spans(F.col("scanned"), pattern, "random") for pattern in (CANDIDATE, *PARTS)]))
-    rows = rows.withColumn("extra", F.when(F.col("scanned").rlike(CANDIDATE), every).otherwise(F.slice("base", 1, 0)))
-    free = F.filter("extra", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (b["end"] > r["start"])))
-    token = F.transform(
-        free, lambda r: F.struct(r.alias("span"), F.substring(F.col("scanned"), r["start"] + 1, r["end"] - r["start"]).alias("token"))
-    )
-    token = F.transform(token, lambda r: F.struct(r["span"].alias("span"), r["token"].alias("token"), _alphabet(r["token"]).alias("alphabet")))
+    every = F.concat(*[pattern_matches(F.col("scanned"), pattern, "random") for pattern in (CANDIDATE, *PARTS)])
+    none = F.array().cast(f"array<{SPAN[:-1]},token:string>>")
+    rows = rows.withColumn("extra", F.when(F.col("scanned").rlike(CANDIDATE), _each_once(every)).otherwise(none))
+    rows = rows.withColumn("extra", F.when(F.size("base") > 0, _untouched(F.col("extra"), F.col("base"))).otherwise(F.col("extra")))
+    rows = rows.withColumn("runs", F.transform("extra", lambda r: F.struct(r.alias("span"), r["token"].alias("token"), _alphabet(r["token"]).alias("alphabet"))))
     bar = " ".join(f"when length(r.token) >= {least} then {bar}D" for least, bar in reversed(list(zip(BANDS, bars))))
-    rows = rows.withColumn("runs", token).withColumn(
-        "runs", F.expr(f"filter(runs, r -> {noise_probability('r.token', 'r.alphabet')} >= case {bar} end)")
-    )
+    rows = rows.withColumn("runs", F.expr(f"filter(runs, r -> {noise_probability('r.token', 'r.alphabet')} >= case {bar} end)"))
     # The widest of those that pass: a part of a passing run says nothing more.
-    rows = rows.withColumn("passing", F.transform("runs", lambda r: r["span"]))
-    wider = lambda r, o: (o["start"] <= r["start"]) & (o["end"] >= r["end"]) & (o["end"] - o["start"] > r["end"] - r["start"])
-    widest = F.filter("passing", lambda r: ~F.exists("passing", lambda o: wider(r, o)))
-    return rows.select("row", "scanned", "base", F.array_sort(widest).alias("extra"))
+    rows = rows.withColumn("passing", F.transform("runs", lambda r: F.struct(r["span"]["start"], r["span"]["place"], r["span"]["end"], r["span"]["kind"])))
+    return rows.select("row", "scanned", "base", F.array_sort(_widest(F.col("passing"))).alias("extra"))
+
+
+def _each_once(spans: Column) -> Column:
+    """``spans`` sorted, each once."""
+    one = F.transform(F.array(F.array_sort(spans)), lambda x: F.filter(x, lambda r, i: (i == 0) | (F.get(x, F.greatest(i - 1, F.lit(0))) != r)))
+    return F.element_at(one, 1)
+
+
+#: Code points that a text is cut into, in two steps, so that a stretch is found without reading from the start.
+COARSE, FINE = 1 << 18, 1 << 11
+
+
+def _stretches(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with ``mark`` for each of the sorted ``spans`` that begins outside those before it."""
+    pieces = lambda t, size: F.transform(F.sequence(F.lit(0), _div(F.greatest(F.length(t) - 1, F.lit(0)), F.lit(size))), lambda k: F.substring(t, k * size + 1, F.lit(size)))
+    cut = F.flatten(F.transform(pieces(text, COARSE), lambda part: pieces(part, FINE)))
+    reached = running(F.transform(spans, lambda s: s["end"].cast("long")), lambda a, v: F.greatest(a, v))
+    one = F.array(F.struct(cut.alias("cut"), F.arrays_zip(spans.alias("s"), reached.alias("at")).alias("steps"), F.array_max(F.transform(spans, lambda s: s["end"])).alias("end")))
+
+    def between(x, low, high):
+        first, last = _div(low, F.lit(FINE)), _div(high, F.lit(FINE))
+        piece = lambda k: F.coalesce(F.get(x["cut"], k), F.lit(""))
+        near = F.substring(piece(first), low % FINE + 1, high - low)
+        far = F.concat(
+            F.substring(piece(first), low % FINE + 1, F.lit(FINE)),
+            F.array_join(F.slice(x["cut"], first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+            F.substring(piece(last), F.lit(1), high % FINE),
+        )
+        return F.when(first == last, near).otherwise(far)
+
+    def step(x, z):
+        at = z["at"].cast("int")
+        return F.when(z["s"]["start"] >= at, F.concat(between(x, at, z["s"]["start"]), F.lit(mark))).otherwise(F.lit(""))
+
+    one = F.transform(one, lambda x: F.concat(F.array_join(F.transform(x["steps"], lambda z: step(x, z)), ""), between(x, x["end"], F.length(text))))
+    return F.element_at(one, 1)
 
 
 def redacted(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with ``mark`` in place of every span; null texts stay null, other columns as they are."""
-    rows = scan(docs, text)
-    spans = F.array_sort(F.concat("base", "extra"))
+    rows = scan(docs, text).withColumn("spans", F.array_sort(F.concat("base", "extra")))
     # Spans of different kinds can overlap: what lies before the end of an earlier one is not copied again.
-    joined = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda state, s: F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(s["start"] < state["at"], state["out"])
-            .otherwise(F.concat(state["out"], F.substring(F.col("scanned"), state["at"] + 1, s["start"] - state["at"]), F.lit(mark)))
-            .alias("out"),
-        ),
-        lambda state: F.concat(state["out"], F.substring(F.col("scanned"), state["at"] + 1, F.length("scanned") - state["at"])),
-    )
-    changed = F.when(F.size(spans) > 0, joined).otherwise(F.col("row")[text])
+    changed = F.when(F.size("spans") > 0, _stretches(F.col("scanned"), F.col("spans"), mark)).otherwise(F.col("row")[text])
     return rows.select(*[changed.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
 
 

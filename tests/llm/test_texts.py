@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from math import erfc
 
 import numpy as np
 import pyarrow as pa
@@ -255,6 +258,106 @@ def test_secrets_behind_names_and_paths(spark, before, alphabet, size):
     assert [left[100 + i] for i in range(100)] == prose
 
 
+def random_keys(seed, count, size, alphabet="0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+    """With a digit each, as a run of letters alone is a word."""
+    draw = np.random.default_rng(seed)
+    return ["".join(draw.choice(list(alphabet), size - 1)) + str(draw.integers(10)) for _ in range(count)]
+
+
+def test_a_small_table_is_scanned_as_well(spark):
+    """No words of the table can serve as decoys."""
+    keys = random_keys(8, 50, 40)
+    docs = spark.createDataFrame([(i, f"see {k} here") for i, k in enumerate(keys)], "doc_id long, text string")
+    left = {r.doc_id: r.text for r in secret_scan.redacted(docs).collect()}
+    assert sum(left[i] == "see [secret] here" for i in range(50)) >= 45
+    alone = secret_scan.redacted(docs.where("doc_id < 3")).collect()
+    assert sum(k not in r.text for r, k in zip(sorted(alone), keys)) >= 2
+
+
+def test_running_values(spark):
+    draw = np.random.default_rng(9)
+    rows = [(draw.integers(0, 50, n).tolist(),) for n in (0, 1, 2, 3, 10, 97, 1000)]
+    found = spark.createDataFrame(rows, "v array<bigint>").select(
+        "v", secret_scan.running(F.col("v"), lambda a, v: a + v).alias("sums"), secret_scan.running(F.col("v"), lambda a, v: F.greatest(a, v)).alias("tops")
+    )
+    for r in found.collect():
+        assert r.sums == [sum(r.v[:i]) for i in range(len(r.v))]
+        assert r.tops == [max(r.v[:i], default=0) for i in range(len(r.v))]
+
+
+def test_untouched_and_widest(spark):
+    draw = random.Random(10)
+    span = lambda kind: (lambda a: (a, kind, a + draw.randint(1, 12), "x"))(draw.randint(0, 200))
+    rows = [([(*span(3), "t") for _ in range(n)], sorted(span(0) for _ in range(m))) for n, m in ((0, 3), (5, 0), (30, 10), (60, 4))]
+    frame = spark.createDataFrame(rows, f"a array<{secret_scan.SPAN[:-1]},token:string>>, b array<{secret_scan.SPAN}>")
+    for r in frame.select("a", "b", secret_scan._untouched(F.col("a"), F.col("b")).alias("free")).collect():
+        want = [s for s in r.a if not any(b.start < s.end and s.start < b.end for b in r.b)]
+        assert sorted(map(tuple, r.free)) == sorted(map(tuple, want))
+    nested = [(0, 3, 50, "x"), (0, 3, 10, "x"), (10, 3, 50, "x"), (12, 3, 20, "x"), (60, 3, 80, "x"), (60, 3, 80, "x"), (90, 3, 95, "x")]
+    draw.shuffle(nested)
+    found = spark.createDataFrame([(nested,)], f"a array<{secret_scan.SPAN}>").select(secret_scan._widest(F.col("a")).alias("w")).first().w
+    assert [(s.start, s.end) for s in found] == [(0, 50), (60, 80), (90, 95)]
+
+
+def test_very_long_texts_are_scanned_in_time(spark):
+    texts = [
+        random_keys(11, 1, 1 << 20)[0],
+        " ".join(random_keys(12, 50_000, 40)),
+        " ".join(random_keys(13, 50_000, 32, "0123456789abcdef")),
+        " ".join(f"token={a} {b}" for a, b in zip(random_keys(14, 20_000, 20), random_keys(15, 20_000, 44))),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4, "doc_id")
+    started = time.perf_counter()
+    rows = {r.doc_id: r for r in secret_scan.redacted(docs).collect()}
+    assert time.perf_counter() - started < 150
+    assert rows[0].text == "[secret]"
+    assert rows[1].text.count("[secret]") > 45_000 and rows[2].text == " ".join(["[secret]"] * 50_000)
+    assert rows[3].text.count("[secret]") > 38_000
+
+
+def test_secret_query_equals_brute_force(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    bars = secret_scan.acceptance(docs)
+    joined = lambda spans: ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in spans)
+    rows = queries.QUERIES["op10_secrets"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = brute_spans(texts[r.doc_id])
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(s[3] == k for s in base) for k in ("assign", "access", "hex")]
+        assert r.base_sha256 == hashlib.sha256(joined(base).encode()).hexdigest()
+        assert r.spans == joined(sorted(base + brute_battery(texts[r.doc_id], base, bars)))
+
+
+def brute_battery(text, base, bars):
+    """Random runs and parts, by the same statistics in numpy."""
+    spans = {(m.start(), m.end()) for p in (secret_scan.CANDIDATE, *secret_scan.PARTS) for m in re.finditer(p, text)}
+    spans = {s for s in spans if not any(a < s[1] and s[0] < b for a, _, b, _ in base)}
+    passing = set()
+    for a, b in spans:
+        token = text[a:b]
+        alphabet = next((alpha for p, alpha in secret_scan.ENCODINGS if re.match(p, token)), secret_scan.WIDEST)
+        band = sum(len(token) >= least for least in secret_scan.BANDS) - 1
+        if noise(token, len(alphabet), [alphabet.index(c) + 1.0 for c in token]) >= bars[band]:
+            passing.add((a, b))
+    return [(a, 3, b, "random") for a, b in passing if not any((c, d) != (a, b) and c <= a and b <= d for c, d in passing)]
+
+
+def noise(token, m, codes):
+    c, n = np.array(codes), float(len(token))
+    squares = sum(v * v for v in Counter(token).values())
+    chi = (squares * m / n - n - (m - 1)) / np.sqrt(2 * (m - 1) * (1 - 1 / n))
+    high, above = float((c > m / 2).sum()), c > m / 2
+    turns = 1 + (above[1:] != above[:-1]).sum()
+    product = 2 * high * (n - high)
+    runs = (turns - 1 - product / n) / np.sqrt(max(1, product * (product - n) / (n * n * (n - 1))))
+    around = c - c.mean()
+    spread = (around**2).sum()
+    serial = np.sqrt(n) * (around[1:] * around[:-1]).sum() / spread if spread else np.sqrt(n)
+    q = chi * chi + runs * runs + serial * serial
+    return erfc(np.sqrt(q / 2)) + np.sqrt(2 * q / np.pi) * np.exp(-q / 2)
+
+
 def test_parts_of_runs():
     cut = [re.findall(p, "name=0123456789abcdefABCDEF==") for p in (secret_scan.CANDIDATE, *secret_scan.PARTS)]
     assert cut == [["name=0123456789abcdefABCDEF=="]] + [["0123456789abcdefABCDEF=="]] * 3
