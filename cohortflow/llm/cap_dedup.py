@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from cohortflow.llm.common import mix
 from cohortflow.llm.components import components
-from cohortflow.llm.vectors import directions, matrix, usable
+from cohortflow.llm.vectors import directions, keyed, matrix, usable
 from cohortflow.session import materialize
 
 LEAST_COSINE = 0.95
@@ -215,9 +215,9 @@ def near_duplicates(rows: DataFrame, key: str, vector: str, least: float = LEAST
     """(id, n_links, component_id, kept) for every row; ids as long."""
     spark = rows.sparkSession
     clean, length = usable(rows, key, vector)
-    classes = clean.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    classes = materialize(classes, "vector-classes")
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).select("rep", "v").toArrow()
+    classes = clean.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    classes = materialize(keyed(classes, "least"), "vector-classes")
+    sample = classes.orderBy(F.xxhash64("least"), "rep").limit(SAMPLE_ROWS).select("rep", "v").toArrow()
     unit = _units(matrix(sample["v"], length)) if sample.num_rows else np.zeros((0, length))
     links = _sample_links(classes, sample["rep"].to_numpy(), unit, least) if len(unit) else None
     code = fitted_code(length, classes.count(), unit, least, links)
@@ -269,11 +269,14 @@ def near_duplicates(rows: DataFrame, key: str, vector: str, least: float = LEAST
     found = met.groupBy("filter", "low", "high").applyInArrow(verify, "rep long, links long, root long")
     found = materialize(found, "filter-links")
     reached = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
+    # Keys grow with ids, so the smallest key of a component belongs to its smallest id.
+    first = classes.select(F.col("rep").alias("first"), F.col("least").alias("smallest"))
+    named = reached.select("node", F.col("component").alias("first")).join(first, "first").select("node", F.col("smallest").alias("component"))
     totals = found.groupBy("rep").agg(F.sum("links").alias("links"))
     known = (
         classes.join(totals, "rep", "left")
-        .join(reached.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+        .join(named.withColumnRenamed("node", "rep"), "rep", "left")
+        .select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "least").alias("component"))
     )
     every = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
     every = every.withColumn("sought", F.when(F.col("id").isNotNull(), F.col("v")))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import Groups, Words, mix, shard_count, text_buffer, text_bytes, text_steps
+from cohortflow.llm.common import Groups, Words, dealt, mix, shard_count, text_buffer, text_bytes, text_steps
 from cohortflow.llm.packing import pack, pack_sorted, unpack, unpack_sorted
 from cohortflow.session import materialize
 
@@ -311,7 +311,7 @@ def score(docs: DataFrame, vocabulary: DataFrame, model: ClassModel, shards: int
                 counted = np.bincount(words.owner[common], weights=m.frequent[frequent[common]], minlength=words.texts) + np.log10(m.ends + ADDED)
                 known = np.bincount(words.owner[common], minlength=words.texts) + (m.ends > 0)
                 for k, doc_id in enumerate(step.column("doc_id").to_pylist()):
-                    row = {"shard": number % shards, "batch": number, "kind": DOCUMENT, "doc_id": doc_id, "place": place + k, "n": int(words.counts[k]) + 1}
+                    row = {"shard": dealt(number, shards), "batch": number, "kind": DOCUMENT, "doc_id": doc_id, "place": place + k, "n": int(words.counts[k]) + 1}
                     rows.append(row | {"known": int(known[k]), "base": counted[k], "score": priced[k]})
                 rare = Groups(words.owner[~common], found[~common])
                 names.append((place + rare.owner).astype(np.uint32))

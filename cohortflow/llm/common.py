@@ -109,6 +109,11 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.nda
     return mix((sums[stops] - sums[starts]) * _power_table("down", len(sums))[starts])
 
 
+def dealt(number: int, shards: int) -> int:
+    """The shard of a batch's own rows. Batch numbers are multiples of a power of two, so they are mixed first."""
+    return int((int(mix(np.array([number + 1], np.uint64))[0]) >> 32) * shards >> 32)
+
+
 class Words:
     """The words of a slice of texts: byte spans, the text that each belongs to, and hashes of their lower-cased bytes."""
 

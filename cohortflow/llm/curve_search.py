@@ -10,7 +10,7 @@ product of the original vectors in double precision.
 reach is the smallest that holds the share ``AIM`` of them on some curve. Vectors without any structure need wide
 windows, clustered ones narrow.
 
-Equal vectors are one entry with its ``top`` + 1 smallest ids, so copies can't crowd a window.
+Equal vectors are one entry with its ``top`` + 1 smallest ids and a key of its own, so copies can't crowd a window.
 
 Defined results: vectors that are null, zero, not finite, of another length than most, or without id take no part;
 ties go to the smaller id; fewer candidates than ``top`` are all returned; an id that stands on several rows is a
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortflow.llm.vectors import directions, matrix, usable
+from cohortflow.llm.vectors import directions, keyed, matrix, usable
 from cohortflow.session import materialize
 
 TOP = 20
@@ -143,17 +143,16 @@ def _merged(finds: DataFrame, top: int) -> DataFrame:
 def nearest(rows: DataFrame, asks: Column, key: str, vector: str, top: int = TOP) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest rows to each row where ``asks`` holds, itself left out."""
     spark = rows.sparkSession
-    clean, length = usable(rows.withColumn("_asks", asks), key, vector)
-    entries = _entries(clean, top + 1)
-    entries = materialize(entries, "curve-entries")
-    asking, _ = usable(rows.where(asks), key, vector)
+    clean, length = usable(rows, key, vector)
+    entries = materialize(keyed(_entries(clean, top + 1), "least"), "curve-entries")
+    asking = rows.where(asks).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where("id IS NOT NULL")
     asking = asking.where(F.size("v") == length).distinct().join(entries.select("v", "rep"), "v")
     asking = materialize(asking.select(F.col("id").alias("query_id"), "rep", "v"), "curve-queries")
     asked = asking.dropDuplicates(["rep"]).select("rep", "v")
 
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     total, norm = entries.agg(F.count("*"), F.coalesce(F.max(size), F.lit(1.0))).first()
-    sample = entries.orderBy(F.xxhash64("rep"), "rep").limit(GRID_ROWS).select("v").toArrow()
+    sample = entries.orderBy(F.xxhash64("least"), "rep").limit(GRID_ROWS).select("v").toArrow()
     curves = Curves(length, norm, matrix(sample["v"], length) if sample.num_rows else np.zeros((0, length)))
     shared = spark.sparkContext.broadcast(curves)
 
@@ -209,11 +208,11 @@ def nearest(rows: DataFrame, asks: Column, key: str, vector: str, top: int = TOP
 
 
 def _entries(clean: DataFrame, kept: int) -> DataFrame:
-    """(v, rep, ids): each distinct vector with its smallest ids; a vector with many copies is thinned out in parts first."""
+    """(v, least, ids): each distinct vector with its smallest ids; a vector with many copies is thinned out in parts first."""
     rows = clean.distinct()
     for keys in (["v", F.pmod("id", F.lit(64))], ["v"]):
         rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("n") <= kept)
-    return rows.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("v", F.col("ids")[0].alias("rep"), "ids")
+    return rows.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("v", F.col("ids")[0].alias("least"), "ids")
 
 
 def _reach(placed: DataFrame, entries: DataFrame, asked: DataFrame, length: int, top: int) -> int:
@@ -233,7 +232,10 @@ def _reach(placed: DataFrame, entries: DataFrame, asked: DataFrame, length: int,
 
     true = _merged(entries.select("rep", "v").mapInArrow(compare, FINDS), top + 1)
     pairs = true.select("query", F.explode("reps").alias("rep"))
-    here = placed.where("is_query").select(F.col("rep").alias("query"), "curve", F.col("block").alias("from"))
-    there = placed.where("not is_query").select("rep", "curve", "block")
-    away = pairs.join(F.broadcast(here), "query").join(there, ["rep", "curve"]).groupBy("query", "rep").agg(F.min(F.abs(F.col("from") - F.col("block"))).alias("d"))
+    pairs = materialize(pairs, "curve-pairs")
+    # Pairs and places of the sample are small: REACH_QUERIES times ``top`` + 1, and times CURVES.
+    here = placed.where("is_query").join(F.broadcast(pairs.select(F.col("query").alias("rep")).distinct()), "rep", "left_semi")
+    here = here.select(F.col("rep").alias("query"), "curve", F.col("block").alias("from"))
+    there = placed.where("not is_query").select("rep", "curve", "block").join(F.broadcast(pairs), "rep")
+    away = there.join(F.broadcast(here), ["query", "curve"]).groupBy("query", "rep").agg(F.min(F.abs(F.col("from") - F.col("block"))).alias("d"))
     return int(away.agg(F.expr(f"percentile_disc({AIM}) within group (order by d)")).first()[0] or 0)

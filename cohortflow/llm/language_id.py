@@ -17,7 +17,6 @@ pass through; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,17 +25,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortflow.llm.common import text_steps, with_text
+from cohortflow.session import materialize
 
 UNKNOWN = "und"
-#: Bound of the labelled sample: rows per language, bytes that one row gives, bytes of one language's reference.
-SAMPLE_ROWS = 256
-ROW_BYTES = 512
-REFERENCE_BYTES = 24_576
-#: Bytes of all references together; many languages get shorter references each.
-TOTAL_BYTES = 1 << 19
+#: Bound of the labelled sample: rows per language, characters that one row gives. All that is drawn is used.
+SAMPLE_ROWS = 48
+ROW_CHARACTERS = 512
+#: Bytes of the step tables that travel at once; more languages are compared in several passes.
+TABLE_BYTES = 1 << 28
 STRETCH = 512
 LANES = 4096
-_LETTER = re.compile(r"[^\W\d_]")
 _PLAIN = np.full(256, 32, np.uint8)
 _PLAIN[97:123] = np.arange(97, 123)
 _PLAIN[128:] = np.arange(128, 256)
@@ -137,20 +135,31 @@ class Languages:
         return result
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Languages:
-    """Languages from a bounded sample of rows with a text and a language.
+def passes_of(references: dict[str, bytes]) -> list[Languages]:
+    """Languages in name order, as many together as keep their tables within ``TABLE_BYTES``."""
+    groups: list[dict[str, bytes]] = []
+    size = 0
+    for name in sorted(references):
+        # At most two states a byte, each with a step of four bytes for every byte that occurs.
+        table = 8 * len(references[name]) * (len(set(references[name])) + 1)
+        if not groups or size + table > TABLE_BYTES:
+            groups.append({})
+            size = 0
+        groups[-1][name] = references[name]
+        size += table
+    return [Languages(group) for group in groups]
 
-    Per language the ``SAMPLE_ROWS`` texts lowest in hash order are read, and each gives up to ``ROW_BYTES`` from a
+
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> list[Languages]:
+    """Languages from a bounded sample of rows with a text and a language, in groups that are compared one after the other.
+
+    Per language the ``SAMPLE_ROWS`` texts lowest in hash order are read, and each gives up to ``ROW_CHARACTERS`` from a
     place that its hash names. Copies of a text count once.
     """
     known = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    languages = known.agg(F.count_distinct(lang)).first()[0]
-    if not languages:
-        return Languages({})
-    budget = min(REFERENCE_BYTES, max(1024, TOTAL_BYTES // languages))
     mark = F.xxhash64(text)
-    place = (F.pmod(mark, F.greatest(F.length(text) - ROW_BYTES, F.lit(1))) + 1).cast("int")
-    pieces = known.select(F.col(lang).alias("lang"), mark.alias("mark"), F.substring(F.col(text), place, F.lit(ROW_BYTES)).alias("piece"))
+    place = (F.pmod(mark, F.greatest(F.length(text) - ROW_CHARACTERS, F.lit(1))) + 1).cast("int")
+    pieces = known.select(F.col(lang).alias("lang"), mark.alias("mark"), F.substring(F.col(text), place, F.lit(ROW_CHARACTERS)).alias("piece"))
     # Smallest marks per task first, then of all: no language's rows ever meet in one place.
     spread = pieces.groupBy("lang", "mark").agg(F.first("piece").alias("piece"))
     for keys in (["lang", F.pmod("mark", F.lit(64))], ["lang"]):
@@ -163,30 +172,45 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Langua
     for name, rows in sample.items():
         data, _ = _letters([piece + " " for _, piece in sorted(rows)])
         if len(data):
-            references[name] = data[:budget].tobytes()
-    return Languages(references)
+            references[name] = data.tobytes()
+    return passes_of(references)
+
 
+def identify(docs: DataFrame, languages: list[Languages], text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns to keep (all by default) as struct ``row`` with lang_pred and score, the share by which the winner beats the runner-up.
 
-def identify(docs: DataFrame, languages: Languages, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns to keep (all by default) as struct ``row`` with lang_pred and score, the share by which the winner beats the runner-up."""
-    shared = docs.sparkSession.sparkContext.broadcast(languages)
+    With several groups of languages, each is a pass over the written texts that carries the best two so far on.
+    """
     packed, row = with_text(docs, text, keep)
+    rows = packed.select("row", "_text", F.lit(UNKNOWN).alias("lang_pred"), F.lit(float("inf")).alias("best"), F.lit(float("inf")).alias("second"))
+    for place, group in enumerate(languages):
+        rows = _compared(materialize(rows, "language-pass") if place else rows, group, row, place + 1 < len(languages))
+    share = F.col("second") / (F.col("best") + F.col("second"))
+    score = F.when(F.col("lang_pred") == UNKNOWN, 0.0).when(F.col("second") == float("inf"), 1.0).otherwise(share)
+    return rows.select("row", "lang_pred", score.alias("score"))
+
+
+def _compared(rows: DataFrame, languages: Languages, row: str, again: bool) -> DataFrame:
+    """``rows`` (row, _text, lang_pred, best, second) after a comparison with some languages; texts go on if needed ``again``."""
+    shared = rows.sparkSession.sparkContext.broadcast(languages)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in text_steps(batches, "_text"):
             texts = [t or "" for t in batch.column("_text").to_pylist()]
-            known = np.array([bool(_LETTER.search(t)) for t in texts])
-            names, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+            known = np.array([any(map(str.isalpha, t)) for t in texts])
+            names = np.array(batch.column("lang_pred").to_pylist(), object)
+            best, second = (batch.column(c).to_numpy().copy() for c in ("best", "second"))
             if model.names and known.any():
                 data, sizes = _letters([t for t, k in zip(texts, known) if k])
                 cost = model.phrases(data, sizes) * model.price
-                best = cost.argmin(axis=1)
-                names[known] = np.array(model.names, object)[best]
-                ranked = np.sort(cost, axis=1)
-                score[known] = 1.0 if len(model.names) == 1 else ranked[:, 1] / (ranked[:, 0] + ranked[:, 1])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(names, pa.string()), pa.array(score)], ["row", "lang_pred", "score"]
-            )
-
-    return packed.mapInArrow(predict, f"row {row}, lang_pred string, score double")
+                # The best before goes first, so that a tie stays with the earlier name.
+                every = np.concatenate([best[known, None], second[known, None], cost], axis=1)
+                winner = np.argmin(every, axis=1)
+                names[known] = np.where(winner < 2, names[known], np.array(model.names, object)[np.maximum(winner - 2, 0)])
+                best[known], second[known] = np.sort(every, axis=1)[:, :2].T
+            left = batch.column("_text") if again else pa.nulls(batch.num_rows, pa.string())
+            columns = [batch.column("row"), left, pa.array(names, pa.string()), pa.array(best), pa.array(second)]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "_text", "lang_pred", "best", "second"])
+
+    return rows.mapInArrow(predict, f"row {row}, _text string, lang_pred string, best double, second double")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import Groups, Words, mix, shard_count, text_buffer, text_bytes, text_steps
+from cohortflow.llm.common import Groups, Words, dealt, mix, shard_count, text_buffer, text_bytes, text_steps
 from cohortflow.llm.components import components
 from cohortflow.llm.packing import pack, pack_sorted, unpack, unpack_sorted
 from cohortflow.session import materialize
@@ -83,7 +83,7 @@ def _send(batch: int, shards: int, members: list[dict], owner: list[np.ndarray],
     times = np.diff(np.append(first, len(values)))
     hot = np.repeat(times >= LOCALLY_HOT, times)
     if hot.any():
-        rows.append({"shard": batch % shards, "batch": batch, "kind": LOCAL, "names": pack(names[hot]), "hashes": pack_sorted(values[hot])})
+        rows.append({"shard": dealt(batch, shards), "batch": batch, "kind": LOCAL, "names": pack(names[hot]), "hashes": pack_sorted(values[hot])})
         kept = ~hot
         kept[first[times >= LOCALLY_HOT]] = True
         names = names.copy()
@@ -108,7 +108,7 @@ def _documents(docs: DataFrame, n: int, shards: int, text: str) -> DataFrame:
             cuts = np.searchsorted(sets.owner, np.arange(step.num_rows + 1))
             ids, marks = step.column("doc_id").to_pylist(), step.column("mark").to_pylist()
             for row, (low, high) in enumerate(zip(cuts, cuts[1:])):
-                member = {"shard": number % shards, "batch": number, "kind": MEMBER, "doc_id": ids[row], "mark": marks[row]}
+                member = {"shard": dealt(number, shards), "batch": number, "kind": MEMBER, "doc_id": ids[row], "mark": marks[row]}
                 member["n"] = int(high - low)
                 if high > low:
                     values = sets.values[low:high]

@@ -15,13 +15,23 @@ def valid(vector: Column) -> Column:
 
 
 def usable(rows: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
-    """Rows (id, v) that have an id and a valid vector of the most common length (the longest at a tie), and that length."""
+    """Rows (id, v) that have an id and a valid vector of the most common length of all rows (the longest at a tie), and that length."""
     clean = rows.where(F.col(key).isNotNull() & valid(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
     most = clean.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).first()
     length = most["n"] if most else 1
     return clean.where(F.size("v") == length), length
 
 
+def keyed(classes: DataFrame, least: str) -> DataFrame:
+    """``classes`` (v, ...) with a key ``rep`` of each vector that grows with its smallest id, the column ``least``.
+
+    An id alone would not do: it can stand on rows with different vectors. To be written before it is used, so that the
+    keys stay the same.
+    """
+    order = [F.col(least), F.xxhash64("v")]
+    return classes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("rep", F.monotonically_increasing_id())
+
+
 def matrix(column: pa.Array | pa.ChunkedArray, length: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

@@ -98,6 +98,48 @@ def test_languages_on_edges(spark, corpus, nothing):
     assert {r.lang_pred for r in unlearned.collect()} == {"und"}
 
 
+@pytest.mark.parametrize("text", ["½ ②", "Ⅷ ² 3", "١٢٣", "— … !"])
+def test_numbers_are_no_letters(spark, corpus, text):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [(r.lang_pred, r.score) for r in language_id.identify(docs, language_id.learn(corpus)).collect()] == [("und", 0.0)]
+
+
+def test_all_of_the_sample_is_used(spark):
+    """Each of the texts drawn is in the reference."""
+    draw = np.random.default_rng(21)
+    rows = [("x", "".join(draw.choice(list("abcdefgh"), 400))) for _ in range(language_id.SAMPLE_ROWS)]
+    docs = spark.createDataFrame([*rows, ("y", "other")], "lang string, text string")
+    group, = language_id.learn(docs)
+    assert group.price[0] >= np.log2(400 * language_id.SAMPLE_ROWS)
+    data, sizes = language_id._letters([t for _, t in rows])
+    assert (group.phrases(data, sizes)[:, 0] <= 3).all()
+
+
+def test_many_languages_in_several_passes(spark, monkeypatch):
+    draw = np.random.default_rng(20)
+    words = {f"l{i:04d}": ["".join(draw.choice(list("abcdefghijklmnop"), 6)) for _ in range(12)] for i in range(2000)}
+    prose = lambda name, n: " ".join(draw.choice(words[name], n))
+    labelled = spark.createDataFrame([(name, prose(name, 30)) for name in words], "lang string, text string")
+    monkeypatch.setattr(language_id, "TABLE_BYTES", 20 << 20)
+    groups = language_id.learn(labelled)
+    assert len(groups) > 2 and sum((g.names for g in groups), []) == sorted(words)
+    asked = [name for name in list(words)[::100] for _ in range(2)]
+    docs = spark.createDataFrame([(i, prose(name, 40)) for i, name in enumerate(asked)], "doc_id long, text string")
+    found = {r.row.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs, groups).collect()}
+    assert [found[i][0] for i in range(len(asked))] == asked
+    monkeypatch.setattr(language_id, "TABLE_BYTES", 1 << 40)
+    whole = language_id.learn(labelled)
+    assert len(whole) == 1
+    assert found == {r.row.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs, whole).collect()}
+
+
+@pytest.mark.parametrize("shards", [64, 4096])
+def test_batches_are_dealt_to_all_shards(shards):
+    numbers = [(partition << 24) + k for partition in range(shards) for k in range(5)]
+    used = {common.dealt(n, shards) for n in numbers}
+    assert len(used) > 0.95 * shards and min(used) >= 0 and max(used) < shards
+
+
 def test_language_accuracy(spark):
     found = queries.QUERIES["op1_language"](spark, "/root/testdata/sf0.01")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")

@@ -174,3 +174,22 @@ def test_links_of_the_sample_are_links(spark):
     want = np.minimum((unit[::50] @ unit.T >= 0.95).sum(axis=1) - 1, cap_dedup.SAMPLE_LINKS)
     assert np.bincount(first, minlength=20).tolist() == want.tolist()
     assert ((moved * unit[::50][first]).sum(axis=1) >= 0.95 - 1e-12).all() and len(np.unique(moved, axis=0)) <= 1000
+
+
+def test_queries_of_another_length_than_the_rows(spark):
+    """Short vectors at ids that ask do not set the length of all."""
+    draw = np.random.default_rng(31)
+    rows = [(i, draw.normal(size=16).tolist()) for i in range(100) if i % 20 or i in (20, 40, 60, 80)]
+    rows += [(1000 + 20 * i, [1.0, float(i)]) for i in range(6)]
+    found = curve_search.nearest(spark.createDataFrame(rows, "vec_id long, v array<double>"), F.col("vec_id") % 20 == 0, "vec_id", "v")
+    assert {r.query_id for r in found.collect()} == {20, 40, 60, 80}
+
+
+def test_an_id_on_different_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (20, [0.9, 0.1])]
+    frame = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    found = {r.vec_id: r.score for r in curve_search.nearest(frame, F.col("vec_id") == 20, "vec_id", "v").collect()}
+    assert found == pytest.approx({1: 0.9, 2: 0.1})
+    linked = cap_dedup.near_duplicates(frame, "vec_id", "v").collect()
+    # The first vector is linked with that of 20, the second one is shared by ids 1 and 2.
+    assert sorted((r.id, r.n_links, r.component_id) for r in linked) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (20, 1, 1)]
