@@ -292,3 +292,46 @@ def test_classes_beat_the_base(spark):
     rows = queries.QUERIES["op8_classes"](spark, "/root/testdata/sf0.01").where("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
     assert np.mean([r.score > r.base_score for r in rows]) > 0.9
+
+
+def planted_corpus(spark, words_per_class=400, texts=1500):
+    """Words of four classes that follow each other in turn; far more words than types of histories."""
+    draw = np.random.default_rng(17)
+    words = [[f"w{draw.integers(1 << 40):x}{'abcd'[c]}{k % 7}" for k in range(words_per_class)] for c in range(4)]
+    rows = []
+    for i in range(texts):
+        start = int(draw.integers(4))
+        rows.append((i, " ".join(words[(start + k) % 4][int(draw.integers(words_per_class))] for k in range(40))))
+    return spark.createDataFrame(rows, "doc_id long, text string"), words
+
+
+def test_every_word_of_the_vocabulary_is_clustered(spark, monkeypatch):
+    monkeypatch.setattr(class_lm, "WORD_TYPES", 40)
+    monkeypatch.setattr(class_lm, "TYPES", 2 + 40 + class_lm.ENDING_TYPES)
+    monkeypatch.setattr(class_lm, "FREQUENT", 64)
+    monkeypatch.setattr(class_lm, "BATCH_BYTES", 100_000)
+    docs, words = planted_corpus(spark)
+    traces = []
+    original = class_lm.cluster_vocabulary
+    monkeypatch.setattr(class_lm, "cluster_vocabulary", lambda found: traces.append(original(found)) or traces[-1])
+    vocabulary = class_lm.count_words(docs, 5, "text")
+    model, named = class_lm.learn(docs, vocabulary, 5)
+    kinds = {}
+    for row in named.collect():
+        kinds |= zip(packing.unpack_sorted(bytes(row["keys"]), np.uint64).tolist(), packing.unpack(bytes(row["classes"]), np.uint8).tolist())
+    assert len(kinds) == 1600 and 0 not in kinds.values()
+    # The likelihood grows until it stands still, and each class of words is told from the others.
+    table, _, trace = traces[0]
+    assert all(b >= a - 1e-6 * abs(a) for a, b in zip(trace, trace[1:])) and len(trace) >= 2
+    column = lambda group: class_lm.word_keys(class_lm.Words(pa.array(group)))
+    of_class = [Counter(kinds[k] for k in column(group).tolist()) for group in words]
+    shared = sum(sum((a & b).values()) for i, a in enumerate(of_class) for b in of_class[:i])
+    assert shared <= 0.05 * 1600
+    # No worse than exchange clustering of the types alone, measured on the same table of histories by classes.
+    gain = lambda t: (t * np.log(np.maximum(t, 1))).sum() - (t.sum(axis=0) * np.log(np.maximum(t.sum(axis=0), 1))).sum()
+    histories = model.histories
+    found = class_lm.contexts(docs, vocabulary, spark.sparkContext.broadcast((model.types, histories)), 5, "text")
+    before, _ = class_lm._summed_table(found, lambda w, b, t, k: (k.astype(np.int64), 0.0))
+    assert gain(table) > gain(before)
+    scores, _ = class_lm.score_documents(docs, F.lit(False))
+    assert scores.where("score > base_score").count() == scores.count()
