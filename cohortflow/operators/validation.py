@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
@@ -76,6 +78,26 @@ def is_valid() -> Column:
     return ok
 
 
+def observed(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` with the rules counted along the way, and a check to call when a job over it has ended: it raises on the first
+    rule that any row broke."""
+    require_types(require_columns(df))
+    observation = Observation()
+    checks = rules()
+    counted = df.observe(observation, *[F.count_if(bad).alias(f"{name}_{rule}") for name, rule, bad in checks])
+
+    def check() -> None:
+        for name, rule, _ in checks:
+            _refuse(name, rule, observation.get[f"{name}_{rule}"])
+
+    return counted, check
+
+
+def _refuse(name: str, rule: str, rows: int) -> None:
+    if rows:
+        raise InvalidInput(f"Values in {name} break the {rule} rule: {rows} rows")
+
+
 def validate(df: DataFrame, mode: str = "fail") -> DataFrame:
     """Check columns, types and ranges.
 
@@ -90,8 +112,7 @@ def validate(df: DataFrame, mode: str = "fail") -> DataFrame:
     if mode != "fail":
         raise ValueError(f"unknown mode {mode}")
     for row in validation_report(df).collect():  # one row per rule
-        if row["n_bad"]:
-            raise InvalidInput(f"Values in {row['column']} break the {row['rule']} rule: {row['n_bad']} rows")
+        _refuse(row["column"], row["rule"], row["n_bad"])
     return df
 
 

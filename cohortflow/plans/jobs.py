@@ -20,18 +20,18 @@ from cohortflow.operators.model import (
     train,
 )
 from cohortflow.operators.split import stratified_split
-from cohortflow.operators.validation import validate
+from cohortflow.operators.validation import observed, validate
 from cohortflow.schemas import LABEL, RAW_INPUTS, TARGET
 from cohortflow.session import materialize
 from cohortflow.sources.capture import write_capture
 from cohortflow.sources.registry import gate_and_register
-from cohortflow.sources.selector import SYNTHETIC, load_users
+from cohortflow.sources.selector import load_users
 from cohortflow.sources.snapshots import write_raw
 from cohortflow.sources.zones import write_document
 
 
 def ingest(
-    spark: SparkSession, zone: str, kind: str = SYNTHETIC, path: str | None = None, fmt: str = "csv", **options
+    spark: SparkSession, zone: str, kind: str, path: str | None = None, fmt: str = "csv", **options
 ) -> dict:
     """Load users and append them to the raw zone; returns location and row count. Large zones want parquet."""
     return write_raw(load_users(spark, kind, path, **options), zone, fmt=fmt)
@@ -113,12 +113,22 @@ def publish(result: TrainingResult, model_id: str, zone: str, rejects: str | Non
 
 
 def score_requests(requests: DataFrame, model: CohortModel, mode: str = "fail", capture_path: str | None = None) -> DataFrame:
-    """Validate, score and assign a batch of requests, optionally capturing them."""
-    checked = validate(requests, mode)
-    if mode == "quarantine":
-        checked = checked.where("is_valid").drop("is_valid")
-    assigned = assign_experiments(model.score(checked))
+    """Validate, score and assign a batch of requests, optionally capturing them.
+
+    With ``fail`` the rules are counted by the job that scores and stores the rows: the requests are read once, and
+    nothing is returned or captured if a row breaks a rule.
+    """
+    if mode == "fail":
+        counted, check = observed(requests)
+        assigned = materialize(assign_experiments(model.score(counted)), "assigned")
+        check()
+    else:
+        checked = validate(requests, mode)
+        if mode == "quarantine":
+            checked = checked.where("is_valid").drop("is_valid")
+        assigned = assign_experiments(model.score(checked))
+        if capture_path is not None:
+            assigned = materialize(assigned, "assigned")
     if capture_path is not None:
-        assigned = materialize(assigned, "assigned")
         write_capture(assigned, capture_path)
     return assigned

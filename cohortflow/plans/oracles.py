@@ -381,6 +381,11 @@ _SCALED = ", ".join(
     for n in _FEATURE_NAMES
 )
 
+_SCALED_EXACT = ", ".join(
+    f"(coalesce({n}, 0)::double - (SELECT mean FROM scl_v WHERE feature = '{n}')) / (SELECT std FROM scl_v WHERE feature = '{n}') AS {n}_s"
+    for n in ["age", "engagement_score", "gender_encoded"]
+)
+
 FIT_ON_TRAIN = ",\n".join(
     [
         SPLIT,
@@ -447,8 +452,18 @@ ORACLES: dict[str, str] = {
         AS historical_conversion_rate FROM exp_v GROUP BY user_id""",
     "stratified_split_sizes": f"WITH {SPLIT} SELECT split, high_value_user, count(*) AS n_users FROM spl_v GROUP BY 1, 2",
     "stratified_split_members": f"WITH {SPLIT} SELECT user_id, high_value_user, split FROM spl_v",
-    "split_zones": f"""WITH {SPLIT} SELECT split, count(*) AS n_raw, cast(sum(page_views) AS bigint) AS page_views,
-        count(*) AS n_scaled, cast(sum(high_value_user) AS bigint) AS n_high_value FROM spl_v GROUP BY split""",
+    "split_zones": f"""WITH {FIT_ON_TRAIN}, one_v AS (SELECT split, page_views, high_value_user, {_SCALED_EXACT} FROM enc_v)
+        SELECT split, count(*) AS n_raw, cast(sum(page_views) AS bigint) AS page_views,
+        count(*) AS n_scaled, cast(sum(high_value_user) AS bigint) AS n_high_value, round(sum(age_s), 4) + 0.0e0 AS age_scaled,
+        round(sum(engagement_score_s), 4) + 0.0e0 AS engagement_score_scaled, round(sum(gender_encoded_s), 4) + 0.0e0 AS gender_encoded_scaled FROM one_v GROUP BY split""",
+    "rf_quality": f"""WITH {SPLIT} SELECT 'random_forest' AS model_type, 100 AS n_estimators, 10 AS max_depth, 42 AS random_state,
+        (SELECT string_agg(c, ',' ORDER BY c) FROM (SELECT DISTINCT cast(high_value_user AS varchar) AS c FROM spl_v WHERE split = 'train')) AS classes,
+        '{",".join(_FEATURE_NAMES)}' AS feature_names,
+        count(*) FILTER (split = 'train') AS training_samples, count(*) FILTER (split = 'validation') AS validation_samples,
+        14 AS n_importances, 1 AS importances_sum_to_one, 1 AS accuracy_reached, 1 AS auc_reached, 1 AS tells_users_apart,
+        count(*) FILTER (split = 'test') AS n_test FROM spl_v""",
+    "stream_answer_tables": f"""WITH {ANSWERED} SELECT 'scored' AS kind, user_id, round(confidence, 6) AS confidence FROM asg_v WHERE ok
+        UNION ALL SELECT 'refused', user_id, NULL FROM asg_v WHERE NOT ok UNION ALL SELECT 'captured', user_id, NULL FROM asg_v""",
     "validation_report": f"WITH {FAULTY} "
     + " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", '{r}' AS rule, count(*) FILTER ({bad}) AS n_bad FROM req_v" for c, r, bad in _RULES

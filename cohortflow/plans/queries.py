@@ -36,6 +36,8 @@ FIXED_WEIGHTS, FIXED_INTERCEPT = {"engagement_score": 1.6, "total_spent": 1.2},
 # Alarm settings that fire on the test events, which are sparse.
 TEST_ERROR_ALARM = monitoring.Alarm("high_error_rate", "errors", True, 4, 2, False)
 CAPTURE_TEST_SHARE = 0.25
+#: Features whose scaled values are added up per split.
+SCALED_SUMS = ["age", "engagement_score", "gender_encoded"]
 
 
 def query(function: Query) -> Query:
@@ -284,13 +286,16 @@ def split_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
         raw = zones.read_split(spark, path, name, "raw").drop(TARGET)
         scaled = zones.read_split(spark, path, name, "scaled")
         counted = raw.agg(F.count("*").alias("n_raw"), F.sum("page_views").alias("page_views"))
-        labelled = scaled.agg(F.count("*").alias("n_scaled"), F.sum(TARGET).alias("n_high_value"))
+        # A sum over the training rows is 0 up to rounding: no negative zero.
+        sums = [(F.round(F.sum(n), 4) + 0.0).alias(f"{n}_scaled") for n in SCALED_SUMS]
+        labelled = materialize(scaled.agg(F.count("*").alias("n_scaled"), F.sum(TARGET).alias("n_high_value"), *sums), "scaled-sums")
         row = counted.select(
             F.lit(name).alias("split"),
             "n_raw",
             "page_views",
             labelled.select("n_scaled").scalar().alias("n_scaled"),
             labelled.select("n_high_value").scalar().alias("n_high_value"),
+            *[labelled.select(f"{n}_scaled").scalar().alias(f"{n}_scaled") for n in SCALED_SUMS],
         )
         sets = row if sets is None else sets.unionByName(row)
     return sets
@@ -575,6 +580,51 @@ def rf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _model_scores(spark, sf_dir)
 
 
+@query
+def rf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a forest says of itself, and whether it has learned: a model with one answer for all fails."""
+    split = _training_sets(spark, sf_dir)
+    training, held_out, tested = (_part(split, name) for name in ("train", "validation", "test"))
+    model = train(training)
+    outcomes = materialize(model.score(tested).select(F.col(TARGET).alias("y"), "predicted", "p1"), "outcomes")
+    metrics = evaluation.all_metrics(outcomes)
+    about = describe_model(model, training, held_out, n_estimators=0, max_depth=0, random_state=0)
+    reached = [(F.col(name) >= floor).cast("int").alias(f"{name}_reached") for name, floor in (("accuracy", 0.75), ("auc", 0.8))]
+    learned = metrics.select(*reached)
+    return about.select(
+        "model_type",
+        F.col("hyperparameters.n_estimators").cast("int").alias("n_estimators"),
+        F.col("hyperparameters.max_depth").cast("int").alias("max_depth"),
+        F.col("hyperparameters.random_state").cast("int").alias("random_state"),
+        F.array_join(F.col("target_classes").cast("array<string>"), ",").alias("classes"),
+        F.array_join("feature_names", ",").alias("feature_names"),
+        "training_samples",
+        "validation_samples",
+        F.size("feature_importance").alias("n_importances"),
+        (F.abs(F.aggregate(F.map_values("feature_importance"), F.lit(0.0), lambda s, x: s + x) - 1) < 1e-6).cast("int").alias("importances_sum_to_one"),
+        *[learned.select(c).scalar().alias(c) for c in learned.columns],
+        outcomes.agg((F.count_distinct("p1") > 10).cast("int")).scalar().alias("tells_users_apart"),
+        outcomes.agg(F.count("*")).scalar().alias("n_test"),
+    )
+
+
+@query
+def stream_answer_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the tables that a stream of faulty requests is answered into."""
+    users = _engaged(spark, sf_dir)
+    moments = materialize(features.scaler_row(users, list(FIXED_WEIGHTS)), "moments")
+    zone = scratch_path(spark, "answer-tables")
+    _request_text(tables.faulty_requests(users)).write.text(f"{zone}/in")
+    score = lambda rows: logistic_score(rows, moments, FIXED_WEIGHTS, FIXED_INTERCEPT)
+    _finish(streams.answer_tables(requests.stream_requests(spark, f"{zone}/in"), score, f"{zone}/out", f"{zone}/checkpoint"))
+    read = lambda name: spark.read.parquet(f"{zone}/out/{name}")
+    scored = read("scored").select(F.lit("scored").alias("kind"), "user_id", F.round("confidence", 6).alias("confidence"))
+    name = F.coalesce("user_id", F.get_json_object("text", "$.user_id"))
+    refused = read("refused").select(F.lit("refused").alias("kind"), name.alias("user_id"), F.lit(None).cast("double").alias("confidence"))
+    captured = read("captured").select(F.lit("captured").alias("kind"), name.alias("user_id"), F.lit(None).cast("double").alias("confidence"))
+    return scored.unionByName(refused).unionByName(captured)
+
+
 @query
 def lr_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _model_scores(spark, sf_dir, kind=LOGISTIC_REGRESSION)
@@ -645,8 +695,10 @@ def registry_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
         metrics = F.struct(F.lit(name).alias("name"))
         row = record.select(F.lit(name).alias("model_id"), F.lit(zone).alias("path"), metrics.alias("metrics"), "approve_model")
         registry.gate_and_register(materialize(row, "candidate"), f"{zone}/registry", f"{zone}/rejected")
-    registered = spark.read.parquet(f"{zone}/registry").select("model_id", "status")
-    refused = spark.read.parquet(f"{zone}/rejected").select("model_id", F.col("reason").alias("status"))
+        # Registered again by a repeated job: still one row each.
+        registry.gate_and_register(materialize(row, "candidate"), f"{zone}/registry", f"{zone}/rejected")
+    registered = registry.read_rows(spark, f"{zone}/registry", "model_id string, status string")
+    refused = registry.read_rows(spark, f"{zone}/rejected", "model_id string, reason string").withColumnRenamed("reason", "status")
     return registered.unionByName(refused)
 
 

@@ -44,7 +44,7 @@ def users_from_reviews(
 
 def load_users(
     spark: SparkSession,
-    kind: str = SYNTHETIC,
+    kind: str,
     path: str | None = None,
     on_error: str = "raise",
     n: int = DEFAULT_USERS,

@@ -73,6 +73,26 @@ def answer(
     return _start(answers(requests, score, key, share), out, checkpoint, ["capture_date", "status"], **trigger)
 
 
+def answer_tables(
+    requests: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "user_id", share: float = CAPTURE_SHARE, **trigger
+) -> StreamingQuery:
+    """``answer`` into separate tables below ``out``: ``scored``, ``refused`` and ``captured``.
+
+    Each batch is answered once, into ``answers``, and the tables are taken from there. All lie in folders of the batch's
+    number, which a replay overwrites, so a table never holds a batch twice; ``answers`` is written first and lists all.
+    """
+
+    def commit(batch: DataFrame, number: int) -> None:
+        folder = f"{out}/answers/batch={number}"
+        batch.write.mode("overwrite").parquet(folder)
+        stored = batch.sparkSession.read.schema(batch.schema).parquet(folder)
+        for name, rows in {"scored": scored_rows(stored, key), "refused": refused_rows(stored), "captured": captured_rows(stored)}.items():
+            rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+
+    writer = answers(requests, score, key, share).writeStream.option("checkpointLocation", checkpoint).foreachBatch(commit)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def scored_rows(stored: DataFrame, key: str = "user_id") -> DataFrame:
     return stored.where("status = 'scored'").select(key, "output.*")
 

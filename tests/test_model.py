@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortflow.operators.model import LOGISTIC_REGRESSION, CohortModel, feature_importance, model_metadata, top_features, train
+from cohortflow.operators.validation import InvalidInput, observed
 from cohortflow.plans import jobs
 from cohortflow.schemas import FEATURES, RAW_INPUTS, TARGET
 from cohortflow.session import materialize
-from cohortflow.sources import requests, synthetic
+from cohortflow.sources import registry, requests, synthetic
 from cohortflow.sources.registry import read_approval
 
 
@@ -92,6 +93,30 @@ def test_sample_request(spark, forest, tmp_path):
     assert captured["input"]["age"] == 35.0 and captured["output"]["predicted_bucket"] == row["predicted_bucket"]
 
 
+def test_failing_requests_are_read_once_and_not_captured(spark, forest, tmp_path):
+    rows = [("u1", 35, 20, 450.0, 35, 5, 250.0, 0.75, 0.4, "M", "US"), ("u2", 200, 20, 450.0, 35, 5, 250.0, 0.75, 0.4, "M", "US")]
+    batch = spark.createDataFrame(rows, ["user_id", *RAW_INPUTS])
+    batch.write.parquet(str(tmp_path / "requests"))
+    stored = spark.read.parquet(str(tmp_path / "requests"))
+    with pytest.raises(InvalidInput, match="age"):
+        jobs.score_requests(stored, forest.model, capture_path=str(tmp_path / "capture"))
+    assert not (tmp_path / "capture").exists()
+    # The plan that scores and counts scans the requests once.
+    counted, _ = observed(stored)
+    plan = forest.model.score(counted)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "CollectMetrics" in plan
+    good = jobs.score_requests(stored.where("age < 100"), forest.model, capture_path=str(tmp_path / "capture"))
+    assert good.count() == 1 and spark.read.parquet(str(tmp_path / "capture")).count() == 1
+
+
+def test_publishing_twice_registers_once(spark, forest, tmp_path):
+    rows = lambda: registry.read_rows(spark, f"{tmp_path}/model_registry", "model_id string, status string").count()
+    for _ in range(2):
+        jobs.publish(forest, "model-9", str(tmp_path), rejects=str(tmp_path / "rejects"))
+    rejected = registry.read_rows(spark, str(tmp_path / "rejects"), "model_id string").count()
+    assert rows() + rejected == 1
+
+
 def test_requests_without_an_id(spark, forest, users, tmp_path):
     nameless = users.select(F.lit(None).cast("string").alias("user_id"), *RAW_INPUTS)
     path = str(tmp_path / "capture")
@@ -109,5 +134,5 @@ def test_label_scope(users):
 
 
 def test_ingest_job(spark, tmp_path):
-    report = jobs.ingest(spark, str(tmp_path), n=50)
+    report = jobs.ingest(spark, str(tmp_path), "synthetic", n=50)
     assert report["rows"] == 50

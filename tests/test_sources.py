@@ -162,7 +162,19 @@ def test_bodies_of_every_form(spark, tmp_path):
     parsed = requests.read_requests(spark, str(tmp_path / "lines.json"))
     assert sorted(r["age"] for r in requests.accepted(parsed).collect()) == [1.0, 2.0, 3.0, 4.0, 5.0]
     kept = sorted(r[CORRUPT] for r in requests.quarantined(parsed).collect())
-    assert [json.loads(k) if k.startswith("{") else k for k in kept] == ["7", "[1, 2", *sorted(bad, key=json.dumps)]
+    assert [json.loads(k) if k.startswith("{") else k for k in kept] == ["7", "[1, 2", "[]", *sorted(bad, key=json.dumps)]
+
+
+def test_elements_that_are_no_objects_and_words_for_numbers(spark, tmp_path):
+    words = [REQUEST | {"total_spent": "Infinity"}, REQUEST | {"age": "NaN"}, REQUEST | {"age": "-INF"}, REQUEST | {"age": "12"}]
+    lines = [json.dumps([REQUEST | {"age": 1}, None]), json.dumps([[REQUEST], 5, "text", REQUEST | {"age": 2}]), *map(json.dumps, words), '{"age": Infinity}', '{"age": -Infinity, "gender": "M"}', "null", "true"]
+    (tmp_path / "lines.json").write_text("\n".join(lines))
+    parsed = requests.read_requests(spark, str(tmp_path / "lines.json"))
+    assert sorted(r["age"] for r in requests.accepted(parsed).collect()) == [1.0, 2.0]
+    kept = [r[CORRUPT] for r in requests.quarantined(parsed).collect()]
+    assert sorted(k for k in kept if not k.startswith("{")) == sorted(["null", json.dumps([REQUEST], separators=(",", ":")), "5", "text", "null", "true"])
+    assert sum(k.startswith("{") for k in kept) == 6
+    assert all(v is None for r in requests.quarantined(parsed).collect() for c, v in r.asDict().items() if c != CORRUPT and r[CORRUPT] == "null")
 
 
 @pytest.mark.parametrize("fmt", ["parquet", "csv"])
@@ -194,11 +206,25 @@ def test_registry_gate(spark, tmp_path):
     registry.gate_and_register(good, table)
     with pytest.raises(registry.ModelRejected, match="bad"):
         registry.gate_and_register(bad, table)
-    registry.gate_and_register(good.unionByName(bad), table, rejects, status="PendingManualApproval")
-    assert sorted((r["model_id"], r["status"]) for r in spark.read.parquet(table).collect()) == [
-        ("good", "Approved"), ("good", "PendingManualApproval")
-    ]
-    assert [r["model_id"] for r in spark.read.parquet(rejects).collect()] == ["bad"]
+    for _ in range(2):
+        # A model that is registered again replaces its own row, and no other.
+        registry.gate_and_register(good.unionByName(bad), table, rejects, status="PendingManualApproval")
+    registry.gate_and_register(good.withColumn("model_id", F.lit("0012")), table)
+    schema = "model_id string, path string, metrics struct<auc:double>, status string, registered_at timestamp"
+    found = registry.read_rows(spark, table, schema).collect()
+    assert sorted((r["model_id"], r["status"], r["metrics"]["auc"]) for r in found) == [("0012", "Approved", 0.9), ("good", "PendingManualApproval", 0.9)]
+    assert [r["model_id"] for r in registry.read_rows(spark, rejects, "model_id string").collect()] == ["bad"]
+
+
+def test_registry_has_one_writer(spark, tmp_path):
+    good = spark.createDataFrame([("good", "p", (0.9,), True)], "model_id string, path string, metrics struct<auc:double>, approve_model boolean")
+    table = str(tmp_path / "registry")
+    with registry.single_writer(spark, table):
+        with pytest.raises(registry.RegistryBusy):
+            registry.gate_and_register(good, table)
+    registry.gate_and_register(good, table)
+    assert registry.read_rows(spark, table, "model_id string").count() == 1
+    assert registry.read_rows(spark, str(tmp_path / "none"), "model_id string").count() == 0
 
 
 def test_approval_flag(spark):

@@ -59,6 +59,26 @@ def test_answers_equal_the_batch(spark, users, model, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1504
 
 
+def test_answer_tables(spark, users, model, tmp_path):
+    """Each request is in one of two tables, and a batch that is committed again changes nothing."""
+    rows = users.select("user_id", *[F.col(n).cast("double").alias(n) for n in NUMERIC_INPUTS], "gender", "location").limit(200)
+    rows = rows.withColumn("age", F.when(F.col("user_id") < "user_000050", -1.0).otherwise(F.col("age")))
+    rows.repartition(3).write.json(str(tmp_path / "in"))
+    stream = requests.stream_requests(spark, str(tmp_path / "in"), max_files=1)
+    run = lambda out, ck: streams.answer_tables(stream, model.score, out, ck, share=0.5).awaitTermination()
+    out = str(tmp_path / "out")
+    run(out, str(tmp_path / "ck"))
+    read = lambda name: spark.read.parquet(f"{out}/{name}").drop("batch")
+    counts = lambda: [read(name).count() for name in ("answers", "scored", "refused", "captured")]
+    first = counts()
+    refused = rows.where("age < 0").count()
+    assert first[:3] == [200, 200 - refused, refused] and 60 <= first[3] <= 140
+    assert read("scored").select("user_id").intersect(read("refused").select("user_id")).count() == 0
+    # The same batches once more, as after a failure before the checkpoint was written.
+    run(out, str(tmp_path / "other"))
+    assert counts() == first and read("answers").select("user_id").distinct().count() == 200
+
+
 def test_drop_folder(spark, users, tmp_path):
     folder = str(tmp_path / "drop")
     users.where("user_id < 'user_000700'").coalesce(1).write.option("header", True).csv(folder)

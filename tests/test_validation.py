@@ -74,3 +74,16 @@ def test_unknown_values_only_warn(spark):
 def test_spelling_map(spark):
     df = spark.createDataFrame([("male",), ("O",), ("M",), ("x",), (None,)], "gender string")
     assert [r[0] for r in validation.normalise_gender(df).collect()] == ["M", "Other", "M", "x", None]
+
+
+def test_rules_are_counted_by_the_job_itself(spark, tmp_path):
+    rows = spark.createDataFrame([tuple(GOOD.values()), tuple((GOOD | {"age": 200.0}).values())], SCHEMA)
+    counted, check = validation.observed(rows)
+    counted.write.parquet(str(tmp_path / "all"))
+    with pytest.raises(InvalidInput, match="age.*maximum.*1 rows"):
+        check()
+    counted, check = validation.observed(rows.where("age < 100"))
+    counted.write.parquet(str(tmp_path / "good"))
+    check()
+    with pytest.raises(InvalidInput):
+        validation.observed(rows.drop("age"))
