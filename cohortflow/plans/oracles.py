@@ -456,6 +456,8 @@ ORACLES: dict[str, str] = {
         SELECT split, count(*) AS n_raw, cast(sum(page_views) AS bigint) AS page_views,
         count(*) AS n_scaled, cast(sum(high_value_user) AS bigint) AS n_high_value, round(sum(age_s), 4) + 0.0e0 AS age_scaled,
         round(sum(engagement_score_s), 4) + 0.0e0 AS engagement_score_scaled, round(sum(gender_encoded_s), 4) + 0.0e0 AS gender_encoded_scaled FROM one_v GROUP BY split""",
+    "saved_pipeline": f"""WITH {SPLIT} SELECT split, high_value_user AS target, count(*) AS n_users, count(*) AS n_same,
+        cast(0 AS bigint) AS n_odd FROM spl_v GROUP BY 1, 2""",
     "rf_quality": f"""WITH {SPLIT} SELECT 'random_forest' AS model_type, 100 AS n_estimators, 10 AS max_depth, 42 AS random_state,
         (SELECT string_agg(c, ',' ORDER BY c) FROM (SELECT DISTINCT cast(high_value_user AS varchar) AS c FROM spl_v WHERE split = 'train')) AS classes,
         '{",".join(_FEATURE_NAMES)}' AS feature_names,

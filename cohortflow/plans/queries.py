@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -11,9 +12,11 @@ from pyspark.sql.types import DoubleType
 from cohortflow.functions import stamps
 from cohortflow.functions.history import HISTORY_TYPE, conversion_rate, format_history, parse_history
 from cohortflow.operators import evaluation, features, monitoring, profiles, validation
+from cohortflow.operators import pipeline as ml_pipeline
 from cohortflow.operators.assignment import as_json, assign_experiments, with_user_index
 from cohortflow.operators.model import (
     LOGISTIC_REGRESSION,
+    MAX_ITER,
     CohortModel,
     feature_importance,
     logistic_score,
@@ -608,6 +611,21 @@ def rf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def saved_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets by a pipeline that was saved and loaded, and whether it answers like the same model trained step by step."""
+    split = _training_sets(spark, sf_dir)
+    training = _part(split, "train")
+    classifier = LogisticRegression(maxIter=MAX_ITER, regParam=1.0 / training.count(), elasticNetParam=0.0, standardization=False)
+    path = scratch_path(spark, "pipeline")
+    ml_pipeline.cohort_pipeline(classifier).fit(training).write().save(path)
+    rows = ml_pipeline.answers(ml_pipeline.load_pipeline(spark, path), split).select("user_id", "split", TARGET, "predicted", "p1")
+    apart = train(training, LOGISTIC_REGRESSION).score(split).select("user_id", F.col("p1").alias("other"))
+    same = F.abs(F.col("p1") - F.col("other")) < 1e-5
+    both = rows.join(apart, "user_id").groupBy("split", TARGET)
+    return both.agg(F.count("*").alias("n_users"), F.count_if(same).alias("n_same"), (F.count_if((F.col("p1") > 0.5) != (F.col("predicted") == 1))).alias("n_odd"))
+
+
 @query
 def stream_answer_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the tables that a stream of faulty requests is answered into."""
