@@ -40,8 +40,9 @@ from cohortflow.session import materialize
 BATCH_BYTES, SHARD_BYTES = 4 << 20, 16 << 20
 #: Words that all tasks know; of them, and of the endings, so many are types of histories; classes.
 FREQUENT, WORD_TYPES, ENDING_TYPES, CLASSES = 8192, 1024, 510, 64
-#: The likelihood no longer grows when a round adds less than this share of it.
-GROWTH = 1e-5
+#: The likelihood no longer grows when a round adds less than this share of it; for the sweeps over the types, a share of
+#: what all sweeps have added.
+GROWTH, LAST_SWEEP = 1e-5, 0.01
 #: What the contexts of a word have to speak for another class than that of its type, as a log of odds.
 STAY = 6.0
 END, OTHER = 0, 1
@@ -214,8 +215,8 @@ def exchange_classes(pairs: np.ndarray, classes: int = CLASSES, sweeps: int | No
     """The class of each type: types move, one by one, to the class that raises the likelihood of class bigrams most.
 
     The likelihood is the sum of n log n over class pairs, less that over classes as first and as second part. Class 0
-    holds the end alone. Frequent types are dealt out first, in turn. A sweep that moves no type, or adds next to nothing,
-    is the last, unless fewer ``sweeps`` are asked for.
+    holds the end alone. Frequent types are dealt out first, in turn. A sweep that moves no type, or adds less than
+    ``LAST_SWEEP`` of what all have added, is the last, unless fewer ``sweeps`` are asked for.
     """
     total = pairs.sum(axis=0)
     order = np.argsort(-total, kind="stable")
@@ -226,7 +227,7 @@ def exchange_classes(pairs: np.ndarray, classes: int = CLASSES, sweeps: int | No
     member[np.arange(len(pairs)), assigned] = 1
     table = member.T @ pairs @ member
     entropy = lambda n: n * np.log(np.maximum(n, 1))
-    turn = 0
+    turn, added = 0, 0.0
     while sweeps is None or turn < sweeps:
         turn += 1
         moved, gained = 0, 0.0
@@ -260,7 +261,8 @@ def exchange_classes(pairs: np.ndarray, classes: int = CLASSES, sweeps: int | No
                 member[kind, at], member[kind, best], assigned[kind] = 0, 1, best
                 moved += 1
                 gained += gain[best] - gain[at]
-        if not moved or gained <= GROWTH * abs(float(entropy(table).sum() - entropy(table.sum(axis=1)).sum() - entropy(table.sum(axis=0)).sum())):
+        added += gained
+        if not moved or gained <= LAST_SWEEP * added:
             break
     return assigned
 
