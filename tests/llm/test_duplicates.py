@@ -295,13 +295,15 @@ def test_classes_beat_the_base(spark):
 
 
 def planted_corpus(spark, words_per_class=400, texts=1500):
-    """Words of four classes that follow each other in turn; far more words than types of histories."""
+    """Words of four classes that follow each other in turn; far more words than types of histories, and endings tell nothing."""
     draw = np.random.default_rng(17)
-    words = [[f"w{draw.integers(1 << 40):x}{'abcd'[c]}{k % 7}" for k in range(words_per_class)] for c in range(4)]
+    words = [[f"w{draw.integers(1 << 40):x}-{k % 7}" for k in range(words_per_class)] for _ in range(4)]
     rows = []
     for i in range(texts):
         start = int(draw.integers(4))
-        rows.append((i, " ".join(words[(start + k) % 4][int(draw.integers(words_per_class))] for k in range(40))))
+        # Ten words of each class make up most of the text: those are the types of histories.
+        drawn = [int(draw.integers(10 if draw.random() < 0.6 else words_per_class)) for _ in range(40)]
+        rows.append((i, " ".join(words[(start + k) % 4][n] for k, n in enumerate(drawn))))
     return spark.createDataFrame(rows, "doc_id long, text string"), words
 
 
